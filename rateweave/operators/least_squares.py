@@ -2,13 +2,15 @@
 
 Ratings are first brought to one row per (user, item) pair, carrying how many ratings it stands for,
 their sum and their sum of squares. That is all a least-squares step needs, and it makes repeated pairs
-cheap. A step joins the pairs to the fixed side and sums the normal equations per solved key. Hot keys of
-the fixed side are split in the join; hot keys of the solved side never gather, because only partial sums
-of the equations travel to a key's task.
+cheap. A step joins the pairs to the fixed side and sums the normal equations per solved key. The pairs are
+kept in two copies, each arranged by one key, so that a step moves the fixed side's vectors and the sums, not
+the pairs. Hot keys of the fixed side are split in the join; hot keys of the solved side never gather, because
+only partial sums of the equations travel to a key's task.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rateweave.functions.vectors import vector_sum
 from rateweave.operators.skew import ROWS_PER_SPLIT, hot_keys, repeat_per_split, with_split
-from rateweave.session import cut_lineage
+from rateweave.session import cut_lineage, pin
 
 # Up to this width the sums are plain aggregate columns; beyond it they are vectors built in Arrow batches.
 WIDEST_COLUMN_SUMS = 6
@@ -25,25 +27,37 @@ WIDEST_COLUMN_SUMS = 6
 
 @dataclass(frozen=True)
 class Pairs:
-    """Rating pairs laid out once for all sweeps, with the hot keys of both sides."""
+    """Rating pairs laid out once for all sweeps: a copy arranged by either key, and the keys' splits."""
 
-    rows: DataFrame
-    hot: dict[str, DataFrame]
+    by: dict[str, DataFrame]
+    hot: dict[str, DataFrame | None]
+
+    def meet(self, key: str, side: DataFrame) -> DataFrame:
+        """Join the pairs to ``side``, one row per ``key``; the pairs stay where they are."""
+        hot = self.hot[key]
+        if hot is None:
+            return self.by[key].join(side, key)
+        split = f"{key}_split"
+        return self.by[key].join(repeat_per_split(side, key, hot, split), [key, split])
 
 
 def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> Pairs:
+    keys = ("user_id", "item_id")
     rating = F.col("rating").cast("double")
     pairs = cut_lineage(
         ratings.filter(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("rating").isNotNull())
-               .groupBy("user_id", "item_id")
+               .groupBy(*keys)
                .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(rating).alias("total"),
                     F.sum(rating * rating).alias("squares")))
-    hot = {key: cut_lineage(hot_keys(pairs, key, rows_per_split)) for key in ("user_id", "item_id")}
-    if all(h.isEmpty() for h in hot.values()):
-        return Pairs(pairs.withColumns({"user_id_split": F.lit(0), "item_id_split": F.lit(0)}), hot)
-    rows = with_split(pairs, "user_id", hot["user_id"], ["item_id"], "user_id_split")
-    rows = with_split(rows, "item_id", hot["item_id"], ["user_id"], "item_id_split")
-    return Pairs(cut_lineage(rows), hot)
+    hot = {key: hot_keys(pairs, key, rows_per_split) for key in keys}
+    rows = pairs
+    for key, other in (keys, keys[::-1]):
+        split = f"{key}_split"
+        rows = rows.withColumn(split, F.lit(0)) if hot[key] is None else with_split(rows, key, hot[key], [other], split)
+    shuffle = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(shuffle, math.ceil(pairs.count() / rows_per_split))
+    by = {key: pin(rows, [key] if hot[key] is None else [key, f"{key}_split"], partitions) for key in keys}
+    return Pairs(by, hot)
 
 
 def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge: list[float],
@@ -55,9 +69,7 @@ def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge:
     so that watching convergence costs no further join.
     """
     size = len(ridge)
-    split = f"{fixed_key}_split"
-    side = repeat_per_split(fixed.select(fixed_key, "design", "offset"), fixed_key, pairs.hot[fixed_key], split)
-    met = pairs.rows.join(side, [fixed_key, split])
+    met = pairs.meet(fixed_key, fixed.select(fixed_key, "design", "offset"))
     met = met.select(key, f"{key}_split", "design", "n",
                      (F.col("total") - F.col("n") * F.col("offset")).alias("target"),
                      (F.col("squares") - 2.0 * F.col("offset") * F.col("total")

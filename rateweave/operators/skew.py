@@ -12,22 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rateweave.session import cut_lineage
+
 MAX_HOT_KEYS = 20_000
 ROWS_PER_SPLIT = 500_000
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT,
-             count_column: str | None = None) -> DataFrame:
-    """``(key, n_splits)`` for the most frequent keys with more than ``rows_per_split`` rows.
+def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:
+    """``(key, n_splits)`` for the most frequent keys with more than ``rows_per_split`` rows, None if there are none.
 
-    ``count_column`` names a row count when ``df`` is already aggregated by ``key``.
+    The list is written once: both sides of a join have to see the same splits.
     """
-    n = F.sum(count_column) if count_column else F.count(F.lit(1))
-    return (df.filter(F.col(key).isNotNull())
-              .groupBy(key).agg(n.alias("_n"))
-              .filter(F.col("_n") > rows_per_split)
-              .orderBy(F.desc("_n"), F.col(key)).limit(MAX_HOT_KEYS)
-              .select(key, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("n_splits")))
+    hot = cut_lineage(
+        df.filter(F.col(key).isNotNull())
+          .groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+          .filter(F.col("_n") > rows_per_split)
+          .orderBy(F.desc("_n"), F.col(key)).limit(MAX_HOT_KEYS)
+          .select(key, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("n_splits")))
+    return hot if hot.take(1) else None
 
 
 def with_split(df: DataFrame, key: str, hot: DataFrame, spread_by: list[str], name: str = "split") -> DataFrame:
@@ -47,10 +49,11 @@ def repeat_per_split(df: DataFrame, key: str, hot: DataFrame, name: str = "split
 
 
 def split_join(big: DataFrame, unique: DataFrame, key: str, spread_by: list[str], how: str = "inner",
-               hot: DataFrame | None = None) -> DataFrame:
+               rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Join ``big`` to a table with one row per ``key`` without sending a hot key to one task."""
+    hot = hot_keys(big, key, rows_per_split)
     if hot is None:
-        hot = hot_keys(big, key)
+        return big.join(unique, key, how)
     left = with_split(big, key, hot, spread_by, "_split")
     right = repeat_per_split(unique, key, hot, "_split")
     return left.join(right, [key, "_split"], how).drop("_split")

@@ -67,7 +67,7 @@ def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_
         raise ValueError("at least one sweep is needed")
     pairs = lay_out(ratings.filter(F.col("rating") > threshold))
     if item_start is None:
-        item_start = pairs.rows.select("item_id").distinct().withColumn(
+        item_start = pairs.by["item_id"].select("item_id").distinct().withColumn(
             "features", hash_vector("item_id", rank, 5.0, seed))
     items = item_start
     users, errors = None, []
@@ -100,7 +100,7 @@ def biased_factorization(ratings: DataFrame, n_factors: int, sweeps: int, bias_r
     pairs = lay_out(ratings)
     start = F.transform(hash_vector("item_id", n_factors, 1.0, seed), lambda x: x - 0.5) if n_factors else \
         F.array().cast("array<double>")
-    items = pairs.rows.select("item_id").distinct().select("item_id", start.alias("features"), F.lit(0.0).alias("bias"))
+    items = pairs.by["item_id"].select("item_id").distinct().select("item_id", start.alias("features"), F.lit(0.0).alias("bias"))
     ridge = [factor_ridge] * n_factors + [bias_ridge]
     users, errors = None, []
     for sweep in range(1, sweeps + 1):

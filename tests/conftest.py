@@ -1,0 +1,25 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from rateweave.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+        "spark.ui.showConsoleProgress": "false"})
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def rows(df, *columns):
+    """Rows as sorted tuples, in the order of ``columns``."""
+    if columns:
+        df = df.select(*columns)
+    return sorted((tuple(r) for r in df.collect()), key=repr)
