@@ -124,7 +124,7 @@ def unrated_counts(picks: DataFrame, ratings: DataFrame) -> DataFrame:
 
     The candidates are counted, not listed: all rated items less the user's picks among them.
     """
-    known = ratings.select("item_id").distinct()
+    known = ratings.select("item_id").filter(F.col("item_id").isNotNull()).distinct()
     hits = picks.join(known.withColumn("_known", F.lit(1)), "item_id", "left")
     total = known.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (hits.groupBy("user_id").agg(F.count("_known").alias("_n"))
