@@ -49,13 +49,14 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> Pairs:
                .groupBy(*keys)
                .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(rating).alias("total"),
                     F.sum(rating * rating).alias("squares")))
-    hot = {key: hot_keys(pairs, key, rows_per_split) for key in keys}
+    n_pairs = pairs.count()
+    hot = {key: hot_keys(pairs, key, rows_per_split) if n_pairs > rows_per_split else None for key in keys}
     rows = pairs
     for key, other in (keys, keys[::-1]):
         split = f"{key}_split"
         rows = rows.withColumn(split, F.lit(0)) if hot[key] is None else with_split(rows, key, hot[key], [other], split)
     shuffle = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(shuffle, math.ceil(pairs.count() / rows_per_split))
+    partitions = max(shuffle, math.ceil(n_pairs / rows_per_split))
     by = {key: pin(rows, [key] if hot[key] is None else [key, f"{key}_split"], partitions) for key in keys}
     return Pairs(by, hot)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rateweave.session import cut_lineage
 
 MAX_HOT_KEYS = 20_000
-ROWS_PER_SPLIT = 500_000
+ROWS_PER_SPLIT = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:

@@ -4,8 +4,8 @@ Ratings are reduced to one row per item (or per item and year) before they meet
 joins and the explosion by genre work on rows in the number of items, not of ratings, and a popular item
 cannot overload a join task.
 
-``GENRE_GRAIN`` counts a rating once per genre of its item, as the exploded table of the notebook analysis
-does; ``RATING_GRAIN`` counts it once.
+``GENRE_GRAIN`` counts a rating once per genre of its item, as a table exploded by genre does;
+``RATING_GRAIN`` counts it once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.functions.text import UNLISTED_GENRE, epoch_year, release_year, split_list
+from rateweave.session import cut_lineage
 
 GENRE_GRAIN = "rating_genre"
 RATING_GRAIN = "rating"
@@ -80,11 +81,11 @@ def user_means(ratings: DataFrame, items: DataFrame, grain: str = RATING_GRAIN)
 def histogram(ratings: DataFrame, bins: int = 5) -> DataFrame:
     """``(bin, low, high, n)`` over equal-width bins from the minimum to the maximum, the last one closed.
 
-    Ratings are counted per value first; bounds and bins are taken from those counts. When all ratings are
-    equal the range is widened by half a point to both sides.
+    Ratings are counted per value first, in one pass; bounds and bins are taken from those counts. When all
+    ratings are equal the range is widened by half a point to both sides.
     """
-    values = (ratings.filter(F.col("rating").isNotNull())
-              .groupBy(F.col("rating").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    values = cut_lineage(ratings.filter(F.col("rating").isNotNull())
+                         .groupBy(F.col("rating").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     low, high = F.min("v"), F.max("v")
     flat = F.when(low == high, 0.5).otherwise(0.0)
     bounds = values.agg(F.struct((low - flat).alias("low"), (high + flat).alias("high")).alias("b"))
@@ -121,7 +122,8 @@ def genre_year_means(ratings: DataFrame, items: DataFrame) -> DataFrame:
 
 def genre_year_slices(ratings: DataFrame, items: DataFrame, first: int = 9, drop_unlisted: bool = True) -> DataFrame:
     """Genre trends marked ``first`` for the alphabetically first genres and ``rest`` for the others."""
-    trends = genre_year_means(ratings, items)
+    # one row per genre and year, written once because the list of genres is taken from it too
+    trends = cut_lineage(genre_year_means(ratings, items))
     head = (trends.select("genre").distinct().orderBy("genre").limit(first)
             .withColumn("is_first", F.lit(True)))
     out = trends.join(F.broadcast(head), "genre", "left").select(
@@ -142,9 +144,9 @@ def genre_density(ratings: DataFrame, items: DataFrame, points: int = 100, cut:
     once with their number, and the kernel sums are partially aggregated before the shuffle. A genre needs
     two different means.
     """
-    values = (item_genre_means(ratings, items)
-              .filter((F.col("genre") != UNLISTED_GENRE) & F.col("mean_rating").isNotNull())
-              .groupBy("genre", F.col("mean_rating").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    values = cut_lineage(item_genre_means(ratings, items)
+                         .filter((F.col("genre") != UNLISTED_GENRE) & F.col("mean_rating").isNotNull())
+                         .groupBy("genre", F.col("mean_rating").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     v, c = F.col("v"), F.col("c")
     shapes = (values.groupBy("genre")
               .agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),

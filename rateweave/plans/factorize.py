@@ -13,7 +13,7 @@ from rateweave.functions.vectors import dot, hash_vector
 from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, lay_out, solve_side
 from rateweave.operators.scoring import predict_pairs
 from rateweave.operators.skew import split_join
-from rateweave.session import cut_lineage
+from rateweave.session import checkpoint_dir, cut_lineage
 
 # The reference model's settings, including the defaults it leaves unset.
 RANK = 24
@@ -29,13 +29,13 @@ def fit_als(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
     """Fit ALS on ``ratings(user_id, item_id, rating)``.
 
     ``alpha`` is set because the DataFrame API's own default (1.0) differs from the value wanted here.
-    ``blocks`` is the number of user and item blocks; raise it with the data.
+    ``blocks`` is the number of user and item blocks, by default one per task slot.
     """
+    blocks = blocks or ratings.sparkSession.sparkContext.defaultParallelism
+    checkpoint_dir(ratings.sparkSession)
     als = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations,
               regParam=regularization, alpha=alpha, implicitPrefs=implicit, seed=seed,
-              coldStartStrategy="drop", checkpointInterval=5)
-    if blocks:
-        als = als.setNumBlocks(blocks)
+              numUserBlocks=blocks, numItemBlocks=blocks, coldStartStrategy="drop", checkpointInterval=5)
     return als.fit(ratings.select("user_id", "item_id", "rating"))
 
 

@@ -46,6 +46,11 @@ def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = N
     (df.coalesce(parts) if parts else df).write.jdbc(url, table, mode="append", properties=properties or {})
 
 
+def append_users(users: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
+    """Append accepted sign-ups ``(id, name, ...)``."""
+    append_jdbc(users, url, table, properties, parts=1)
+
+
 def export_item_factors(factors: DataFrame, path: str) -> None:
     """One row per item holding its id and vector; nothing passes through the driver."""
     factors.select("item_id", "features").write.mode("overwrite").parquet(path)

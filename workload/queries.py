@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rateweave import schemas
 from rateweave.functions.lists import explode_lists
 from rateweave.functions.text import split_list, title_case
 from rateweave.operators.ranking import relative_sort
 from rateweave.operators.scoring import predict_pairs, profile_vectors
 from rateweave.plans import catalog, enrich, explore, factorize, recommend
 from rateweave.session import checkpoint_dir
-from rateweave.sources import readers
+from rateweave.sources import readers, writers
 from rateweave.streaming.pending import run_pending
-from workload.views import table, view
+from workload.views import VIEWS, table, view
 
 # The given pages have no image blocks; their menu entries have the same shape.
 MENU_MARKUP = {"container": "li", "child": "a", "attribute": "href"}
@@ -400,6 +401,14 @@ def implicit_als_top48(spark, sf_dir):
     return recommend.personal_scores(catalog.pending_users(t.users), t.ratings)
 
 
+@query
+def personal_top48(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    available = enrich.available_items(enrich.item_links(t.links), t.item_pages, "item_id", MENU_MARKUP,
+                                       require_image=True)
+    return recommend.personal_recommendations(catalog.pending_users(t.users), t.ratings, available)
+
+
 @query
 def implicit_item_factors(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -413,8 +422,6 @@ def implicit_item_factors(spark, sf_dir):
 def stream_quick_top12(spark, sf_dir):
     factors = view(spark, sf_dir, "item_factors")
     source = spark.readStream.schema(table(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/customer*.parquet")
-    from workload.views import VIEWS
-
     selections = spark.sql(VIEWS["users"], customer=source)
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -422,7 +429,4 @@ def stream_quick_top12(spark, sf_dir):
         return recommend.quick_scores(pending, factors).withColumnRenamed("score", "prediction")
 
     run_pending(selections, top12, f"{folder}/results", f"{folder}/ledger", f"{folder}/progress").awaitTermination()
-    from rateweave import schemas
-    from rateweave.sources import writers
-
     return writers.read_runs(spark, f"{folder}/results", schemas.RECOMMENDATIONS).select("user_id", "rank", "item_id")
