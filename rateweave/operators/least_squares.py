@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +74,21 @@ def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge:
                      (F.col("total") - F.col("n") * F.col("offset")).alias("target"),
                      (F.col("squares") - 2.0 * F.col("offset") * F.col("total")
                       + F.col("n") * F.col("offset") * F.col("offset")).alias("power"))
-    sums = _column_sums(met, key, size) if size <= widest else _batch_sums(met, key, size)
+    if size > widest:
+        sums = _batch_sums(met, key, size)
+        if pairs.hot[key] is not None:
+            # a hot key's splits are added up; other keys have one row already
+            sums = sums.groupBy(key).agg(F.sum("n").alias("n"), vector_sum("sums").alias("sums"))
+    else:
+        sums = _column_sums(met, key, size)
     if size == 1:
         gram, target = F.col("sums")[0], F.col("sums")[1]
         solved = sums.withColumn("x", target / (gram + F.lit(float(ridge[0]))))
         error = F.col("sums")[2] - 2.0 * F.col("x") * target + F.col("x") * F.col("x") * gram
         return solved.select(key, F.array("x").alias("solution"), "n", error.alias("squared_error"))
-    solved = sums.withColumn("s", _solver(size, ridge)("sums"))
-    return solved.select(key, F.slice("s", 1, size).alias("solution"), "n",
-                         F.col("s")[size].alias("squared_error"))
+    key_type = met.schema[key].dataType.simpleString()
+    return sums.mapInArrow(_solve_kernel(key, ridge),
+                           f"{key} {key_type}, solution array<double>, n double, squared_error double")
 
 
 def _triangle(size: int) -> list[tuple[int, int]]:
@@ -100,62 +105,111 @@ def _column_sums(met: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def _batch_sums(met: DataFrame, key: str, size: int) -> DataFrame:
-    # Rows of one key and split are brought next to each other, so that a batch yields few, full sums.
+    # Rows of one key and split are brought next to each other, so that each yields one row of full sums.
     split = f"{key}_split"
     near = met.repartition(key, split).sortWithinPartitions(key, split)
     key_type = met.schema[key].dataType.simpleString()
-    partial = near.drop(split).mapInArrow(_gram_kernel(key, size), f"{key} {key_type}, n double, sums array<double>")
-    return partial.groupBy(key).agg(F.sum("n").alias("n"), vector_sum("sums").alias("sums"))
+    return near.mapInArrow(_gram_kernel(key, split, size), f"{key} {key_type}, n double, sums array<double>")
+
+
+# The kernels are nested functions so that they are shipped by value: workers need numpy and pyarrow only.
 
 
-def _gram_kernel(key: str, size: int):
-    # Nested so that it is shipped by value and workers need no installed package.
+def _gram_kernel(key: str, split: str, size: int, long_run: int = 48, cells: int = 2_000_000):
+    """Sums per run of equal (key, split): Gram matrix above the diagonal, target, power."""
+
     def kernel(batches):
         import numpy as np
         import pyarrow as pa
 
-        upper = np.triu_indices(size)
+        left, right = np.triu_indices(size)
+        width = len(left) + size + 1
+
+        def run_sums(y, n, target, power, starts, ends):
+            out = np.empty((len(starts), width))
+            lengths = ends - starts
+            for run in np.flatnonzero(lengths >= long_run):
+                lo, hi = starts[run], ends[run]
+                part = y[lo:hi]
+                out[run, :len(left)] = (part.T @ (part * n[lo:hi, None]))[left, right]
+                out[run, len(left):-1] = target[lo:hi] @ part
+                out[run, -1] = power[lo:hi].sum()
+            # short runs together: products row by row, then added up per run, in chunks of bounded size
+            short = np.flatnonzero(lengths < long_run)
+            per_chunk = max(1, cells // (width * long_run))
+            for at in range(0, len(short), per_chunk):
+                runs = short[at:at + per_chunk]
+                length = lengths[runs]
+                first = np.cumsum(length) - length
+                rows = np.arange(length.sum()) + np.repeat(starts[runs] - first, length)
+                part = y[rows]
+                products = np.column_stack([part[:, left] * part[:, right] * n[rows, None],
+                                            part * target[rows, None], power[rows]])
+                out[runs] = np.add.reduceat(products, first)
+            return out
+
+        def record(keys, n, sums):
+            offsets = pa.array(np.arange(0, len(keys) * width + 1, width, dtype=np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))],
+                names=[key, "n", "sums"])
+
+        # the last run of a batch may go on in the next one
+        open_run = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = batch.column(key).to_numpy(zero_copy_only=False)
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            power = batch.column("power").to_numpy(zero_copy_only=False)
+            keys, splits, n, target, power = (batch.column(c).to_numpy(zero_copy_only=False)
+                                              for c in (key, split, "n", "target", "power"))
             y = batch.column("design").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            change = (keys[1:] != keys[:-1]) | (splits[1:] != splits[:-1])
+            starts = np.flatnonzero(np.r_[True, change])
             ends = np.r_[starts[1:], len(keys)]
-            out = np.empty((len(starts), len(upper[0]) + size + 1))
-            for row, (lo, hi) in enumerate(zip(starts, ends)):
-                part = y[lo:hi]
-                out[row, :len(upper[0])] = (part.T @ (part * n[lo:hi, None]))[upper]
-                out[row, len(upper[0]):-1] = target[lo:hi] @ part
-            out[:, -1] = np.add.reduceat(power, starts)
-            width = out.shape[1]
-            offsets = pa.array(np.arange(0, len(starts) * width + 1, width, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[starts]), pa.array(np.add.reduceat(n, starts)),
-                 pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))],
-                names=[key, "n", "sums"])
+            sums = run_sums(y, n, target, power, starts, ends)
+            counts = np.add.reduceat(n, starts)
+            if open_run is not None:
+                if open_run[0] == (keys[0], splits[0]):
+                    counts[0] += open_run[1]
+                    sums[0] += open_run[2]
+                else:
+                    yield record(np.array([open_run[0][0]], keys.dtype), np.array([open_run[1]]), open_run[2])
+            last = starts[-1]
+            open_run = ((keys[last], splits[last]), counts[-1], sums[-1].copy())
+            if len(starts) > 1:
+                yield record(keys[starts[:-1]], counts[:-1], sums[:-1])
+        if open_run is not None:
+            yield record(np.array([open_run[0][0]]), np.array([open_run[1]]), open_run[2])
 
     return kernel
 
 
-def _solver(size: int, ridge: list[float]):
-    @F.pandas_udf("array<double>")
-    def solve(sums: pd.Series) -> pd.Series:
+def _solve_kernel(key: str, ridge: list[float], chunk: int = 1024):
+    size = len(ridge)
+
+    def kernel(batches):
         import numpy as np
+        import pyarrow as pa
 
-        if len(sums) == 0:
-            return pd.Series([], dtype=object)
-        packed = np.stack(sums.to_numpy())
-        rows, columns = np.triu_indices(size)
-        gram = np.zeros((len(packed), size, size))
-        gram[:, rows, columns] = packed[:, :len(rows)]
-        gram[:, columns, rows] = packed[:, :len(rows)]
-        target = packed[:, len(rows):-1]
-        x = np.linalg.solve(gram + np.diag(ridge), target[:, :, None])[:, :, 0]
-        error = packed[:, -1] - 2.0 * (x * target).sum(axis=1) + np.einsum("ki,kij,kj->k", x, gram, x)
-        return pd.Series(list(np.column_stack([x, error])))
-
-    return solve
+        left, right = np.triu_indices(size)
+        width = len(left) + size + 1
+        for batch in batches:
+            count = batch.num_rows
+            packed = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(count, width)
+            x, error = np.empty((count, size)), np.empty(count)
+            for at in range(0, count, chunk):
+                part = packed[at:at + chunk]
+                gram = np.zeros((len(part), size, size))
+                gram[:, left, right] = part[:, :len(left)]
+                gram[:, right, left] = part[:, :len(left)]
+                target = part[:, len(left):-1]
+                solved = np.linalg.solve(gram + np.diag(ridge), target[:, :, None])[:, :, 0]
+                x[at:at + chunk] = solved
+                error[at:at + chunk] = (part[:, -1] - 2.0 * (solved * target).sum(axis=1)
+                                        + np.einsum("ki,kij,kj->k", solved, gram, solved))
+            offsets = pa.array(np.arange(0, count * size + 1, size, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), batch.column("n"),
+                 pa.array(error)],
+                names=[key, "solution", "n", "squared_error"])
+
+    return kernel
