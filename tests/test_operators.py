@@ -120,3 +120,17 @@ def test_profile_vectors_and_pairs(spark):
     assert rows(profiles) == [(7, [7.5, 10.0]), (9, [0.5, 2.0])]
     predicted = scoring.predict_pairs(picks.select("user_id", "item_id"), profiles, items)
     assert rows(predicted, "user_id", "item_id", "prediction") == [(7, 1, 7.5), (7, 2, 23.75), (9, 2, 4.25)]
+
+
+def test_prediction_blocks_hold_the_whole_matrix(spark):
+    rng = np.random.default_rng(4)
+    users = {u: rng.normal(size=3).tolist() for u in range(23)}
+    items = {i: rng.normal(size=3).astype(np.float32).astype(float).tolist() for i in range(40, 71)}
+    u, i, _ = frames(spark, users, items, {(0, 0)})
+    seen = {}
+    for r in scoring.prediction_blocks(u, i, 5, 8).collect():
+        assert len(r["values"]) == len(r["user_ids"]) * len(r["item_ids"])
+        for n, value in enumerate(r["values"]):
+            row, column = divmod(n, len(r["item_ids"]))
+            seen[r["user_ids"][row], r["item_ids"][column]] = value
+    assert seen == pytest.approx({(a, b): float(np.dot(users[a], items[b])) for a in users for b in items})
