@@ -42,7 +42,11 @@ def write_recommendations(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, parts: int | None = None) -> None:
-    """Append in one set-at-a-time write; ``parts`` bounds the number of connections."""
+    """Append in one set-at-a-time write; ``parts`` bounds the number of connections.
+
+    Each partition is one transaction. A task that is lost after its commit is run again, so the table should
+    have a unique key (run, user and item for recommendations).
+    """
     (df.coalesce(parts) if parts else df).write.jdbc(url, table, mode="append", properties=properties or {})
 
 

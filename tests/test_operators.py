@@ -87,15 +87,16 @@ def frames(spark, users, items, exclude):
             spark.createDataFrame(sorted(exclude), "user_id int, item_id int"))
 
 
-@pytest.mark.parametrize("k", [1, 5, 400])
+@pytest.mark.parametrize("k", [1, 400])
 def test_top_k_scores_equals_brute_force(spark, small_batches, k):
     rng = np.random.default_rng(k)
     # small whole numbers make exact ties common
-    users = {u: rng.integers(-2, 3, 3).astype(float).tolist() for u in range(0, 300, 2)}
-    items = {i: rng.integers(-2, 3, 3).astype(float).tolist() for i in range(5, 320, 3)}
+    users = {u: rng.integers(-2, 3, 3).astype(float).tolist() for u in range(0, 160, 2)}
+    items = {i: rng.integers(-2, 3, 3).astype(float).tolist() for i in range(5, 200, 3)}
     # user 0 has excluded almost everything, item 8 is excluded by everybody; some exclusions match nothing
     exclude = {(0, i) for i in items if i > 11} | {(u, 8) for u in users} | {(1, 5), (2, 9999), (4, 6)}
-    got = scoring.top_k_scores(*frames(spark, users, items, exclude)[:2], k, frames(spark, users, items, exclude)[2])
+    u, i, e = frames(spark, users, items, exclude)
+    got = scoring.top_k_scores(u, i, k, e)
     assert sorted(((u, i, s + 0.0, r) for u, i, s, r in got.collect()), key=repr) == brute_force(users, items, exclude, k, 6)
 
 
@@ -107,7 +108,7 @@ def test_top_k_scores_does_not_depend_on_the_grid(spark, monkeypatch):
     one = rows(scoring.top_k_scores(u, i, 7, e, n_users=1))
     monkeypatch.setattr(scoring, "USERS_PER_BLOCK", 16)
     assert rows(scoring.top_k_scores(u, i, 7, e)) == one
-    assert rows(scoring.top_k_scores(u, i, 7, e, n_users=100_000)) == one
+    assert rows(scoring.top_k_scores(u, i, 7, e, n_users=700)) == one
     assert scoring.top_k_scores(u.limit(0), i, 7, e).count() == 0
     assert scoring.top_k_scores(u, i.limit(0), 7, e).count() == 0
 
