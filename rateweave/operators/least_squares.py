@@ -40,14 +40,25 @@ class Pairs:
         return self.by[key].join(repeat_per_split(side, key, hot, split), [key, split])
 
 
-def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> Pairs:
+def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: float | None = None) -> Pairs:
+    """Reduce ratings to pairs and arrange them.
+
+    A pair has ``n``, the weight of its outer product, ``total``, the weight of its vector on the right-hand
+    side, and ``squares``, which is only summed. For explicit ratings these are count, sum and sum of squares.
+    With ``alpha`` ratings are implicit feedback: confidence beyond one, confidence of a liked item, and the
+    number of likes.
+    """
     keys = ("user_id", "item_id")
     rating = F.col("rating").cast("double")
+    if alpha is None:
+        sums = F.count(F.lit(1)).cast("double"), F.sum(rating), F.sum(rating * rating)
+    else:
+        liked = F.when(rating > 0, 1.0).otherwise(0.0)
+        sums = F.sum(alpha * F.abs(rating)), F.sum(liked * (1.0 + alpha * rating)), F.sum(liked)
     pairs = cut_lineage(
         ratings.filter(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("rating").isNotNull())
                .groupBy(*keys)
-               .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(rating).alias("total"),
-                    F.sum(rating * rating).alias("squares")))
+               .agg(*[c.alias(name) for c, name in zip(sums, ("n", "total", "squares"))]))
     n_pairs = pairs.count()
     hot = {key: hot_keys(pairs, key, rows_per_split) if n_pairs > rows_per_split else None for key in keys}
     rows = pairs
@@ -61,12 +72,15 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> Pairs:
 
 
 def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge: list[float],
-               widest: int = WIDEST_COLUMN_SUMS) -> DataFrame:
+               widest: int = WIDEST_COLUMN_SUMS, base: list[list[float]] | None = None) -> DataFrame:
     """Solve ``key`` against ``fixed(fixed_key, design, offset)``: ``(key, solution, n, squared_error)``.
 
     ``solution`` minimises the sum over the key's ratings of ``(rating - offset - solution . design)²`` plus
     ``ridge . solution²``. ``squared_error`` is that sum without the ridge, taken from the same equations,
     so that watching convergence costs no further join.
+
+    For implicit feedback ``base`` is the outer-product sum over all fixed vectors, which every key's equations
+    start from; the ridge then counts once per liked item and ``squared_error`` means nothing.
     """
     size = len(ridge)
     met = pairs.meet(fixed_key, fixed.select(fixed_key, "design", "offset"))
@@ -81,13 +95,13 @@ def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge:
             sums = sums.groupBy(key).agg(F.sum("n").alias("n"), vector_sum("sums").alias("sums"))
     else:
         sums = _column_sums(met, key, size)
-    if size == 1:
+    if size == 1 and base is None:
         gram, target = F.col("sums")[0], F.col("sums")[1]
         solved = sums.withColumn("x", target / (gram + F.lit(float(ridge[0]))))
         error = F.col("sums")[2] - 2.0 * F.col("x") * target + F.col("x") * F.col("x") * gram
         return solved.select(key, F.array("x").alias("solution"), "n", error.alias("squared_error"))
     key_type = met.schema[key].dataType.simpleString()
-    return sums.mapInArrow(_solve_kernel(key, ridge),
+    return sums.mapInArrow(_solve_kernel(key, ridge, base),
                            f"{key} {key_type}, solution array<double>, n double, squared_error double")
 
 
@@ -183,7 +197,7 @@ def _gram_kernel(key: str, split: str, size: int, long_run: int = 48, cells: int
     return kernel
 
 
-def _solve_kernel(key: str, ridge: list[float], chunk: int = 1024):
+def _solve_kernel(key: str, ridge: list[float], base: list[list[float]] | None, chunk: int = 1024):
     size = len(ridge)
 
     def kernel(batches):
@@ -202,7 +216,11 @@ def _solve_kernel(key: str, ridge: list[float], chunk: int = 1024):
                 gram[:, left, right] = part[:, :len(left)]
                 gram[:, right, left] = part[:, :len(left)]
                 target = part[:, len(left):-1]
-                solved = np.linalg.solve(gram + np.diag(ridge), target[:, :, None])[:, :, 0]
+                if base is None:
+                    system = gram + np.diag(ridge)
+                else:
+                    system = gram + np.array(base) + part[:, -1, None, None] * np.diag(ridge)
+                solved = np.linalg.solve(system, target[:, :, None])[:, :, 0]
                 x[at:at + chunk] = solved
                 error[at:at + chunk] = (part[:, -1] - 2.0 * (solved * target).sum(axis=1)
                                         + np.einsum("ki,kij,kj->k", solved, gram, solved))

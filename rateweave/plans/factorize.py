@@ -9,10 +9,10 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rateweave.functions.vectors import dot, hash_vector
+from rateweave.functions.vectors import dot, hash_vector, vector_sum
 from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, lay_out, solve_side
 from rateweave.operators.scoring import predict_pairs
-from rateweave.operators.skew import split_join
+from rateweave.operators.skew import hot_keys, split_join
 from rateweave.session import checkpoint_dir, cut_lineage
 
 # The reference model's settings, including the defaults it leaves unset.
@@ -22,6 +22,19 @@ REGULARIZATION = 0.1
 IMPLICIT_ALPHA = 0.01
 SEED = 42
 
+# MLlib keeps all ratings of one user or item in one block; beyond this many the splitting solver takes over.
+ROWS_PER_BLOCK_KEY = 20_000_000
+
+
+@dataclass(frozen=True)
+class FactorModel:
+    """``users(user_id, features[, bias])``, ``items(item_id, features[, bias])`` and the masked squared
+    error after every sweep, ``errors(sweep, error)``."""
+
+    users: DataFrame
+    items: DataFrame
+    errors: DataFrame | None
+
 
 def fit_als(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
             regularization: float = REGULARIZATION, alpha: float = IMPLICIT_ALPHA,
@@ -47,14 +60,41 @@ def item_factors(model: ALSModel) -> DataFrame:
     return model.itemFactors.withColumnRenamed("id", "item_id")
 
 
-@dataclass(frozen=True)
-class FactorModel:
-    """``users(user_id, features[, bias])``, ``items(item_id, features[, bias])`` and the masked squared
-    error after every sweep, ``errors(sweep, error)``."""
+def implicit_factors(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
+                     regularization: float = REGULARIZATION, alpha: float = IMPLICIT_ALPHA, seed: int = SEED,
+                     rows_per_key: int = ROWS_PER_BLOCK_KEY) -> FactorModel:
+    """User and item factors of implicit feedback, whatever the largest user or item is.
 
-    users: DataFrame
-    items: DataFrame
-    errors: DataFrame
+    MLlib's ALS does it unless a key has more than ``rows_per_key`` ratings.
+    """
+    if all(hot_keys(ratings, key, rows_per_key) is None for key in ("user_id", "item_id")):
+        model = fit_als(ratings, rank, iterations, regularization, alpha, seed=seed)
+        return FactorModel(user_factors(model), item_factors(model), None)
+    return split_implicit_als(ratings, rank, iterations, regularization, alpha, seed)
+
+
+def split_implicit_als(ratings: DataFrame, rank: int, iterations: int, regularization: float, alpha: float,
+                       seed: int = SEED, item_start: DataFrame | None = None) -> FactorModel:
+    """Implicit-feedback ALS on split hot keys: the same equations as MLlib's, from hashed initial factors."""
+    pairs = lay_out(ratings, alpha=alpha)
+    if item_start is None:
+        start = F.transform(hash_vector("item_id", rank, 1.0, seed), lambda x: x - 0.5)
+        item_start = pairs.by["item_id"].select("item_id").distinct().select("item_id", start.alias("features"))
+    items = item_start
+
+    def solved(key, fixed, fixed_key):
+        # size by size numbers, whatever the data size
+        outer = F.flatten(F.transform("features", lambda x: F.transform("features", lambda y: x * y)))
+        flat = fixed.select(outer.alias("o")).agg(vector_sum("o")).first()[0]
+        base = [list(flat[i * rank:(i + 1) * rank]) for i in range(rank)]
+        design = fixed.select(fixed_key, F.col("features").alias("design"), F.lit(0.0).alias("offset"))
+        out = solve_side(pairs, key, design, fixed_key, [regularization] * rank, base=base)
+        return cut_lineage(out.select(key, F.col("solution").alias("features")))
+
+    for _ in range(iterations):
+        users = solved("user_id", items, "item_id")
+        items = solved("item_id", users, "user_id")
+    return FactorModel(users, items, None)
 
 
 def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_start: DataFrame | None = None,

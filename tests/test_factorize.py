@@ -197,3 +197,51 @@ def test_model_factors_and_training_types(spark):
     assert factorize.item_factors(model).columns == ["item_id", "features"]
     assert factorize.item_factors(model).count() == 30
     assert model.transform(spark.createDataFrame([(101, 999)], "user_id int, item_id int")).count() == 0
+
+
+def dense_implicit(data, start, iterations, ridge, alpha):
+    """Implicit-feedback ALS stated per key over a list of (user, item, rating)."""
+    rank = len(next(iter(start.values())))
+
+    def solve(other, side):
+        base = sum(np.outer(y, y) for y in other.values())
+        out = {}
+        for key in {r[side] for r in data}:
+            a, b, likes = base.copy(), np.zeros(rank), 0
+            for r in (r for r in data if r[side] == key):
+                y, c = other[r[1 - side]], alpha * abs(r[2])
+                a += c * np.outer(y, y)
+                if r[2] > 0:
+                    b += (1 + c) * y
+                    likes += 1
+            out[key] = np.linalg.solve(a + ridge * likes * np.eye(rank), b)
+        return out
+
+    y = start
+    for _ in range(iterations):
+        x = solve(y, 0)
+        y = solve(x, 1)
+    return x, y
+
+
+def test_split_implicit_als_equals_its_equations(spark, monkeypatch):
+    data = [(u, i, r - 1.0) for u, i, r in uneven(seed=8)]  # zero ratings are no likes
+    ratings = spark.createDataFrame(data, "user_id int, item_id int, rating float")
+    start = {i: np.array([1 + i % 3, 0.5 - i % 2]) for i in {i for _, i, _ in data}}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in start.items()], "item_id int, features array<double>")
+    lay_out = least_squares.lay_out
+    monkeypatch.setattr(factorize, "lay_out", lambda r, alpha: lay_out(r, 10, alpha))
+    model = factorize.split_implicit_als(ratings, 2, 2, 0.1, 0.5, item_start=frame)
+    for frame, want in zip((model.users, model.items), dense_implicit(data, start, 2, 0.1, 0.5)):
+        got = {r[0]: r["features"] for r in frame.collect()}
+        assert got.keys() == want.keys()
+        for key, value in want.items():
+            assert got[key] == pytest.approx(list(value), abs=1e-8)
+
+
+def test_a_hot_key_changes_the_solver_not_the_recommendations(spark):
+    data = clusters(spark)
+    pending = spark.createDataFrame([(101, "0,1,2,3,4"), (102, "15,16,17,18,19")], "id int, item_ids string")
+    out = rows(personal_scores(pending, data, k=6, rank=2, iterations=4, rows_per_key=10), "user_id", "item_id")
+    assert len(out) == 12
+    assert all((item in range(5, 15)) if user == 101 else (item in range(20, 30)) for user, item in out)
