@@ -65,8 +65,8 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: flo
     for key, other in (keys, keys[::-1]):
         split = f"{key}_split"
         rows = rows.withColumn(split, F.lit(0)) if hot[key] is None else with_split(rows, key, hot[key], [other], split)
-    shuffle = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(shuffle, math.ceil(n_pairs / rows_per_split))
+    slots = ratings.sparkSession.sparkContext.defaultParallelism
+    partitions = max(slots, math.ceil(n_pairs / rows_per_split))
     by = {key: pin(rows, [key] if hot[key] is None else [key, f"{key}_split"], partitions) for key in keys}
     return Pairs(by, hot)
 

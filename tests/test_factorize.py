@@ -80,16 +80,20 @@ def test_hot_keys_and_repeated_pairs_change_nothing(spark, monkeypatch, widest):
     check_model(factorize.weighted_als(ratings, 2, 2, 0.3, frame, widest=widest), dense_als(data, start, 2, 0.3))
 
 
-def test_pairs_are_not_moved_by_a_step(spark):
+@pytest.mark.parametrize("shuffle_partitions", ["4", "200"])
+def test_pairs_are_not_moved_by_a_step(spark, shuffle_partitions):
     pairs = least_squares.lay_out(toy(spark))
     side = spark.range(4).select(F.col("id").cast("int").alias("item_id"), F.array(F.lit(1.0)).alias("design"),
                                  F.lit(0.0).alias("offset"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
     try:
         solved = least_squares.solve_side(pairs, "user_id", side, "item_id", [0.1])
         plan = spark._jvm.PythonSQLUtils.explainString(solved._jdf.queryExecution(), "simple")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     join = plan.index("SortMergeJoin")
     left = plan[join:plan.index("Scan ExistingRDD", join)]
     assert "Exchange" not in left and "Sort " not in left
