@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from rateweave.llm import quality
+from rateweave.llm import bpe, quality
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -22,3 +22,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality.measured(docs).select("doc_id", *[f"quality.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_removed_lines",
         "lost_chars", "base_failed", "kept")])
+
+
+@query
+def op7_byte_bpe(spark, sf_dir):
+    """Encode every document and decode it again; digests of ids and bytes."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
