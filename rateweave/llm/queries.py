@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rateweave.llm import bpe, quality
+from rateweave.llm import bpe, neardup, quality
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,9 @@ def op7_byte_bpe(spark, sf_dir):
     """Encode every document and decode it again; digests of ids and bytes."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query
+def op3_minhash(spark, sf_dir):
+    """Component and verdict of every document by confirmed near-duplicate links."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
