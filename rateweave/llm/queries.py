@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rateweave.llm import bpe, neardup, quality
+from rateweave.llm import bpe, decontaminate, neardup, quality
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -35,3 +35,9 @@ def op7_byte_bpe(spark, sf_dir):
 def op3_minhash(spark, sf_dir):
     """Component and verdict of every document by confirmed near-duplicate links."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    """Benchmark words and items found in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
