@@ -17,13 +17,13 @@ ORACLES = {
         with d as (select row_number() over () r, doc_id, regexp_extract_all({_FOLDED}, '{CONTENT}') ws from documents),
         b as (select item_id, regexp_extract_all({_FOLDED}, '{CONTENT}') ws from benchmark),
         i as (select item_id, ws, least(len(ws), 10) n from b where len(ws) > 0),
-        k as (select distinct item_id, n, array_to_string(ws[at:at + n - 1], ' ') run
-              from (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) at from i)),
-        p as (select r, n, at, array_to_string(ws[at:at + n - 1], ' ') run
-              from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) at
+        k as (select distinct item_id, n, array_to_string(ws[pos:pos + n - 1], ' ') run
+              from (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) pos from i)),
+        p as (select r, n, pos, array_to_string(ws[pos:pos + n - 1], ' ') run
+              from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) pos
                     from d cross join (select distinct n from k) where len(ws) >= n)),
-        h as (select r, at, p.n, item_id from p join k on p.n = k.n and p.run = k.run),
-        w as (select r, count(distinct word)::bigint n_hit from (select r, unnest(range(at, at + n)) word from h) group by r),
+        h as (select r, pos, p.n, item_id from p join k on p.n = k.n and p.run = k.run),
+        w as (select r, count(distinct word)::bigint n_hit from (select r, unnest(range(pos, pos + n)) word from h) group by r),
         t as (select r, count(*)::bigint n_items, string_agg(x, ',' order by x) listed
               from (select distinct r, item_id::varchar x from h) group by r)
         select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
