@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rateweave.llm import bpe, decontaminate, neardup, quality
+from rateweave.llm import bpe, decontaminate, neardup, pii, quality
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -41,3 +41,10 @@ def op3_minhash(spark, sf_dir):
 def op5_decontamination(spark, sf_dir):
     """Benchmark words and items found in every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_pii(spark, sf_dir):
+    """Personal data in every document: strict spans and what the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.found(docs, pii.fit(docs))
