@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rateweave.llm import bpe, decontaminate, neardup, pii, quality
+from rateweave.llm import bpe, decontaminate, neardup, pii, quality, token_counts, token_files
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,15 @@ def op4_pii(spark, sf_dir):
     """Personal data in every document: strict spans and what the trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.found(docs, pii.fit(docs))
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_token_files(spark, sf_dir):
+    """Every document's place, length and checksum as read back from grammar-compressed token files."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
