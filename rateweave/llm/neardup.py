@@ -30,14 +30,16 @@ WORD_BITS = 64
 class MinHash:
     """Parameters. Two sets are linked when ``scale`` times their intersection is at least ``least`` times their union.
 
-    A pair at the limit of 0.85 shares no band with probability (1 - 0.85^6)^42 = 2e-9. ``most_unlike`` of the 252 bits
-    may differ before a pair is given up unseen: at 0.85 the mean is 19 and the deviation 4.2.
+    There are ``minima`` hash functions; the first ``bands * rows`` make the bands, all give a bit. A pair at the limit of
+    0.85 shares no band with probability (1 - 0.85^6)^42 = 2e-9. ``most_unlike`` bits may differ before a pair is given
+    up unseen: at 0.85 the mean is 38 and the deviation 6.0, so that happens with probability 1e-6.
     """
 
     words: int = 5
+    minima: int = 512
     bands: int = 42
     rows: int = 6
-    most_unlike: int = 42
+    most_unlike: int = 68
     least: int = 85
     scale: int = 100
 
@@ -71,8 +73,7 @@ def shingle_set(text: str, length: int) -> np.ndarray:
 
 def sketch(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
     """``(doc_id, n_shingles, k1, k2, bands, bits)``; ``k1, k2`` name the set."""
-    n = how.bands * how.rows
-    longs = -(-n // WORD_BITS)
+    n, banded, longs = how.minima, how.bands * how.rows, how.minima // WORD_BITS
 
     def run(batches):
         import xxhash
@@ -92,12 +93,12 @@ def sketch(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
                 keys.append((int(digest[0]), int(digest[1])))
                 minima = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(found), 512):
-                    part = np.multiply.outer(found[at:at + 512], times)
+                for at in range(0, len(found), 256):
+                    part = np.multiply.outer(found[at:at + 256], times)
                     part += plus
                     np.minimum(minima, part.min(axis=0), out=minima)
                 minima = _mixed(minima)
-                rows = minima.reshape(how.bands, how.rows)
+                rows = minima[:banded].reshape(how.bands, how.rows)
                 bands.append(_mixed((rows * fold).sum(axis=1, dtype=np.uint64) + places).view(np.int64))
                 bits.append(np.packbits((minima & np.uint64(1)).astype(np.uint8), bitorder="little"))
             full = np.array(sizes, np.int64) > 0
@@ -107,7 +108,7 @@ def sketch(docs: DataFrame, how: MinHash = DEFAULT) -> DataFrame:
                 flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-            packed = [np.r_[b, np.zeros(8 * longs - len(b), np.uint8)].view(np.int64) for b in bits]
+            packed = [b.view(np.int64) for b in bits]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                  pa.array([k[1] for k in keys], pa.int64()), lists(bands, how.bands), lists(packed, longs)],
@@ -134,13 +135,12 @@ def _unlike(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are alike enough."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, n, t)``: the sizes of the pairs' intersections and the sums of their sets' sizes."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("t"))
-    return met.filter(how.scale * F.col("n") >= how.least * (F.col("t") - F.col("n"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("t"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", how: MinHash = DEFAULT) -> DataFrame:
@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     id of its equals and is kept if there is none (``component_id`` is null then). Ties cannot occur: the least id
     decides. An empty table gives an empty table; other columns are ignored.
     """
-    longs = -(-how.bands * how.rows // WORD_BITS)
+    longs = how.minima // WORD_BITS
+    linked = how.scale * F.col("n") >= how.least * (F.col("t") - F.col("n"))
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = saved(sketch(own, how), "sketches")
     filled = known.filter("n_shingles > 0")
@@ -166,8 +167,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = saved(entries.join(shared, "bucket"), "members")
     facts = saved(members.groupBy("doc_id").agg(F.sum("size").alias("mates")).join(
-        heads.groupBy("doc_id").agg(F.first("bits").alias("bits")), "doc_id"), "facts")
-    sets = saved(shingles(own.join(facts.select("doc_id"), "doc_id", "left_semi"), how.words), "sets")
+        heads.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits")), "doc_id"), "facts")
+    # texts are shuffled at every size: which ones are wanted grows with the corpus and is never broadcast
+    sets = saved(shingles(own.join(facts.select("doc_id").hint("merge"), "doc_id", "left_semi"), how.words), "sets")
 
     # a hub for every bucket
     hubs = members.join(facts.select("doc_id", "mates"), "doc_id").groupBy("bucket").agg(
@@ -176,9 +178,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
         F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     bits = facts.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"))
     bits_b = facts.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"))
-    alike = _unlike("bits_a", "bits_b", longs) <= how.most_unlike
+    # an id with several texts has no bits; its pairs are always measured
+    alike = F.coalesce(_unlike("bits_a", "bits_b", longs) <= how.most_unlike, F.lit(True))
     tried = stars.join(bits, "a").join(bits_b, "b").filter(alike).select("a", "b")
-    links = saved(_confirmed(tried, sets, how), "links")
+    measured = saved(_measured(tried, sets), "measured")
+    links = measured.filter(linked).select("a", "b")
     first = components(links)
 
     # what the hubs did not join
@@ -187,15 +191,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
                                         F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rest = placed.join(mixed.join(hubs, "bucket"), "bucket").join(facts.select("doc_id", "bits"), "doc_id")
-    rest = saved(rest.filter("doc_id <> hub").drop("hub", "parts"), "rest")
+    gap = F.first(1.0 - F.col("n") / (F.col("t") - F.col("n")))
+    known_gap = measured.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == 1, gap).alias("gap"))
+    rest = placed.join(mixed.join(hubs, "bucket"), "bucket").filter("doc_id <> hub").withColumns({
+        "a": F.least("doc_id", "hub"), "b": F.greatest("doc_id", "hub")})
+    rest = saved(rest.join(known_gap, ["a", "b"], "left").select("bucket", "doc_id", "component", "largest", "gap"), "rest")
+    met = facts.select("doc_id", "bits").join(
+        rest.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets")), "doc_id")  # at most one a band
+    rest = rest.join(met, "doc_id")
     outside = rest.filter("component <> largest").select(
-        "bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("bits_a"))
-    others = rest.select(F.col("bucket").alias("bucket_b"), F.col("doc_id").alias("b"), F.col("component").alias("cb"),
-                         F.col("bits").alias("bits_b"), (F.col("component") == F.col("largest")).alias("inside"))
+        "bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("bits_a"),
+        F.col("buckets").alias("buckets_a"), F.col("gap").alias("gap_a"))
+    others = rest.select(
+        F.col("bucket").alias("bucket_b"), F.col("doc_id").alias("b"), F.col("component").alias("cb"),
+        F.col("bits").alias("bits_b"), F.col("buckets").alias("buckets_b"), F.col("gap").alias("gap_b"),
+        (F.col("component") == F.col("largest")).alias("inside"))
+    # Jaccard distance is a metric: two sets whose distances to the hub differ by more than the limit are no link
+    far = F.coalesce(F.abs(F.col("gap_a") - F.col("gap_b")) > 1.0 - how.least / how.scale + 1e-9, F.lit(False))
+    once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
     across = outside.join(others, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb"))
-                          & (F.col("inside") | (F.col("a") < F.col("b"))) & alike)
-    late = _confirmed(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, how)
+                          & (F.col("inside") | (F.col("a") < F.col("b"))) & ~far & alike & once)
+    late = _measured(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    late = late.filter(linked).select("a", "b")
 
     # texts under one id are one document
     labelled = saved(known.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left"), "labelled")

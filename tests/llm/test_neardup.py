@@ -81,6 +81,13 @@ def test_one_id_with_several_texts_is_one_document(documents):
     assert {(i, c) for i, _, c, _ in found(documents(rows))} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_links_of_every_text_of_an_id(documents):
+    r = random.Random(9)
+    one, two = [[f"u{r.randrange(10**6)}" for _ in range(100)] for _ in range(2)]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, edited(r, one, 1)), (3, edited(r, two, 1)), (4, "else")]
+    assert {(i, c) for i, _, c, _ in found(documents(rows))} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_one_of_a_group_stays(documents):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (None, "x y"), (None, "q"), (5, None)]
     kept = neardup.deduplicated(documents(rows, extra=True))
