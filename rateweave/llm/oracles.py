@@ -12,7 +12,28 @@ CONTENT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 
+HOST_SQL = "rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.')"
+
 ORACLES = {
+    "op6_url_filter": rf"""
+        with p as (select row_number() over () r, page_id n, url, nullif({HOST_SQL}, '') host from pages),
+        e as (select distinct lower(case when n % 3 = 0 or (n % 3 = 2 and n % 30 <> 2) then host
+                                    when n % 3 = 1 then host || regexp_extract(url, '://[^/?#]+(/[^/?#]+)', 1)
+                                    else regexp_replace(host, '^[^.]+\.', '') end) k,
+                     'c' || (n % 4)::varchar category, (n * 7 + 11) % 360 t, n % 5 < 2 added from p),
+        a as (select k, category, t, bool_or(added) added from e where k is not null group by all),
+        i as (select k, category, t since, lead(t) over (partition by k, category order by t) until, added from a),
+        w as (select r, n % 360 t, host, string_split(host, '.') labels,
+                     list_filter(string_split(regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '')[1:3] parts from p),
+        c as (select distinct r, t, k from (
+                select r, t, unnest(list_concat(
+                    list_transform(range(1, len(labels) + 1), lambda j: array_to_string(labels[j:], '.')),
+                    list_transform(range(1, len(parts) + 1), lambda j: host || '/' || array_to_string(parts[1:j], '/')))) k from w)),
+        h as (select r, c.k, category from c join i on c.k = i.k and added and since <= t and (until is null or t < until)),
+        v as (select r, count(*)::bigint n_active, count(distinct category)::bigint n_categories, max((length(k), k)) best from h group by r)
+        select n page_id, host, coalesce(n_active, 0)::bigint n_active, coalesce(n_categories, 0)::bigint n_categories,
+               best[2] closest, best is null allowed
+        from p left join v using (r)""",
     "op5_decontamination": rf"""
         with d as (select row_number() over () r, doc_id, regexp_extract_all({_FOLDED}, '{CONTENT}') ws from documents),
         b as (select item_id, regexp_extract_all({_FOLDED}, '{CONTENT}') ws from benchmark),

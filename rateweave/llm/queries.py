@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from rateweave.llm import bpe, decontaminate, neardup, pii, quality, token_counts, token_files
+from rateweave.llm import bpe, decontaminate, neardup, pii, quality, token_counts, token_files, url_filter
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -60,3 +61,26 @@ def op8_token_counts(spark, sf_dir):
 def op9_token_files(spark, sf_dir):
     """Every document's place, length and checksum as read back from grammar-compressed token files."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+LIST_DAYS = 360
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    """Every page, as a capture of the day its id gives, against a list whose history all pages give.
+
+    A page lists its own host, its host's parent domain or its path, depending on its id, and adds or removes it on
+    another day of the year; so every host has a history and every page is both an entry and a capture.
+    """
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    host = url_filter.host_of(F.col("url"))
+    captures = pages.select("page_id", "url", F.pmod(n, F.lit(LIST_DAYS)).alias("fetched_at"))
+    parent = F.regexp_replace(host, "^[^.]+\\.", "")
+    path = F.concat(host, F.regexp_extract("url", "://[^/?#]+(/[^/?#]+)", 1))
+    entries = pages.select(
+        F.when(n % 3 == 0, host).when(n % 3 == 1, path).otherwise(F.when(n % 30 == 2, parent).otherwise(host)).alias("key"),
+        F.concat(F.lit("c"), (n % 4).cast("string")).alias("category"), F.pmod(n * 7 + 11, F.lit(LIST_DAYS)).alias("listed_at"),
+        F.when(n % 5 < 2, "add").otherwise("remove").alias("action"))
+    return url_filter.judged(captures, entries)
