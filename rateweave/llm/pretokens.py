@@ -13,17 +13,19 @@ import re
 
 import numpy as np
 
+from rateweave.llm.bpe import compiled
 from rateweave.llm.common import worker_cache
 
 #: Remembered chunks and pre-tokens of a worker; it starts anew beyond that.
 REMEMBERED = 600_000
+#: Fixed value: the byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class LibraryIds:
     """Ids of one tokenizer file (JSON), as bytes of 32-bit integers."""
 
     def __init__(self, data: bytes):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode())
@@ -36,10 +38,13 @@ class LibraryIds:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
         self.special = [t["content"] for t in described["added_tokens"]]
         self.chunks = re.compile(r" (?=\S)").split
-        # for ASCII only, where it is the byte-level pre-tokenizer's own pattern
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
-        blank = {b: 256 + n for n, b in enumerate([*range(33), 127])}  # how the byte level writes these bytes
-        self.written = str.maketrans({chr(b): chr(c) for b, c in blank.items()})
+        self.pieces = compiled(PATTERN).findall
+        self.tokenize = self.library.model.tokenize
+        # how the byte level writes bytes: visible ones as they are, others from 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.written = str.maketrans({chr(b): chr(256 + n) for n, b in enumerate(hidden)})
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
@@ -57,20 +62,28 @@ class LibraryIds:
             self.later.clear()
         if len(self.piece) > REMEMBERED:
             self.piece.clear()
-        for known, chunks, before in ((self.first, first, ""), (self.later, later, " ")):
-            new = [c for c in chunks if c not in known]
-            plain = [c for c in new if c.isascii()]
-            other = [c for c in new if not c.isascii()]
-            encodings = self.library.encode_batch_fast([before + c for c in other], add_special_tokens=False)
-            known.update((c, np.array(e.ids, np.int32).tobytes()) for c, e in zip(other, encodings))
-            known.update((c, b"".join([self._piece(p) for p in self.pieces(before + c)])) for c in plain)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.piece.get(piece)
-        if ids is None:
-            tokens = self.library.model.tokenize(piece.translate(self.written))
-            ids = self.piece[piece] = np.array([t.id for t in tokens], np.int32).tobytes()
-        return ids
+        later_ids, ask = self.later, self._ask
+        for c in later:
+            if c not in later_ids:
+                later_ids[c] = ask(" " + c) if c.isalpha() else self._chunk(" " + c)
+        for c in first:
+            if c not in self.first:
+                self.first[c] = self._chunk(c)
+
+    def _chunk(self, chunk: str) -> bytes:
+        known, out = self.piece, []
+        for p in self.pieces(chunk):
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = self._ask(p)
+            out.append(ids)
+        return b"".join(out)
+
+    def _ask(self, piece: str) -> bytes:
+        """The library's merges for one pre-token."""
+        written = piece if piece.isascii() else piece.encode().decode("latin-1")
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(written.translate(self.written))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [self.whole(t) for t in texts]

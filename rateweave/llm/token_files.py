@@ -38,58 +38,62 @@ PAIRS, LEAST_COUNT, LEAST_SAVED = 512, 24, 0.01
 
 # --- grammar ---
 
-def _frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) with at least ``LEAST_COUNT`` occurrences and their counts."""
-    pairs = seq[:-1].astype(np.int64) << 32 | seq[1:]
-    # a count by hash bounds every pair's count from above; only pairs of heavy buckets are counted exactly
-    bucket = (pairs * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(44)
-    heavy = np.bincount(bucket.view(np.int64), minlength=1 << 20) >= LEAST_COUNT
-    found, counts = np.unique(pairs[heavy[bucket]], return_counts=True)
-    enough = (counts >= LEAST_COUNT) & (found >> 32 != found & 0xFFFFFFFF)
-    return found[enough], counts[enough]
+def _round(seq: np.ndarray, turn: int, base: int, known: int) -> tuple[np.ndarray, list[tuple[int, int]], int]:
+    """One round: the new sequence, the new rules and the number of replacements.
+
+    Pairs are counted by hash in a table. Every slot speaks for one pair, the last that fell into it, and counts only
+    that; pairs that lost their slot have another chance with the next round's hash.
+    """
+    left, right = seq[:-1], seq[1:]
+    odd = np.uint32(2654435761 + 2 * 7919 * turn & 0xFFFFFFFF)
+    slot = ((left * odd + right) * np.uint32(2246822519) >> np.uint32(12)).astype(np.int32)
+    place = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= LEAST_COUNT)[slot]).astype(np.int32)
+    slot = slot[place]
+    speaker = np.zeros(1 << 20, np.int32)
+    speaker[slot] = place
+    spoken = speaker[slot]
+    own = (left[spoken] == left[place]) & (right[spoken] == right[place])
+    place, slot = place[own], slot[own]
+    count = np.bincount(slot, minlength=1 << 20)
+    often = np.flatnonzero(count >= LEAST_COUNT)
+    a, b = left[speaker[often]].astype(np.int64), right[speaker[often]].astype(np.int64)
+    # no symbol may end one chosen pair and begin another, so occurrences never overlap
+    rule_of, rules, lefts, rights = np.full(1 << 20, -1, np.int32), [], set(), set()
+    for k in np.lexsort((b, a, -count[often])).tolist():
+        x, y = int(a[k]), int(b[k])
+        if x != y and x not in rights and y not in lefts:
+            lefts.add(x)
+            rights.add(y)
+            rule_of[often[k]] = len(rules)
+            rules.append((x, y))
+            if len(rules) == PAIRS:
+                break
+    rule = rule_of[slot]
+    spots, rule = place[rule >= 0], rule[rule >= 0]
+    seq = seq.copy()
+    seq[spots] = (base + known + rule).astype(np.uint32)
+    keep = np.ones(len(seq), bool)
+    keep[spots + 1] = False
+    return seq[keep], rules, len(spots)
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(symbols, rules, sizes)``; rule ``k`` is the pair that symbol ``base + k`` stands for.
 
-    A round replaces many pairs at once. They are chosen by falling count such that no symbol is the left end of one and
-    the right end of another; so no two occurrences overlap and the order of replacement does not matter.
+    A round replaces up to ``PAIRS`` pairs at once, by falling count; rounds end when one saves too little.
     """
-    seq, rules, sizes = ids.astype(np.int64), [], []
+    seq, rules, turn = ids.astype(np.uint32), [], 0
     while len(seq) > 1:
-        pairs, counts = _frequent_pairs(seq)
-        chosen, lefts, rights = [], set(), set()
-        for p in pairs[np.lexsort((pairs, -counts))].tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            if a not in rights and b not in lefts:
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(p)
-                if len(chosen) == PAIRS:
-                    break
-        if not chosen:
-            break
-        keys = np.sort(np.array(chosen, np.int64))
-        ends = base + len(rules) + len(keys)
-        left = np.zeros(ends, bool)
-        left[keys >> 32] = True
-        spots = np.flatnonzero(left[seq[:-1]])
-        here = seq[spots] << 32 | seq[spots + 1]
-        at = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
-        hit = keys[at] == here
-        spots, at = spots[hit], at[hit]
-        saved = len(spots)
-        seq[spots] = base + len(rules) + at
-        keep = np.ones(len(seq), bool)
-        keep[spots + 1] = False
-        before, seq = len(seq), seq[keep]
-        for p in keys.tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            rules.append((a, b))
-            sizes.append(sum(1 if x < base else sizes[x - base] for x in (a, b)))
+        before = len(seq)
+        seq, new, saved = _round(seq, turn, base, len(rules))
+        rules += new
+        turn += 1
         if saved < LEAST_SAVED * before:
             break
-    return seq, np.array(rules, np.int64).reshape(-1, 2), np.array(sizes, np.int64)
+    sizes: list[int] = []
+    for a, b in rules:
+        sizes.append(sum(1 if x < base else sizes[x - base] for x in (a, b)))
+    return seq.astype(np.int64), np.array(rules, np.int64).reshape(-1, 2), np.array(sizes, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
@@ -175,7 +179,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     """Encode ``docs`` by the tokenizer file at ``path`` and write shards to ``folder``, in ascending order of ``key``.
 
     A null text is an empty one and has just the end id. Null keys come first; rows with one key are ordered by their
-    text, so repeated rows each have their place. An empty table writes a table without rows. Other columns are ignored.
+    texts' hashes, then by the texts, so repeated rows each have their place. An empty table writes a table without rows. Other columns are ignored.
     Range partitions grow in number with the texts' bytes.
     """
     spark = docs.sparkSession
@@ -184,7 +188,8 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     total = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     slots = spark.sparkContext.defaultParallelism
     parts = max(slots, -(-total // partition_bytes))
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions(
+        "doc_id", "h", "text").drop("h")
 
     def run(batches):
         from pyspark import TaskContext
@@ -215,13 +220,14 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards with ``start``, the ids of all shards before it."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    # one row per range partition
+    return spark.read.schema(SHARD_SCHEMA).parquet(folder)
+
+
+def part_starts(shards: DataFrame) -> DataFrame:
+    """``(part, offset)``: the ids of all range partitions before one; a row for each partition."""
     sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return shards.join(offsets, "part").withColumn("start", F.col("offset") + F.col("first")).drop("offset")
+    return sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
 def summaries(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
@@ -229,18 +235,21 @@ def summaries(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFram
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                found = [(d, row["start"] + lo, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                found = [(row["part"], d, row["first"] + lo, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                          for d, lo, ids in Shard(row).documents()]
-                columns = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                                 names=[key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
+                                                 names=["part", "doc", "first", "n_tokens", "ids_crc32"])
 
-    return read(spark, folder).mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    shards = read(spark, folder)
+    found = shards.mapInArrow(run, "part bigint, doc bigint, first bigint, n_tokens bigint, ids_crc32 bigint")
+    # shards are decoded where they are read; what meets the offsets is a short row for each document
+    return found.join(part_starts(shards), "part").select(
+        F.col("doc").alias(key), (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, ids)`` of the documents in ``wanted``, by random access: only their symbols are expanded."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
+    shards = read(spark, folder)
     places = shards.select("part", "shard", F.posexplode("doc_ids").alias("_at", key))
     asked = places.join(wanted.select(key).distinct(), key).groupBy("part", "shard").agg(F.sort_array(F.collect_list("_at")).alias("_asked"))
 
