@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rateweave.llm import bpe, decontaminate, neardup, pii, quality, token_counts, token_files, url_filter
+from rateweave.llm import bpe, decontaminate, neardup, pii, quality, sentence_dedup, token_counts, token_files, url_filter
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -84,3 +84,10 @@ def op6_url_filter(spark, sf_dir):
         F.concat(F.lit("c"), (n % 4).cast("string")).alias("category"), F.pmod(n * 7 + 11, F.lit(LIST_DAYS)).alias("listed_at"),
         F.when(n % 5 < 2, "add").otherwise("remove").alias("action"))
     return url_filter.judged(captures, entries)
+
+
+@query
+def op2_sentence_dedup(spark, sf_dir):
+    """Every document without the sentences of spans that came before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_dedup.deduplicated(docs)

@@ -1,0 +1,62 @@
+"""Sentence spans against a plain search over small tables."""
+
+import random
+
+import pytest
+
+from rateweave.llm import sentence_dedup
+from rateweave.llm.sentence_dedup import RUN, WORDS, sentences
+
+
+def by_hand(rows):
+    """``[(id, text, n_removed)]`` for rows in order of their ids, all different."""
+    first, out = {}, []
+    for i, text in sorted(rows):
+        parts, lost = sentences(text or ""), set()
+        bare = [p.strip() for p in parts]
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                enough = b - a >= min(RUN, len(parts)) and len(" ".join(bare[a:b]).split()) >= WORDS
+                if enough and (a == 0 or len(parts) >= RUN):
+                    if first.setdefault(tuple(bare[a:b]), (i, a)) != (i, a):
+                        lost.update(range(a, b))
+                    break
+        out.append((i, "".join(p for n, p in enumerate(parts) if n not in lost) if lost else text, len(lost)))
+    return out
+
+
+def sentence(r):
+    return " ".join(f"s{r.randrange(500)}" for _ in range(r.randint(1, 9))) + r.choice([". ", "! ", ", ", ".\n", ".  "])
+
+
+def result(df):
+    return sorted(((r.doc_id, r.text, r.n_removed) for r in df.collect()), key=repr)
+
+
+def test_as_by_hand(documents):
+    r = random.Random(2)
+    shared = ["".join(sentence(r) for _ in range(9)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        parts = [sentence(r) for _ in range(r.randint(1, 12))]
+        parts.insert(r.randint(0, len(parts)), r.choice([*shared, "", "Same. "]))
+        rows.append((i * 7 % 61, "".join(parts)))
+    rows += [(200, "x y z. " * 40), (201, rows[0][1]), (202, None), (203, ""), (204, "no end " * 3_000), (205, "no end " * 3_000)]
+    got = result(sentence_dedup.deduplicated(documents(rows)))
+    assert got == sorted(by_hand(rows), key=repr)
+    assert sum(n > 0 for *_, n in got) > 40
+
+
+def test_odd_rows(spark, documents):
+    long = "One two three four, five six seven. Eight nine ten. Eleven twelve thirteen."
+    rows = [(None, long), (1, long), (1, long), (1, "short"), (2, None)]
+    docs = documents(rows, extra=True).withColumnRenamed("n", "n_removed")
+    got = sentence_dedup.deduplicated(docs)
+    assert got.columns == ["doc_id", "text", "quality", "words", "n_sentences", "n_removed"]
+    assert result(got) == sorted([(None, long, 0), (1, "", 4), (1, "", 4), (1, "short", 0), (2, None, 0)], key=repr)
+    assert sentence_dedup.deduplicated(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "a", "a. b", "a.\n\nb.  c", " lead. x", "1.5 x, y;z"])
+def test_sentences_are_the_text(text):
+    assert "".join(sentences(text)) == text
