@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rateweave.llm import bpe, decontaminate, neardup, pii, quality, sentence_dedup, token_counts, token_files, url_filter
+from rateweave.llm import bpe, chat, decontaminate, neardup, pii, quality, sentence_dedup, token_counts, token_files, url_filter
 from rateweave.llm.common import table
 
 QUERIES = {}
@@ -91,3 +91,9 @@ def op2_sentence_dedup(spark, sf_dir):
     """Every document without the sentences of spans that came before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentence_dedup.deduplicated(docs)
+
+
+@query
+def op1_chat_format(spark, sf_dir):
+    """Every conversation with its roles repaired at least cost, rendered."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))

@@ -1,0 +1,106 @@
+"""Chat formatting against every possible repair of short conversations."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from rateweave.llm import chat
+from rateweave.llm.chat import ASSISTANT, BETWEEN, CLOSING, DEFAULT, START
+
+
+def legal(roles):
+    body = roles[1:] if roles[:1] == [1] else roles
+    return len(body) % 2 == 0 and (bool(body) or not roles) and all(r == 2 + i % 2 for i, r in enumerate(body))
+
+
+def cheapest(roles):
+    """The least cost over all labellings, merges and up to two inserts anywhere."""
+    best = 10**9
+    for labels in itertools.product((1, 2, 3), repeat=len(roles)):
+        price = sum(0 if a == b else DEFAULT.unknown if b == 0 else DEFAULT.relabel for a, b in zip(labels, roles))
+        for joins in itertools.product((False, True), repeat=max(0, len(roles) - 1)):
+            if any(j and labels[i] != labels[i + 1] for i, j in enumerate(joins)):
+                continue
+            turns = [labels[0]] if labels else []
+            turns += [b for b, j in zip(labels[1:], joins) if not j]
+            fixed = price + DEFAULT.merge * sum(joins)
+            gaps = [(), (1,), (2,), (3,), (2, 3), (3, 2)]
+            for fill in itertools.product(gaps, repeat=len(turns) + 1):
+                added = sum(map(len, fill))
+                if fixed + DEFAULT.insert * added >= best:
+                    continue
+                whole = [*fill[0], *[x for t, f in zip(turns, fill[1:]) for x in (t, *f)]]
+                if legal(list(whole)):
+                    best = fixed + DEFAULT.insert * added
+    return best
+
+
+def own(roles):
+    matrices = [chat.turn_matrix(r, DEFAULT) for r in roles]
+    states = chat.best_path(matrices, START, chat.closing_costs(DEFAULT))
+    return chat.repaired([(r, f"t{i}") for i, r in enumerate(roles)], START, states[-1], True)
+
+
+@pytest.mark.parametrize("roles", [r for n in (1, 2) for r in itertools.product(range(4), repeat=n)]
+                         + [(2, 2, 3), (3, 1, 2), (1, 1, 3), (0, 0, 0), (3, 3, 2)])
+def test_least_cost(roles):
+    pieces, cost, counts = own(roles)
+    assert cost == cheapest(roles)
+    assert legal([r for r, _, joined in pieces if not joined])
+    assert [t for _, t, _ in pieces if t] == [f"t{i}" for i in range(len(roles))]
+
+
+def test_matrices_are_associative():
+    r = np.random.default_rng(1)
+    a, b, c = (chat.turn_matrix(int(x), DEFAULT) for x in r.integers(0, 4, 3))
+    assert (chat.product(chat.product(a, b), c) == chat.product(a, chat.product(b, c))).all()
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, cost string")
+
+
+def joined(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r.segment):
+        text, cost, n = out.get(r.conv_id, ("", 0, 0))
+        out[r.conv_id] = (text + r.text, cost + r.cost, n + r.n_turns)
+    return out
+
+
+def test_rendered(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, "assistant", "yes"), (2, 5, "assistant", None),
+            (2, 5, "assistant", None), (None, 0, "USER ", "q"), (3, None, "tool", "first"), (3, 1, None, "second"), (4, 1, "user", "")]
+    got = joined(chat.formatted(table(spark, rows)))
+    assert got[1] == ("<|user|>\nhi\nthere<|end|>\n<|assistant|>\nyes<|end|>\n", 1, 3)
+    assert got[2] == ("<|user|>\n<|end|>\n<|assistant|>\n\n<|end|>\n", 3, 2)
+    assert got[None] == ("<|user|>\nq<|end|>\n<|assistant|>\n<|end|>\n", 2, 1)
+    assert got[3] == ("<|user|>\nfirst<|end|>\n<|assistant|>\nsecond<|end|>\n", 2, 2)
+    assert got[4][1:] == (2, 1)
+    assert chat.formatted(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block,group", [(512, 512), (3, 2), (1, 3)])
+def test_long_conversations_are_divisible(spark, monkeypatch, block, group):
+    monkeypatch.setattr(chat, "GROUP", group)
+    r = random.Random(5)
+    names = {0: "tool", 1: "system", 2: "user", 3: "assistant"}
+    convs = {c: [r.choice((2, 3, 2, 3, 1, 0)) for _ in range(n)] for c, n in ((1, 40), (2, 3), (3, 75), (4, 1))}
+    rows = [(c, i, names[x], f"{c}.{i}") for c, roles in convs.items() for i, x in enumerate(roles)]
+    got = joined(chat.formatted(table(spark, rows), block=block))
+    for c, roles in convs.items():
+        matrices = [chat.turn_matrix(x, DEFAULT) for x in roles]
+        states = chat.best_path(matrices, START, chat.closing_costs(DEFAULT))
+        pieces, cost, _ = chat.repaired([(x, f"{c}.{i}") for i, x in enumerate(roles)], START, states[-1], True)
+        text, own_cost, n = got[c]
+        assert (own_cost, n) == (cost, len(roles))
+        turns = text.removesuffix("<|end|>\n").split("<|end|>\n")
+        kinds = [list(names.values()).index(t[2:t.index("|>")]) for t in turns]
+        assert legal(kinds)
+        assert [p for t in turns for p in t.split("\n")[1:] if p] == [f"{c}.{i}" for i in range(len(roles))]
+
+
+def test_tables_agree():
+    assert all(b != START for _, b in BETWEEN) and CLOSING[ASSISTANT] == ()
