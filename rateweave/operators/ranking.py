@@ -12,20 +12,22 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "row
                       start: int = 1) -> DataFrame:
     """Number all rows in ``order``, which has to be unique per row.
 
-    Rows are range-partitioned and written once, each row with its partition. The offsets are a
-    running sum over one row per partition, so the only ordered single-task step is as small as
-    the partition count.
+    Rows are range-partitioned, sorted where they are and written once, each with its partition and its place in it.
+    The offsets are a running sum over one row per partition, so the only ordered single-task step is as small as the
+    partition count, and rows are shuffled once.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = cut_lineage(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()))
-    per_part = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # the upper bits of this number are the partition, the lower 33 the place in it
+    ranged = cut_lineage(df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+                           .withColumn("_place", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    per_part = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
-    return (ranged.withColumn("_inside", inside)
+    return (ranged.withColumn("_part", part)
                   .join(F.broadcast(offsets), "_part")
-                  .withColumn(name, (F.col("_offset") + F.col("_inside") + (start - 1)).cast("bigint"))
-                  .drop("_part", "_inside", "_offset"))
+                  .withColumn(name, (F.col("_offset") + inside + start).cast("bigint"))
+                  .drop("_part", "_place", "_offset"))
 
 
 def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -2,9 +2,9 @@
 
 A key that holds a large share of the rows is cut into splits: the large side gets a split number
 from a hash of its other columns, the unique side is repeated once per split. Only keys above a row
-threshold are touched. The list of hot keys never exceeds ``MAX_HOT_KEYS`` short rows, which is what
-makes broadcasting it safe at any data size; keys beyond the list hold less than 1/MAX_HOT_KEYS of
-the rows each and need no split.
+threshold are touched, and the threshold is at least a ``MOST_HOT_KEYS``-th of all rows: no more keys than that
+can reach it, whatever the data are, so the list of hot keys may be broadcast and nothing is cut off it. A
+key below the threshold is no larger than a task's share of the rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rateweave.session import cut_lineage
 
-MAX_HOT_KEYS = 20_000
+MOST_HOT_KEYS = 100_000
 ROWS_PER_SPLIT = 1_000_000
 
 
@@ -23,12 +23,11 @@ def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> D
 
     The list is written once: both sides of a join have to see the same splits.
     """
+    given = df.filter(F.col(key).isNotNull())
+    threshold = max(rows_per_split, given.count() // MOST_HOT_KEYS)
     hot = cut_lineage(
-        df.filter(F.col(key).isNotNull())
-          .groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-          .filter(F.col("_n") > rows_per_split)
-          .orderBy(F.desc("_n"), F.col(key)).limit(MAX_HOT_KEYS)
-          .select(key, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("n_splits")))
+        given.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+             .select(key, F.ceil(F.col("_n") / threshold).cast("int").alias("n_splits")))
     return hot if hot.take(1) else None
 
 

@@ -24,10 +24,10 @@ def has_picks():
     return F.col("item_ids").isNotNull() & (F.trim("item_ids") != "")
 
 
-def pending_users(users: DataFrame, exclude_ids: tuple[int, ...] = (SEED_LAST_USER,)) -> DataFrame:
-    """Users who have picked items and whose recommendations have not been made: ``(id, item_ids)``."""
+def pending_users(users: DataFrame, exclude_ids: tuple[int, ...] = (SEED_LAST_USER,), more: list = ()) -> DataFrame:
+    """Users who have picked items and whose recommendations have not been made: ``(id, item_ids)`` and what ``more`` adds."""
     return (users.filter(~F.col("id").isin(*exclude_ids) & has_picks() & F.col("job_status").isNull())
-                 .select("id", "item_ids"))
+                 .select("id", "item_ids", *more))
 
 
 def picks_of(users: DataFrame) -> DataFrame:
@@ -98,11 +98,11 @@ def titles_with_prefix(items: DataFrame, prefix: str) -> DataFrame:
 
 
 def never_rated(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    return items.join(ratings.select("item_id"), "item_id", "left_anti")
+    return items.join(ratings.select("item_id").distinct(), "item_id", "left_anti")
 
 
 def rated(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    return items.join(ratings.select("item_id"), "item_id", "left_semi")
+    return items.join(ratings.select("item_id").distinct(), "item_id", "left_semi")
 
 
 def dense_index(df: DataFrame, key: str, order: list[str], name: str = "idx") -> DataFrame:

@@ -150,9 +150,13 @@ def genre_density(ratings: DataFrame, items: DataFrame, points: int = 100, cut:
     v, c = F.col("v"), F.col("c")
     shapes = (values.groupBy("genre")
               .agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
-                   F.sum(c * v).alias("s1"), F.sum(c * v * v).alias("s2"))
+                   (F.sum(c * v) / F.sum("c")).alias("mean"))
               .filter((F.col("n") > 1) & (F.col("high") > F.col("low"))))
-    variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
+    # squares of differences from the mean, not a difference of squares: means may be all but equal
+    off = v - F.col("mean")
+    shapes = (values.join(shapes, "genre").groupBy("genre", "n", "low", "high")
+              .agg(F.sum(c * off * off).alias("squares")))
+    variance = F.col("squares") / (F.col("n") - 1)
     h = F.sqrt(variance) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     grid = shapes.select("genre", "n", h.alias("h"),
                          (F.col("low") - cut * h).alias("from"), (F.col("high") + cut * h).alias("to"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateweave.functions.vectors import dot, hash_vector, vector_sum
 from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, lay_out, solve_side
 from rateweave.operators.scoring import predict_pairs
-from rateweave.operators.skew import hot_keys, split_join
-from rateweave.session import checkpoint_dir, cut_lineage
+from rateweave.operators.skew import split_join
+from rateweave.session import cut_lineage
 
 # The reference model's settings, including the defaults it leaves unset.
 RANK = 24
@@ -22,9 +21,6 @@ REGULARIZATION = 0.1
 IMPLICIT_ALPHA = 0.01
 SEED = 42
 
-# MLlib keeps all ratings of one user or item in one block; beyond this many the splitting solver takes over.
-ROWS_PER_BLOCK_KEY = 20_000_000
-
 
 @dataclass(frozen=True)
 class FactorModel:
@@ -36,46 +32,16 @@ class FactorModel:
     errors: DataFrame | None
 
 
-def fit_als(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
-            regularization: float = REGULARIZATION, alpha: float = IMPLICIT_ALPHA,
-            implicit: bool = True, seed: int = SEED, blocks: int | None = None) -> ALSModel:
-    """Fit ALS on ``ratings(user_id, item_id, rating)``.
-
-    ``alpha`` is set because the DataFrame API's own default (1.0) differs from the value wanted here.
-    ``blocks`` is the number of user and item blocks, by default one per task slot.
-    """
-    blocks = blocks or ratings.sparkSession.sparkContext.defaultParallelism
-    checkpoint_dir(ratings.sparkSession)
-    als = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations,
-              regParam=regularization, alpha=alpha, implicitPrefs=implicit, seed=seed,
-              numUserBlocks=blocks, numItemBlocks=blocks, coldStartStrategy="drop", checkpointInterval=5)
-    return als.fit(ratings.select("user_id", "item_id", "rating"))
-
-
-def user_factors(model: ALSModel) -> DataFrame:
-    return model.userFactors.withColumnRenamed("id", "user_id")
-
-
-def item_factors(model: ALSModel) -> DataFrame:
-    return model.itemFactors.withColumnRenamed("id", "item_id")
-
-
 def implicit_factors(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
                      regularization: float = REGULARIZATION, alpha: float = IMPLICIT_ALPHA, seed: int = SEED,
-                     rows_per_key: int = ROWS_PER_BLOCK_KEY) -> FactorModel:
-    """User and item factors of implicit feedback, whatever the largest user or item is.
+                     item_start: DataFrame | None = None, widest: int = WIDEST_COLUMN_SUMS) -> FactorModel:
+    """User and item factors of implicit feedback by alternating least squares.
 
-    MLlib's ALS does it unless a key has more than ``rows_per_key`` ratings.
+    The equations are those of MLlib's ALS: the ridge counts once per like, unrated pairs count with confidence one.
+    MLlib keeps all ratings of one user or item in one block, which a popular item outgrows; here hot keys are split,
+    so this is the one solver for every size. Users are solved first, from ``item_start(item_id, features)`` or from
+    hashed numbers around zero.
     """
-    if all(hot_keys(ratings, key, rows_per_key) is None for key in ("user_id", "item_id")):
-        model = fit_als(ratings, rank, iterations, regularization, alpha, seed=seed)
-        return FactorModel(user_factors(model), item_factors(model), None)
-    return split_implicit_als(ratings, rank, iterations, regularization, alpha, seed)
-
-
-def split_implicit_als(ratings: DataFrame, rank: int, iterations: int, regularization: float, alpha: float,
-                       seed: int = SEED, item_start: DataFrame | None = None) -> FactorModel:
-    """Implicit-feedback ALS on split hot keys: the same equations as MLlib's, from hashed initial factors."""
     pairs = lay_out(ratings, alpha=alpha)
     if item_start is None:
         start = F.transform(hash_vector("item_id", rank, 1.0, seed), lambda x: x - 0.5)
@@ -88,7 +54,7 @@ def split_implicit_als(ratings: DataFrame, rank: int, iterations: int, regulariz
         flat = fixed.select(outer.alias("o")).agg(vector_sum("o")).first()[0]
         base = [list(flat[i * rank:(i + 1) * rank]) for i in range(rank)]
         design = fixed.select(fixed_key, F.col("features").alias("design"), F.lit(0.0).alias("offset"))
-        out = solve_side(pairs, key, design, fixed_key, [regularization] * rank, base=base)
+        out = solve_side(pairs, key, design, fixed_key, [regularization] * rank, widest, base)
         return cut_lineage(out.select(key, F.col("solution").alias("features")))
 
     for _ in range(iterations):

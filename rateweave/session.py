@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins from real shuffle sizes and splits skewed join
@@ -31,7 +29,7 @@ def build_session(app_name: str = "rateweave", master: str | None = None, **conf
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only in local mode, where driver and executors share one disk.
+    Where it is unset, a folder in the warehouse serves, which driver and executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,9 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="rateweave-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

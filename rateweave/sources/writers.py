@@ -51,8 +51,8 @@ def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = N
 
 
 def append_users(users: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
-    """Append accepted sign-ups ``(id, name, ...)``."""
-    append_jdbc(users, url, table, properties, parts=1)
+    """Append accepted sign-ups ``(id, name, ...)``, over as many connections as there are partitions."""
+    append_jdbc(users, url, table, properties)
 
 
 def export_item_factors(factors: DataFrame, path: str) -> None:

@@ -22,23 +22,30 @@ def read_selections(spark: SparkSession, path: str, file_format: str = "json") -
     return spark.readStream.schema(schemas.USERS).format(file_format).load(path)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query when it made the checkpoint."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
 def run_pending(selections: DataFrame, recommend: Callable[[DataFrame], DataFrame], results: str, ledger: str,
                 checkpoint: str, exclude_ids: tuple[int, ...] = (SEED_LAST_USER,), name: str = "pending",
-                continuous: bool = False) -> StreamingQuery:
+                continuous: bool = False, newest_by: str | None = None) -> StreamingQuery:
     """Start the job on a stream of user rows.
 
     Each micro-batch drops users the ledger knows, calls ``recommend(pending)`` once for all of them, writes
     the results and then the ledger, both under the batch's run id. A batch that is replayed after a failure
-    sees the same users and replaces its own files. The query ends when all present files are processed;
-    with ``continuous`` it polls every 15 minutes instead.
+    sees the same users and replaces its own files. The run id holds the query's own id, which lasts as long as its
+    checkpoint, so queries with other checkpoints can share the folders. Of a user sent twice in one batch the row with
+    the largest ``newest_by`` counts (equal or no such column: the largest list). The query ends when all present files
+    are processed; with ``continuous`` it polls every 15 minutes instead.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"{name}-{batch_id:08d}"
         spark = batch.sparkSession
-        waiting = pending_users(batch, exclude_ids)
-        # a user sent twice in one batch counts once, with one of the lists
-        one = waiting.groupBy("id").agg(F.max("item_ids").alias("item_ids"))
+        run_id = f"{name}-{_query_id(spark, checkpoint)}-{batch_id:08d}"
+        newest = F.col(newest_by) if newest_by else F.lit(0)
+        waiting = pending_users(batch, exclude_ids, [newest.alias("_newest")])
+        one = waiting.groupBy("id").agg(F.max_by("item_ids", F.struct("_newest", "item_ids")).alias("item_ids"))
         todo = cut_lineage(writers.not_yet_processed(one, writers.processed_users(spark, ledger), run_id))
         if todo.isEmpty():
             return

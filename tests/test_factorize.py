@@ -8,7 +8,8 @@ from rateweave.plans.catalog import picks_of, with_new_users
 from rateweave.plans.recommend import personal_scores, relabel, score_model
 from tests.conftest import rows
 
-TOY = np.array([[5, 3, 0, 1], [4, 0, 0, 1], [1, 1, 0, 5], [1, 0, 0, 4], [0, 1, 5, 4]], dtype=float)
+TOY = np.random.default_rng(21).integers(0, 6, (5, 4)).astype(float)
+TOY[[0, 3], [2, 1]] = 0  # no ratings
 
 
 def toy(spark):
@@ -197,10 +198,10 @@ def test_model_factors_and_training_types(spark):
     training = with_new_users(clusters(spark), pending)
     assert [f.dataType.simpleString() for f in training.schema] == ["int", "int", "float"]
     assert training.filter("user_id = 101").count() == 3
-    model = factorize.fit_als(training, rank=3, iterations=2)
-    assert factorize.item_factors(model).columns == ["item_id", "features"]
-    assert factorize.item_factors(model).count() == 30
-    assert model.transform(spark.createDataFrame([(101, 999)], "user_id int, item_id int")).count() == 0
+    model = factorize.implicit_factors(training, rank=3, iterations=2)
+    assert model.items.columns == ["item_id", "features"]
+    assert model.items.count() == 30
+    assert model.users.filter("user_id = 101").count() == 1
 
 
 def dense_implicit(data, start, iterations, ridge, alpha):
@@ -228,14 +229,15 @@ def dense_implicit(data, start, iterations, ridge, alpha):
     return x, y
 
 
-def test_split_implicit_als_equals_its_equations(spark, monkeypatch):
+@pytest.mark.parametrize("rows_per_split, widest", [(10, 6), (10, 0), (10**6, 6), (10**6, 0)])
+def test_implicit_als_equals_its_equations(spark, monkeypatch, rows_per_split, widest):
     data = [(u, i, r - 1.0) for u, i, r in uneven(seed=8)]  # zero ratings are no likes
     ratings = spark.createDataFrame(data, "user_id int, item_id int, rating float")
     start = {i: np.array([1 + i % 3, 0.5 - i % 2]) for i in {i for _, i, _ in data}}
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in start.items()], "item_id int, features array<double>")
     lay_out = least_squares.lay_out
-    monkeypatch.setattr(factorize, "lay_out", lambda r, alpha: lay_out(r, 10, alpha))
-    model = factorize.split_implicit_als(ratings, 2, 2, 0.1, 0.5, item_start=frame)
+    monkeypatch.setattr(factorize, "lay_out", lambda r, alpha: lay_out(r, rows_per_split, alpha))
+    model = factorize.implicit_factors(ratings, 2, 2, 0.1, 0.5, item_start=frame, widest=widest)
     for frame, want in zip((model.users, model.items), dense_implicit(data, start, 2, 0.1, 0.5)):
         got = {r[0]: r["features"] for r in frame.collect()}
         assert got.keys() == want.keys()
@@ -243,9 +245,9 @@ def test_split_implicit_als_equals_its_equations(spark, monkeypatch):
             assert got[key] == pytest.approx(list(value), abs=1e-8)
 
 
-def test_a_hot_key_changes_the_solver_not_the_recommendations(spark):
+def test_personal_lists_follow_the_clusters(spark):
     data = clusters(spark)
     pending = spark.createDataFrame([(101, "0,1,2,3,4"), (102, "15,16,17,18,19")], "id int, item_ids string")
-    out = rows(personal_scores(pending, data, k=6, rank=2, iterations=4, rows_per_key=10), "user_id", "item_id")
+    out = rows(personal_scores(pending, data, k=6, rank=2, iterations=4), "user_id", "item_id")
     assert len(out) == 12
     assert all((item in range(5, 15)) if user == 101 else (item in range(20, 30)) for user, item in out)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rateweave.operators import ranking, scoring, skew
+from rateweave.plans import catalog
 from tests.conftest import rows
 
 
@@ -31,22 +32,34 @@ def test_top_k_per_key_trims_before_the_shuffle(spark):
     assert plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1) > plan.index("Exchange")
 
 
-def in_order_of(a, b):
-    """The contract of ``relative_sort``, stated for lists."""
-    last = {x: i for i, x in enumerate(b)}
-    present = iter(sorted((x for x in a if x in last), key=lambda x: last[x]))
-    return [next(present) if x in last else None for x in a]
+@pytest.mark.parametrize("a, b, want", [
+    ([3, 1, 2], [1, 2, 3], [1, 2, 3]),
+    ([5, 1, 9, 2], [2, 1], [None, 2, None, 1]),
+    ([4, 4, 7], [7, 4, 7], [4, 4, 7]),  # the last place of 7 counts
+    ([8, 9], [], [None, None]),
+])
+def test_relative_sort_examples(spark, a, b, want):
+    schema = "list_id int, pos int, value int"
+    left, right = (spark.createDataFrame([(1, p, v) for p, v in enumerate(x)], schema) for x in (a, b))
+    assert [v for _, _, v in rows(ranking.relative_sort(left, right), "list_id", "pos", "value")] == want
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.lists(st.integers(0, 9), max_size=12), st.lists(st.integers(0, 9), max_size=12)),
                 min_size=1, max_size=4))
-def test_relative_sort(spark, pairs):
+def test_relative_sort_properties(spark, pairs):
     schema = "list_id int, pos int, value int"
     a = spark.createDataFrame([(l, p, v) for l, (x, _) in enumerate(pairs) for p, v in enumerate(x)], schema)
     b = spark.createDataFrame([(l, p, v) for l, (_, y) in enumerate(pairs) for p, v in enumerate(y)], schema)
-    want = [(l, p, v) for l, (x, y) in enumerate(pairs) for p, v in enumerate(in_order_of(x, y))]
-    assert rows(ranking.relative_sort(a, b), "list_id", "pos", "value") == sorted(want, key=repr)
+    got = {(l, p): v for l, p, v in ranking.relative_sort(a, b).select("list_id", "pos", "value").collect()}
+    assert got.keys() == {(l, p) for l, (x, _) in enumerate(pairs) for p in range(len(x))}
+    for l, (x, y) in enumerate(pairs):
+        out = [got[l, p] for p in range(len(x))]
+        assert [v is None for v in out] == [v not in y for v in x]
+        kept = [v for v in out if v is not None]
+        assert sorted(kept) == sorted(v for v in x if v in y)
+        ranks = [len(y) - y[::-1].index(v) for v in kept]
+        assert ranks == sorted(ranks)
 
 
 def skewed(spark, n=3000):
@@ -106,7 +119,7 @@ def test_top_k_scores_does_not_depend_on_the_grid(spark, monkeypatch):
     items = {i: rng.normal(size=4).astype(np.float32).astype(float).tolist() for i in range(300)}
     u, i, e = frames(spark, users, items, {(3, 4)})
     one = rows(scoring.top_k_scores(u, i, 7, e, n_users=1))
-    monkeypatch.setattr(scoring, "USERS_PER_BLOCK", 16)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 16 * 4 * 8)
     assert rows(scoring.top_k_scores(u, i, 7, e)) == one
     assert rows(scoring.top_k_scores(u, i, 7, e, n_users=700)) == one
     assert scoring.top_k_scores(u.limit(0), i, 7, e).count() == 0
@@ -123,15 +136,22 @@ def test_profile_vectors_and_pairs(spark):
     assert rows(predicted, "user_id", "item_id", "prediction") == [(7, 1, 7.5), (7, 2, 23.75), (9, 2, 4.25)]
 
 
-def test_prediction_blocks_hold_the_whole_matrix(spark):
-    rng = np.random.default_rng(4)
-    users = {u: rng.normal(size=3).tolist() for u in range(23)}
-    items = {i: rng.normal(size=3).astype(np.float32).astype(float).tolist() for i in range(40, 71)}
-    u, i, _ = frames(spark, users, items, {(0, 0)})
-    seen = {}
-    for r in scoring.prediction_blocks(u, i, 5, 8).collect():
-        assert len(r["values"]) == len(r["user_ids"]) * len(r["item_ids"])
-        for n, value in enumerate(r["values"]):
-            row, column = divmod(n, len(r["item_ids"]))
-            seen[r["user_ids"][row], r["item_ids"][column]] = value
-    assert seen == pytest.approx({(a, b): float(np.dot(users[a], items[b])) for a in users for b in items})
+def test_scores_are_ranked_unrounded(spark):
+    u, i, e = frames(spark, {1: [1.0, 0.0]}, {1: [0.125, 3.0], 2: [0.125, 5.0]}, {(9, 9)})
+    near = i.withColumn("features", F.transform("features", lambda x: x.cast("double")))
+    near = near.withColumn("features", F.when(F.col("item_id") == 2, F.array(F.lit(0.1250003), F.lit(5.0))).otherwise(F.col("features")))
+    assert rows(scoring.top_k_scores(u, near, 1, e), "item_id") == [(2,)]
+
+
+def test_a_number_costs_one_shuffle_of_the_rows(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
+    plan = ranking.global_row_number(df, ["x"], "n")._jdf.queryExecution().toString()
+    assert "row_number" not in plan
+
+
+def test_the_right_side_of_an_anti_join_is_reduced_first(spark):
+    items = spark.range(10).select(F.col("id").cast("int").alias("item_id"))
+    ratings = spark.range(90).select((F.col("id") % 7).cast("int").alias("item_id"))
+    out = catalog.never_rated(items, ratings)
+    assert rows(out) == [(7,), (8,), (9,)]
+    assert "HashAggregate" in out._jdf.queryExecution().toString()

@@ -61,3 +61,28 @@ def test_two_drops_a_failure_and_a_restart(spark, tmp_path):
     drop(inbox, "3.json", [(1, "a", "2,3", None)])
     run()
     assert len(calls) == n
+
+
+def test_two_checkpoints_share_the_folders(spark, tmp_path):
+    factors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 9)], schemas.ITEM_FACTORS)
+    results, ledger = str(tmp_path / "results"), str(tmp_path / "ledger")
+    for n, user in (("one", 1), ("two", 2)):
+        drop(tmp_path / n, "1.json", [(user, "a", "3", None)])
+        pending.run_pending(pending.read_selections(spark, str(tmp_path / n)),
+                            lambda users: quick_scores(users, factors, k=2).withColumnRenamed("score", "prediction"),
+                            results, ledger, str(tmp_path / f"progress-{n}")).awaitTermination()
+    assert rows(writers.read_runs(spark, results, schemas.RECOMMENDATIONS).select("user_id").distinct()) == [(1,), (2,)]
+    assert rows(writers.processed_users(spark, ledger), "user_id") == [(1,), (2,)]
+
+
+def test_the_newest_picks_of_a_user_count(spark, tmp_path):
+    inbox, seen = tmp_path / "in", []
+    drop(inbox, "1.json", [(1, "1", "9,9", None), (1, "2", "3", None), (1, "0", "99", None)])  # ``name`` holds the order
+
+    def job(users):
+        seen.extend(rows(users, "id", "item_ids"))
+        return spark.createDataFrame([], schemas.RECOMMENDATIONS)
+
+    pending.run_pending(pending.read_selections(spark, str(inbox)), job, str(tmp_path / "r"), str(tmp_path / "l"),
+                        str(tmp_path / "p"), newest_by="name").awaitTermination()
+    assert seen == [(1, "3")]

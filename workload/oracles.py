@@ -14,7 +14,7 @@ sums as (select user_id, pos, sum(5.0 * cast(v as double)) s from picks join val
 profiles as (select user_id, list(s order by pos) f from sums group by user_id)"""
 SCORES = """
 scores as (
-    select user_id, item_id, round(list_dot_product(f, cast(features as double[])), 6) score
+    select user_id, item_id, list_dot_product(f, cast(features as double[])) score
     from profiles, {items}
     where not exists (select 1 from picks p where p.user_id = profiles.user_id and p.item_id = {items}.item_id)),
 top as (
@@ -72,6 +72,31 @@ def _rank2_sweeps(sweeps: int) -> list[str]:
     return parts
 
 
+def _implicit_sweeps(sweeps: int) -> list[str]:
+    """Implicit feedback at rank 2: confidence 1 + 0.01 |rating|, ridge 0.1 for every like."""
+    parts = ["r as materialized (select user_id, item_id, 0.01::double * abs(rating::double) c,"
+             " case when rating > 0 then 1.0::double else 0.0::double end liked from ratings)",
+             "v0 as materialized (select distinct item_id, cast(1.0 + (item_id % 10) / 10.0 as double) f,"
+             " cast(1.0 + (item_id % 7) / 7.0 as double) g from r)"]
+
+    def side(name, key, fixed, fixed_key):
+        return (f"{name} as materialized (select {key}, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) f,"
+                f" (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) g from (select {key},"
+                f" ff + sum(c * f * f) + 0.1::double * sum(liked) a11, fg + sum(c * f * g) a12,"
+                f" gg + sum(c * g * g) + 0.1::double * sum(liked) a22, sum(liked * (1 + c) * f) b1, sum(liked * (1 + c) * g) b2"
+                f" from r join {fixed} using ({fixed_key}),"
+                f" (select sum(f * f) ff, sum(f * g) fg, sum(g * g) gg from {fixed}) group by {key}, ff, fg, gg))")
+
+    for s in range(1, sweeps + 1):
+        parts += [side(f"u{s}", "user_id", f"v{s - 1}", "item_id"), side(f"v{s}", "item_id", f"u{s}", "user_id")]
+    return parts
+
+
+RANK2_ROWS = " union all ".join(
+    f"select '{side}' side, {side}_id id, cast({pos} as int) pos, round({c}, 6) as value from {name}"
+    for side, name in (("user", "u2"), ("item", "v2")) for pos, c in ((0, "f"), (1, "g")))
+
+
 def _bias_sweeps(source: str, sweeps: int) -> list[str]:
     parts = [f"r as materialized (select user_id, item_id, cast(rating as double) rating from {source})",
              "bi0 as materialized (select distinct item_id, cast(0 as double) b from r)"]
@@ -144,8 +169,9 @@ ORACLES = {
         select genre, count(*) n_reviews from ratings join genres using (item_id)
         where user_id in {_generous("w")} group by genre"""),
 
-    "items_never_rated": _q("ratings items", """
-        select * from items i where not exists (select 1 from ratings r where r.item_id = i.item_id)"""),
+    "items_never_rated": _q("ratings items item_pages", """
+        select * from items i where not exists (select 1 from ratings r join item_pages p using (item_id)
+                                                where r.item_id = i.item_id)"""),
     "items_never_picked": _q("users items", """
         p as (select cast(unnest(string_split(item_ids, ',')) as int) item_id from users where item_ids is not null)""",
         "select * from items i where not exists (select 1 from p where p.item_id = i.item_id)"),
@@ -187,6 +213,8 @@ ORACLES = {
         "select (select max(id) from users) + row_number() over (order by ordinal) id, name from f"),
     "next_user_id": _q("users", "select cast(max(id) + 1 as bigint) next_id from users"),
     "display_names": _q("users", "select id, upper(name[1]) || lower(name[2:]) display_name from users"),
+    "csv_ratings": _q("ratings", """
+        select user_id, item_id, cast(rating as double) rating, cast(year(rated_at) as int) as year from ratings"""),
     "typed_ratings": _q("ratings", """
         select user_id, item_id, cast(rating as double) rating, cast(year(rated_at) as int) as year from ratings"""),
     "ratings_with_new_users": _q("ratings users", PENDING, ALL_PICKS, """
@@ -203,14 +231,24 @@ ORACLES = {
         select user_id, item_id, round(list_dot_product(f, cast(features as double[])), 6) prediction
         from picks join profiles using (user_id) join item_factors using (item_id)"""),
     "quick_top12": _q("users item_factors", PICKS, PROFILES, SCORES.format(items="item_factors", k=12),
-                      "select user_id, item_id, score, cast(rank as int) rank from top"),
+                      "select user_id, item_id, round(score, 6) score, cast(rank as int) rank from top"),
+    "relabelled_scores": _q("users item_factors", PICKS, PROFILES, SCORES.format(items="item_factors", k=12), """
+        select name user_id, item_id, round(score, 6) score, cast(rank as int) rank from top join users on id = user_id"""),
+    "personal_top48_given_factors": _q("users item_factors links item_pages", PICKS, PROFILES, LINKS, """
+        available as (select item_id, features from item_links join item_pages using (item_id) join item_factors using (item_id)
+                      where status = 200 and regexp_matches(html, '<li><a href="[^"]*"'))""",
+        SCORES.format(items="available", k=48),
+        "select user_id, item_id, round(score, 6) score, cast(rank as int) rank from top"),
+    "factor_round_trip": _q("item_factors", """
+        select item_id, cast(generate_subscripts(features, 1) - 1 as int) pos,
+               round(cast(unnest(features) as double), 6) as value from item_factors"""),
     "relative_order": _q("users", """
         a as (select id list_id, cast(unnest(string_split(item_ids, ',')) as int) item,
                      cast(generate_subscripts(string_split(item_ids, ','), 1) - 1 as int) pos
               from users where item_ids is not null),
         present as (select list_id, pos, item, row_number() over (partition by list_id order by pos) slot,
-                           row_number() over (partition by list_id order by p_size, p_partkey, pos) place
-                    from a join part on p_partkey = item where p_size <= 25)""", """
+                           row_number() over (partition by list_id order by s_acctbal, s_suppkey, pos) place
+                    from a join supplier on s_suppkey = item)""", """
         select a.list_id, a.pos, coalesce(v.item, -1) as value
         from a left join present s on s.list_id = a.list_id and s.pos = a.pos
         left join present v on v.list_id = s.list_id and v.place = s.slot"""),
@@ -225,15 +263,22 @@ ORACLES = {
         available as (select item_id, link, features, regexp_extract(html, '<li><a href="([^"]*)"', 1) image_link
                       from item_links join item_pages using (item_id) join item_factors using (item_id)
                       where status = 200)""", SCORES.format(items="available", k=12), """
-        select user_id, cast(rank as int) rank, item_id, title, score prediction, link, image_link
+        select user_id, cast(rank as int) rank, item_id, title, round(score, 6) prediction, link, image_link
         from top join available using (item_id) join items using (item_id)"""),
 
     "als_rank1": _q("ratings", *_rank1_sweeps(2), """
         select 'user' side, user_id id, cast(0 as int) pos, round(f, 6) as value from u2
         union all select 'item', item_id, 0, round(f, 6) from v2"""),
-    "als_rank2": _q("ratings", *_rank2_sweeps(2), " union all ".join(
-        f"select '{side}' side, {side}_id id, cast({pos} as int) pos, round({c}, 6) as value from {name}"
-        for side, name in (("user", "u2"), ("item", "v2")) for pos, c in ((0, "f"), (1, "g")))),
+    "als_rank2": _q("ratings", *_rank2_sweeps(2), RANK2_ROWS),
+    "als_rank2_wide": _q("ratings", *_rank2_sweeps(2), RANK2_ROWS),
+    "implicit_als_rank2": _q("ratings", *_implicit_sweeps(2), RANK2_ROWS),
+    "implicit_als_rank2_wide": _q("ratings", *_implicit_sweeps(2), RANK2_ROWS),
+    "implicit_top48": _q("ratings users", PICKS, *_implicit_sweeps(2), """
+        s as (select u.user_id, v.item_id, u.f * v.f + u.g * v.g score
+              from (select * from u2 where user_id in (select id from pending)) u, v2 v
+              where not exists (select 1 from picks p where p.user_id = u.user_id and p.item_id = v.item_id))""", """
+        select user_id, item_id, round(score, 6) score,
+               cast(row_number() over (partition by user_id order by s.score desc, item_id) as int) rank from s qualify rank <= 48"""),
     "als_error": _q("ratings", *_rank1_sweeps(2), " union all ".join(f"""
         select cast({s} as int) sweep, round(sum(pow(rating - u.f * v.f, 2)), 4) error
         from r join u{s} u using (user_id) join v{s} v using (item_id)""" for s in (1, 2))),

@@ -44,6 +44,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for f in df.schema])
 
 
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- statistics ---
 
 @query
@@ -134,7 +138,9 @@ def genre_reviews(spark, sf_dir):
 @query
 def items_never_rated(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return catalog.never_rated(t.items, t.ratings)
+    # only ratings of items with a page: not every item has one
+    paged = t.ratings.join(t.item_pages.select("item_id").distinct(), "item_id")
+    return catalog.never_rated(t.items, paged)
 
 
 @query
@@ -210,9 +216,13 @@ def pending_users(spark, sf_dir):
 
 @query
 def user_status(spark, sf_dir):
-    users = Tables(spark, sf_dir).users
-    stored = catalog.picks_of(users.filter(F.col("job_status") == "done"))
-    return catalog.user_status(users, stored)
+    t = Tables(spark, sf_dir)
+    # the results of one finished run: lists for the users marked as done, as the recurring job stores them
+    done = t.users.filter(F.col("job_status") == "done").select("id", "item_ids")
+    scores = recommend.quick_scores(done, t.item_factors, k=3).withColumnRenamed("score", "prediction")
+    folder = _folder(spark, "status")
+    writers.write_recommendations(scores, folder, "run-1")
+    return catalog.user_status(t.users, writers.read_runs(spark, folder, schemas.RECOMMENDATIONS))
 
 
 @query
@@ -231,6 +241,17 @@ def display_names(spark, sf_dir):
     return Tables(spark, sf_dir).users.select("id", title_case("name").alias("display_name"))
 
 
+@query
+def csv_ratings(spark, sf_dir):
+    ratings = Tables(spark, sf_dir).ratings
+    seconds = F.datediff(F.col("rated_at").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+    folder = _folder(spark, "csv")
+    ratings.select(F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"), "rating", seconds.alias("timestamp")
+                   ).write.option("header", True).csv(folder)
+    accepted, _ = readers.read_ratings_csv(spark, folder)
+    return explore.with_year(accepted).withColumn("rating", F.col("rating").cast("double"))
+
+
 @query
 def typed_ratings(spark, sf_dir):
     ratings = Tables(spark, sf_dir).ratings
@@ -275,7 +296,7 @@ def pick_affinity(spark, sf_dir):
 @query
 def quick_top12(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return recommend.quick_scores(catalog.pending_users(t.users), t.item_factors)
+    return rounded(recommend.quick_scores(catalog.pending_users(t.users), t.item_factors))
 
 
 @query
@@ -283,9 +304,11 @@ def relative_order(spark, sf_dir):
     t = Tables(spark, sf_dir)
     a = t.users.select(F.col("id").alias("list_id"), F.posexplode(split_list("item_ids", ",")).alias("pos", "v"))
     a = a.select("list_id", "pos", F.col("v").cast("int").alias("value"))
-    small = table(spark, sf_dir, "part").filter("p_size <= 25").select(
-        F.col("p_partkey").cast("int").alias("value"), (F.col("p_size") * 1000000 + F.col("p_partkey")).alias("order"))
-    b = a.join(small, "value").select("list_id", F.col("order").alias("pos"), "value")
+    # picks name ids that the supplier table partly lacks
+    known = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("value"),
+        (F.round(F.col("s_acctbal") * 100).cast("bigint") * 10000000 + F.col("s_suppkey")).alias("order"))
+    b = a.join(known, "value").select("list_id", F.col("order").alias("pos"), "value")
     return relative_sort(a, b).withColumn("value", F.coalesce("value", F.lit(-1)))
 
 
@@ -312,18 +335,50 @@ def enriched_top12(spark, sf_dir):
     t = Tables(spark, sf_dir)
     available = enrich.available_items(enrich.item_links(t.links), t.item_pages, "item_id", MENU_MARKUP)
     recs = recommend.quick_recommendations(catalog.pending_users(t.users), t.item_factors, available)
-    return enrich.with_titles(recs, t.items).select("user_id", "rank", "item_id", "title", "prediction", "link",
-                                                    "image_link")
+    return rounded(enrich.with_titles(recs, t.items).select("user_id", "rank", "item_id", "title", "prediction", "link",
+                                                            "image_link"))
+
+
+@query
+def personal_top48_given_factors(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    available = enrich.available_items(enrich.item_links(t.links), t.item_pages, "item_id", MENU_MARKUP, require_image=True)
+    picks = catalog.picks_of(catalog.pending_users(t.users))
+    profiles = profile_vectors(catalog.pick_ratings(picks), t.item_factors)
+    return rounded(recommend.score_model(profiles, t.item_factors, picks, available))
+
+
+@query
+def relabelled_scores(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    scores = recommend.quick_scores(catalog.pending_users(t.users), t.item_factors)
+    return rounded(recommend.relabel(scores, t.users.select(F.col("id").alias("user_id"), F.col("name").alias("external_id"))))
+
+
+@query
+def factor_round_trip(spark, sf_dir):
+    folder = _folder(spark, "factors")
+    writers.export_item_factors(Tables(spark, sf_dir).item_factors, folder)
+    back = readers.read_item_factors(spark, folder)
+    return back.select("item_id", F.posexplode("features").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 # --- models ---
 
-def _weighted(spark, sf_dir, rank):
-    ratings = Tables(spark, sf_dir).ratings
-    # start vectors that SQL can state as well
+def _start(ratings, rank):
+    """Start vectors that SQL can state as well."""
     start = [1.0 + F.col("item_id") % m / float(m) for m in (10, 7)][:rank]
-    start = ratings.select("item_id").distinct().select("item_id", F.array(*start).alias("features"))
-    return factorize.weighted_als(ratings, rank, sweeps=2, ridge=0.1, item_start=start)
+    return ratings.select("item_id").distinct().select("item_id", F.array(*start).alias("features"))
+
+
+def _weighted(spark, sf_dir, rank, **how):
+    ratings = Tables(spark, sf_dir).ratings
+    return factorize.weighted_als(ratings, rank, sweeps=2, ridge=0.1, item_start=_start(ratings, rank), **how)
+
+
+def _implicit2(spark, sf_dir, **how):
+    ratings = Tables(spark, sf_dir).ratings
+    return factorize.implicit_factors(ratings, 2, 2, item_start=_start(ratings, 2), **how)
 
 
 def _factor_rows(model):
@@ -342,6 +397,30 @@ def als_rank2(spark, sf_dir):
     return _factor_rows(_weighted(spark, sf_dir, 2))
 
 
+@query
+def als_rank2_wide(spark, sf_dir):
+    """The same model by the solver for wide vectors."""
+    return _factor_rows(_weighted(spark, sf_dir, 2, widest=0))
+
+
+@query
+def implicit_als_rank2(spark, sf_dir):
+    return _factor_rows(_implicit2(spark, sf_dir))
+
+
+@query
+def implicit_als_rank2_wide(spark, sf_dir):
+    return _factor_rows(_implicit2(spark, sf_dir, widest=0))
+
+
+@query
+def implicit_top48(spark, sf_dir):
+    pending = catalog.pending_users(Tables(spark, sf_dir).users)
+    model = _implicit2(spark, sf_dir)
+    users = model.users.join(pending.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return rounded(recommend.score_model(users, model.items, catalog.picks_of(pending)))
+
+
 @query
 def als_error(spark, sf_dir):
     return rounded(_weighted(spark, sf_dir, 1).errors, 4)
@@ -412,8 +491,7 @@ def personal_top48(spark, sf_dir):
 @query
 def implicit_item_factors(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    model = factorize.fit_als(t.ratings)
-    return factorize.item_factors(model).select("item_id", F.posexplode("features").alias("pos", "value"))
+    return factorize.implicit_factors(t.ratings).items.select("item_id", F.posexplode("features").alias("pos", "value"))
 
 
 # --- the recurring job ---
@@ -423,7 +501,7 @@ def stream_quick_top12(spark, sf_dir):
     factors = view(spark, sf_dir, "item_factors")
     source = spark.readStream.schema(table(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/customer*.parquet")
     selections = spark.sql(VIEWS["users"], customer=source)
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
 
     def top12(pending):
         return recommend.quick_scores(pending, factors).withColumnRenamed("score", "prediction")
