@@ -180,6 +180,20 @@ def test_quick_recommendations_are_full_despite_unavailable_items(spark, items):
     assert {r["title"] for r in enrich.with_titles(stored, items).collect()} == {"Heat (1995)"}
 
 
+def test_only_pages_of_recommended_items_are_parsed(spark):
+    factors = spark.createDataFrame([(i, [float(i)]) for i in range(1, 9)], "item_id int, features array<float>")
+    pending = spark.createDataFrame([(1, "8")], "id int, item_ids string")
+    available = spark.createDataFrame([(i, f"l{i}") for i in range(1, 9)], "item_id int, link string")
+    pages = spark.createDataFrame([(f"l{i}", 200, f'<div class="poster"><img src="{i}.jpg"></div>') for i in range(1, 8)],
+                                  "url string, status int, html string")
+    titles = spark.createDataFrame([(i, f"t{i}") for i in range(1, 7)], "item_id int, title string")
+    recs = recommend.quick_recommendations(pending, factors, available, k=3, pages=pages, items=titles)
+    assert rows(recs, "rank", "title", "link", "image_link") == [(2, "t6", "l6", "6.jpg"), (3, "t5", "l5", "5.jpg")]
+    chosen = available.filter("item_id < 3")
+    plan = enrich.with_images(chosen, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Eval"):]
+
+
 def test_personal_recommendations_carry_links(spark):
     data = [(u, i, 4.0) for u in range(12) for i in range(10) if (u + i) % 3]
     ratings = spark.createDataFrame(data, "user_id int, item_id int, rating float")

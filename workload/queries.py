@@ -333,10 +333,10 @@ def page_attributes(spark, sf_dir):
 @query
 def enriched_top12(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    available = enrich.available_items(enrich.item_links(t.links), t.item_pages, "item_id", MENU_MARKUP)
-    recs = recommend.quick_recommendations(catalog.pending_users(t.users), t.item_factors, available)
-    return rounded(enrich.with_titles(recs, t.items).select("user_id", "rank", "item_id", "title", "prediction", "link",
-                                                            "image_link"))
+    available = enrich.available_items(enrich.item_links(t.links), t.item_pages, "item_id", markup=None)
+    recs = recommend.quick_recommendations(catalog.pending_users(t.users), t.item_factors, available, pages=t.item_pages,
+                                           key="item_id", markup=MENU_MARKUP, items=t.items)
+    return rounded(recs.select("user_id", "rank", "item_id", "title", "prediction", "link", "image_link"))
 
 
 @query
