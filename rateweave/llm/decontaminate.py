@@ -22,7 +22,13 @@ WORD_CHARS = "[^\\x00-/:-@\\[-`{-\\x7F]"
 
 def content_words(text: Column) -> Column:
     """Words of ASCII letters, digits and anything beyond ASCII; case as in the text."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    def inner(parts):
+        # only the first and the last part of a split can be empty
+        first = F.when(parts[0] == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return F.slice(parts, first + 1, F.size(parts) - first - last)
+
+    return F.transform(F.array(F.split(text, SEPARATORS)), inner)[0]
 
 
 def window_hashes(words: Column, length: int) -> Column:
@@ -97,7 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """
     found = hits(docs, items, key, text, **how).select(F.col("key").alias("_key_2"), "text_hash", "n_hit", "items")
     content = text_or_empty(text)
-    count = F.regexp_count(content, F.lit(f"{WORD_CHARS}+")).cast("long")
+    count = F.size(content_words(content)).cast("long")
     all_rows = docs.select(key, F.xxhash64(content).alias("hash_1"), count.alias("n_words"))
     same = [F.col(key).eqNullSafe(F.col("_key_2")), F.col("hash_1") == F.col("text_hash")]
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
