@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rateweave.llm.common import saved
+
 RUN, WORDS = 3, 12
 _CUT = re.compile(r"(?<=[.!?,;:]\s)(?=\S)|(?<=\n)(?=\S)")
 
@@ -84,6 +86,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
     found = hashed_spans(own, run, words)
     place = F.struct("doc_id", "text_hash", "place")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that both sides of the join are shuffled for it alone and a passage that very many share can be split
+    repeated = saved(repeated, "repeated-spans")
     later = found.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
     gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("_sd_gone")).withColumnsRenamed(
         {"doc_id": "_sd_id", "text_hash": "_sd_hash"})
