@@ -1,9 +1,14 @@
 """Substring deduplication over sliding sentence spans.
 
-Texts are cut into sentences (and clauses: a copied passage seldom starts where a sentence does). From every sentence a
-span runs over at least ``RUN`` sentences and on until it has ``WORDS`` words; a text too short for that is one span if
-it has the words. Spans are hashed to 128 bits and counted over the whole corpus. The first occurrence of a span, by
-document id and position, stays; the sentences under every other occurrence are removed.
+Texts are cut into sentences (and clauses: a copied passage seldom starts where a sentence does), and clauses of more
+than ``LONGEST`` words at words that their neighbours choose, see ``_inner_cuts``. From every sentence a span runs over at
+least ``RUN`` sentences and on until it has ``WORDS`` words; a text too short for that is one span if it has the words.
+Spans are hashed to 128 bits and counted over the whole corpus. The first occurrence of a span, by document id and
+position, stays; the sentences under every other occurrence are removed.
+
+Two copies of a passage have the same cuts but for its first and last ``LONGEST - 1`` words, and a cut in every ``LONGEST``
+words. So a span of at most ``RUN * LONGEST`` words starts within the first ``2 * LONGEST - 1`` words, and every repeat of
+6 * 8 - 1 = 47 words or more shares one, wherever it is cut off.
 """
 
 from __future__ import annotations
@@ -17,23 +22,92 @@ from pyspark.sql import functions as F
 
 from rateweave.llm.common import saved
 
-RUN, WORDS = 3, 12
-_CUT = re.compile(r"(?<=[.!?,;:]\s)(?=\S)|(?<=\n)(?=\S)")
+RUN, WORDS, LONGEST = 3, 12, 8
+_CLOSING = r"""["'”’»›)\]}」』）】〉》]*+"""
+#: Stops before a blank, stops of scripts that need none, line ends.
+_CUT = re.compile(rf"[.!?,;:…]{_CLOSING}\s+|[。！？；，、：．｡､।॥؟،؛۔։።፣፤፥།၊။។៕]{_CLOSING}\s*|\n\s*")
+#: Scripts without blanks between words (Thai to Myanmar, Khmer, kana, ideographs); each character counts as a word.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_DENSE_WORD = re.compile(rf"[{_DENSE}][^\s\w{_DENSE}]*|[^\s{_DENSE}]+")
+_WORD = re.compile(r"\S+")
+
+
+def words_of(part: str) -> list[str]:
+    return _DENSE_WORD.findall(part) if not part.isascii() and _HAS_DENSE.search(part) else part.split()
+
+
+def _inner_cuts(words: list[str]) -> list[int]:
+    """Where a long clause is cut: before the word of least hash (the last of equals) of every ``LONGEST`` in a row.
+
+    The choice depends on these words alone, so copies are cut alike wherever they stand, and no piece is longer.
+    """
+    import xxhash
+
+    hashes = [1 << 64, *map(xxhash.xxh3_64_intdigest, words[1:])]  # the first word has a cut already
+    cuts, at, least = [], 0, 1 << 64
+    for end in range(LONGEST, len(words)):
+        first, last = end - LONGEST + 1, at
+        if at < first:
+            near = hashes[end:first - 1:-1]
+            least = min(near)
+            at = end - near.index(least)
+        elif hashes[end] <= least:
+            at, least = end, hashes[end]
+        if at != last:
+            cuts.append(at)
+    return cuts
+
+
+def _clauses(text: str):
+    """``(clause with what follows it, its words, numbers of the words before which it is cut)``, in order."""
+    ends = [m.end() for m in _CUT.finditer(text)]
+    if ends and text[:ends[0]].isspace():
+        del ends[0]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    start = 0
+    for end in ends:
+        part = text[start:end]
+        words = words_of(part)
+        yield part, words, _inner_cuts(words) if len(words) > LONGEST else ()
+        start = end
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and clauses with what follows them; joined, they are the text."""
-    return _CUT.split(text) if text else []
+    """Sentences, clauses and pieces of long clauses with what follows them; joined, they are the text."""
+    out = []
+    for part, words, cuts in _clauses(text):
+        if cuts:
+            at = 0
+            starts = [m.start() for m in (_DENSE_WORD if _HAS_DENSE.search(part) else _WORD).finditer(part)]
+            for k in cuts:
+                out.append(part[at:starts[k]])
+                at = starts[k]
+            part = part[at:]
+        out.append(part)
+    return out
+
+
+def sentence_words(text: str) -> list[list[str]]:
+    """The words of every one of ``sentences``."""
+    out = []
+    for _, words, cuts in _clauses(text):
+        at = 0
+        for k in cuts:
+            out.append(words[at:k])
+            at = k
+        out.append(words[at:] if at else words)
+    return out
 
 
-def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
-    """``(first, end)`` sentence numbers of every span."""
-    counts = [len(p.split()) for p in parts]
-    if len(parts) < run:
-        return [(0, len(parts))] if sum(counts) >= words else []
+def spans(counts: list[int], run: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
+    """``(first, end)`` sentence numbers of every span, from the sentences' numbers of words."""
+    if len(counts) < run:
+        return [(0, len(counts))] if sum(counts) >= words else []
     out, end, total = [], 0, 0
-    for first in range(len(parts)):
-        while end < len(parts) and (end - first < run or total < words):
+    for first in range(len(counts)):
+        while end < len(counts) and (end - first < run or total < words):
             total += counts[end]
             end += 1
         if end - first < run or total < words:
@@ -52,9 +126,9 @@ def hashed_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFra
         for batch in batches:
             places, hashes, counts = [], [], []
             for text in batch.column(2):
-                parts = sentences(text.as_py() or "")
-                bare = [p.strip().encode() for p in parts]
-                found = spans(parts, run, words)
+                own = sentence_words(text.as_py() or "")
+                bare = [" ".join(w).encode() for w in own]
+                found = spans(list(map(len, own)), run, words)
                 counts.append(len(found))
                 places += [a << 32 | b for a, b in found]
                 hashes += [digest(b"\0".join(bare[a:b])) for a, b in found]
@@ -102,10 +176,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
         for batch in batches:
             texts, counts, removed = [], [], []
             for value, places in zip(batch.column(at), batch.column(len(columns))):
-                parts = sentences(value.as_py() or "")
                 lost = {i for p in places.as_py() or () for i in range(p >> 32, p & 0xFFFFFFFF)}
+                parts = sentences(value.as_py() or "") if lost else ()
                 texts.append("".join(p for i, p in enumerate(parts) if i not in lost) if lost else value.as_py())
-                counts.append(len(parts))
+                counts.append(len(parts) if lost else sum(len(cuts) + 1 for *_, cuts in _clauses(value.as_py() or "")))
                 removed.append(len(lost))
             out = batch.columns[:len(columns)]
             out[at] = pa.array(texts, out[at].type)

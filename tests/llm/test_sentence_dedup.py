@@ -1,6 +1,8 @@
 """Sentence spans against a plain search over small tables."""
 
 import random
+import re
+import time
 
 import pytest
 
@@ -60,3 +62,64 @@ def test_odd_rows(spark, documents):
 @pytest.mark.parametrize("text", ["", "a", "a. b", "a.\n\nb.  c", " lead. x", "1.5 x, y;z"])
 def test_sentences_are_the_text(text):
     assert "".join(sentences(text)) == text
+
+
+def windows(tokens, n=50):
+    return {tuple(tokens[i:i + n]) for i in range(len(tokens) - n + 1)}
+
+
+def tokens_of(text):
+    """Words without the operator's cutter: a CJK character is one."""
+    return re.findall(r"[\u3040-\u9fff]|[^\s\u3040-\u9fff]+", text)
+
+
+def prose(r, n, stops, gap, alphabet=400):
+    """``n`` words, cut by ``stops`` after long and short stretches."""
+    out, left = [], 0
+    for _ in range(n):
+        left = left or r.choice([2, 5, 30, 80])
+        left -= 1
+        out.append(f"t{r.randrange(alphabet)}" + ("" if left else r.choice(stops)))
+    return gap.join(out)
+
+
+def passages(r):
+    yield " ".join(f"q{r.randrange(90)}" for _ in range(50))  # no stop at all
+    yield " ".join(f"q{i}" + ("." if i in (20, 41) else "") for i in range(50))  # one whole sentence of 21 words, both ends cut
+    yield prose(r, 50, [".", "?"], "  ")
+    yield prose(r, 50, ['."', ".)", "!”"], " ")
+    yield prose(r, 50, ["।", "॥"], " ")
+    yield "".join(chr(r.randrange(0x4E00, 0x4F00)) + ("。" if i % 17 == 9 else "") for i in range(50))
+    yield "".join(chr(r.randrange(0x4E00, 0x4F00)) for _ in range(50))
+    yield "to be " * 25
+    yield prose(r, 300, [".", ",", ";"], " ")
+
+
+def test_no_passage_of_fifty_words_stays_whole(documents):
+    r = random.Random(11)
+    rows, at = [], 0
+    for _ in range(6):
+        for passage in passages(r):
+            for _ in range(2):
+                around = [" ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 40))) for _ in range(2)]
+                rows.append((at, f"{around[0]} {passage} {around[1]}"))
+                at += 1
+    got = {x.doc_id: x.text for x in sentence_dedup.deduplicated(documents(rows)).collect()}
+    seen = set()
+    for i, text in rows:
+        assert i % 2 == 0 or windows(tokens_of(text)) & seen
+        assert not windows(tokens_of(got[i])) & seen, text
+        seen |= windows(tokens_of(text))
+
+
+@pytest.mark.parametrize("text", ["one.  two", 'he said "one." two', "(one.) two", "一。二", "एक। दो", "one؟ two", "\n one\n  two"])
+def test_stops(text):
+    assert len(sentences(text)) == 2 and "".join(sentences(text)) == text
+
+
+@pytest.mark.parametrize("unit", [".", "\n", " ", ". ", "a ", '."', "。", "字", "a"])
+def test_cutting_takes_time_in_proportion(unit):
+    start = time.time()
+    parts = sentences(unit * (200_000 // len(unit)))
+    assert time.time() - start < 5
+    assert all(len(tokens_of(p)) <= sentence_dedup.LONGEST for p in parts) or unit == "。"
