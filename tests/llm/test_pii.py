@@ -89,3 +89,15 @@ def test_redaction(documents, model):
 
 def test_fit_without_text(documents):
     assert pii.fit(documents([(1, None)])).thresholds
+
+
+@pytest.mark.parametrize("parts", [("7536784127813050", "4845168114407329"), ("4550997810720808", "4111111111111111", "5500005555555559"),
+                                   ("(212) 555-1234", "(646) 555-9876"), ("4111.1111.1111.1111", "12/26"), ("2023", "212-555-1234")])
+def test_numbers_side_by_side(documents, model, parts):
+    text = f"we had {' '.join(parts)} there"
+    places = [(text.index(x), text.index(x) + len(x)) for x in parts if sum(map(str.isdigit, x)) >= 7]
+    assert set(places) <= {(a, b) for a, _, b in pii.candidates(text)}
+    (got,) = pii.redacted(documents([(1, text)]), model).collect()
+    assert not any(text[a:b] in got.text for a, b in places)
+    assert got.text.startswith("we had ") and got.text.endswith(" there")
+    assert got.text.count("[") == len(places)
