@@ -14,8 +14,6 @@ from pyspark.sql import Window
 
 from rateweave.operators.skew import ROWS_PER_SPLIT, split_join
 
-#: Deepest path prefix (in segments) that an entry may name.
-PATH_DEPTH = 3
 HOST = "^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -25,15 +23,28 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def covering_keys(url: Column, host: Column) -> Column:
-    """What an entry could be listed under to cover a URL: its host, the parent domains, path prefixes on the host."""
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def entry_key(key: Column) -> Column:
+    """An entry's key: the host in lower case, as in ``host_of``; the path keeps its case and loses empty segments."""
+    host = F.rtrim(F.lower(F.regexp_extract(key, "^[^/]*", 0)), F.lit("."))
+    return F.array_join(F.concat(F.array(host), segments(F.regexp_extract(key, "/(.*)$", 1))), "/")
+
+
+def covering_keys(url: Column, host: Column, depths: list[int]) -> Column:
+    """What an entry could be listed under to cover a URL: its host, the parent domains, path prefixes on the host.
+
+    Prefixes have the numbers of segments in ``depths``, which are those that occur in the list.
+    """
     labels = F.split(host, "\\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, HOST[:-len("([^/?#:]+)")] + "[^/?#]+(/[^?#]*)", 1)
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, PATH_DEPTH)
-    paths = F.when(F.size(parts) > 0, F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
-    return F.array_distinct(F.concat(domains, F.coalesce(paths, F.array().cast("array<string>"))))
+    parts = segments(path)
+    fitting = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: n <= F.size(parts))
+    paths = F.transform(fitting, lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+    return F.array_distinct(F.concat(domains, paths))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -44,7 +55,7 @@ def validity(entries: DataFrame) -> DataFrame:
     order, so a key's window holds as many rows as it has distinct times. Entries with a null key or time are ignored.
     """
     times = (entries.filter(F.col("key").isNotNull() & F.col("listed_at").isNotNull())
-             .groupBy(F.lower("key").alias("key"), "category", "listed_at")
+             .groupBy(entry_key(F.col("key")).alias("key"), "category", "listed_at")
              .agg(F.max(F.col("action") == "add").alias("added")))
     order = Window.partitionBy("key", "category").orderBy("listed_at")
     changes = times.withColumn("was", F.lag("added", 1, False).over(order)).filter(F.col("added") != F.col("was"))
@@ -66,7 +77,10 @@ def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
     base = base.withColumn("_host", host_of(F.col("_url")))
     # equal captures are judged once
     asked = base.filter("_host is not null and _time is not null").select("_url", "_host", "_time").distinct()
-    keys = asked.select("_url", "_time", F.explode(covering_keys(F.col("_url"), F.col("_host"))).alias("key"))
+    # distinct depths only: no more than the longest key has segments
+    depth = F.size(F.split(entry_key(F.col("key")), "/")) - 1
+    depths = sorted(r.n for r in entries.filter("key is not null").select(depth.alias("n")).distinct().collect() if r.n)
+    keys = asked.select("_url", "_time", F.explode(covering_keys(F.col("_url"), F.col("_host"), depths)).alias("key"))
     met = split_join(keys, validity(entries), "key", ["_url", "_time"], rows_per_split=rows_per_split)
     active = F.filter("intervals", lambda x: (x["since"] <= F.col("_time"))
                       & (x["until"].isNull() | (F.col("_time") < x["until"])))
