@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rateweave.llm.common import LOWER, UPPER, saved
+from rateweave.llm.common import BLANKS, LOWER, UPPER, saved
 from rateweave.llm.components import components
+from rateweave.operators.ranking import global_row_number
 
 WORD_BITS = 64
 
@@ -227,7 +228,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", how: MinHash = DEFAULT) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their columns; rows with a null id stay where none equals them."""
-    found = near_duplicates(docs, key, text, how).filter("not kept")
-    gone = found.filter("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).cast("bigint") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose document is kept, with their columns.
+
+    Every distinct text with a null id counts as a document of its own after those with an id, in the order of texts: it
+    goes if it is a near copy of one before it, else one of its rows stays (the least as JSON). Texts without words stay.
+    """
+    own, content = F.col(key).cast("bigint"), F.col(text).cast("string")
+    nameless = docs.filter(own.isNull())
+    if nameless.isEmpty():
+        gone = near_duplicates(docs, key, text, how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, own == F.col("_gone"), "left_anti")
+    blank = F.btrim(F.coalesce(content, F.lit("")), F.lit(BLANKS)) == ""
+    row = F.struct(*docs.columns)
+    texts = nameless.filter(~blank).groupBy(content.alias("_text")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    # numbers in the order of the ids, then of the texts: no number meets an id
+    ids = saved(global_row_number(docs.filter(own.isNotNull()).select(own.alias("_id")).distinct(), ["_id"], "_n"), "ids")
+    texts = saved(global_row_number(texts, ["_text"], "_n", ids.count() + 1), "nameless")
+    numbered = docs.select(own.alias("_id"), content.alias("_text")).join(ids, "_id").select("_n", "_text")
+    found = near_duplicates(numbered.union(texts.select("_n", "_text")), "_n", "_text", how).filter("not kept")
+    gone = saved(found.select(F.col("doc_id").alias("_n")).distinct(), "gone")
+    named = docs.filter(own.isNotNull()).join(
+        ids.join(gone, "_n").select(F.col("_id").alias("_gone")), own == F.col("_gone"), "left_anti")
+    return named.unionByName(nameless.filter(blank)).unionByName(texts.join(gone, "_n", "left_anti").select("_row.*"))

@@ -109,3 +109,16 @@ def test_components_of_paths_cycles_and_stars(spark):
     want = {i: 100 for i in range(100, 161)} | {1: 1, 2: 1, 3: 1, 7: 7} | {x: 7 for x in range(500, 560)}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id_are_deduplicated(documents):
+    r = random.Random(6)
+    base = [f"v{r.randrange(10**6)}" for _ in range(100)]
+    near, other = edited(r, base, 1), [f"o{r.randrange(10**6)}" for _ in range(100)]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (None, "x y"), (None, "q"), (None, "q"), (5, None), (None, None),
+            (None, ""), (2**63 - 1, " ".join(base)), (None, near), (None, " ".join(other)), (None, " ".join(other)),
+            (None, edited(r, other, 1)), (7, "z"), (7, "z")]
+    got = sorted(((x.doc_id, x.text) for x in neardup.deduplicated(documents(rows, extra=True)).collect()), key=repr)
+    assert sum(t is not None and t.startswith("o") or t is not None and " o" in t for _, t in got) == 1
+    left = [(1, "a b c d e f"), (3, "x y"), (None, "q"), (5, None), (None, None), (None, ""), (2**63 - 1, " ".join(base)), (7, "z"), (7, "z")]
+    assert [x for x in got if not (x[1] and " o" in x[1])] == sorted(left, key=repr)
