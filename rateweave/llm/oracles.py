@@ -85,3 +85,66 @@ ORACLES = {
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_removed_lines, lost_chars,
                base_failed, not base_failed and not lost_chars > {Q.most_lost} * word_chars kept from b""",
 }
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes; its polynomial bit by bit."""
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({hexed}) // 2 + 1), lambda i: ('0x' || substr({hexed}, 2 * i - 1, 2))::bigint)"
+    step = "list_reduce(range(8), lambda x, j: xor(x >> 1, (x & 1) * 3988292384), xor(c, b))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: {step}, 4294967295::bigint))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _tree(name: str, start: str, levels: int, fan: int = 16) -> list[str]:
+    """``{name}0 .. {name}{levels}``: nodes ``(t, p, c, g)`` by level; ``{name}_b0 ..``: what stands beside them."""
+    parts = [f"{name}0 as materialized ({start})"]
+    for k in range(levels):
+        parts.append(f"{name}{k + 1} as materialized (select t, p // {fan} p, (c + {fan - 1}) // {fan} c,"
+                     f" sha256(string_agg(g, '' order by p)) g from {name}{k} where c > 1 group by t, p // {fan}, c)")
+        run = f"over (partition by t, p // {fan} order by p rows between"
+        parts.append(f"{name}_b{k} as (select t, p, coalesce(string_agg(g, '') {run} unbounded preceding and 1 preceding), '') l,"
+                     f" coalesce(string_agg(g, '') {run} 1 following and unbounded following), '') r from {name}{k} where c > 1)")
+    return parts
+
+
+def _climb(name: str, source: str, tree: str, levels: int, fan: int = 16) -> list[str]:
+    """``{name}0 .. {name}{levels}``: rows of ``source`` with ``proof`` and ``f``, folded one level further each."""
+    parts = [f"{name}0 as (select * from {source})"]
+    for k in range(levels):
+        parts.append(f"{name}{k + 1} as (select x.* exclude (proof, f), proof || coalesce(l || b.r, '') proof,"
+                     f" case when b.p is null then f else sha256(l || f || b.r) end f"
+                     f" from {name}{k} x left join {tree}_b{k} b on x.t = b.t and x.p // {fan ** k} = b.p)")
+    return parts
+
+
+def _merkle(levels: int = 5, above: int = 3) -> str:
+    """Enough levels for 16 ** 5 rows a source and 16 ** 3 sources."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = f"case when {_crc32('doc_id::varchar')} % 5 = 0 then translate(text, '{_UPPER}', '{_UPPER.lower()}') else text end"
+    whole = " || ".join(map(_field, fields))
+    other = " || ".join(map(_field, [*fields[:-1], "changed"]))
+
+    def tops(tree, n):
+        return " union all ".join(f"select t, g from {tree}{k} where c = 1" for k in range(n + 1))
+
+    parts = [
+        f"w as (select row_number() over () r, *, {changed} changed from documents)",
+        f"d as materialized (select doc_id, coalesce('=' || source, '') t, sha256({whole}) leaf, sha256({other}) f, r from w)",
+        "n as materialized (select *, row_number() over (partition by t order by doc_id nulls first, leaf, r) - 1 p,"
+        " count(*) over (partition by t) c from d)",
+        *_tree("m", "select t, p, c, leaf g from n", levels), f"s as materialized ({tops('m', levels)})",
+        "o as materialized (select t name, 0 t, row_number() over (order by t) - 1 p, count(*) over () c, g from s)",
+        *_tree("u", "select t, p, c, g from o", above), f"root as ({tops('u', above)})",
+        *_climb("x", "(select doc_id, t, p, leaf, '' proof, f from n)", "m", levels),
+        f"y as (select doc_id, leaf, g subroot, o.t, o.p, proof, f from x{levels} x join o on x.t = o.name)",
+        *_climb("z", "y", "u", above)]
+    return "with " + ",\n".join(parts) + f"""
+        select doc_id, leaf, subroot, root.g root, sha256(proof) proof_sha256, f folded_root, f = root.g verified
+        from z{above}, root"""
+
+
+ORACLES["op13_merkle"] = _merkle()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rateweave.llm import bpe, chat, decontaminate, neardup, pii, quality, sentence_dedup, token_counts, token_files, url_filter
-from rateweave.llm.common import table
+from rateweave.llm import (bpe, chat, decontaminate, manifest, neardup, pii, quality, sentence_dedup, token_counts, token_files,
+                           url_filter)
+from rateweave.llm.common import ascii_lower, table
 
 QUERIES = {}
 
@@ -97,3 +98,11 @@ def op2_sentence_dedup(spark, sf_dir):
 def op1_chat_format(spark, sf_dir):
     """Every conversation with its roles repaired at least cost, rendered."""
     return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """Every document's leaf, proof and the root it leads to, a fifth of the texts lower-cased after the manifest was made."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.audited(docs, F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text")))
