@@ -54,3 +54,18 @@ def worker_cache(name: str, make):
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)
+
+
+def text_sample(docs: DataFrame, text: str, rows: int, characters: int) -> list[str]:
+    """At most ``rows`` pieces of at most ``characters`` characters from the middle of different texts, by a hash of the text.
+
+    The hash limit comes from the number of different texts, so what leaves the tasks is a few times ``rows`` pieces, not
+    that many a task, and a text that fills a third of the table counts once.
+    """
+    c = F.col(text).cast("string")
+    hashed = docs.filter(F.length(c) > 0).select(F.xxhash64(c).alias("h"), c.alias("t"))
+    different = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    limit = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 4 * rows / max(different, 1))))
+    middle = F.greatest((F.length("t") / 2).cast("int") - characters // 2, F.lit(1))
+    few = hashed.filter(F.col("h") <= limit).groupBy("h").agg(F.min(F.substr("t", middle, F.lit(characters))).alias("s"))
+    return [r.s for r in few.orderBy("h").limit(rows).collect()]

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rateweave.llm import (bpe, chat, decontaminate, manifest, neardup, pii, quality, sentence_dedup, token_counts, token_files,
-                           url_filter)
+from rateweave.llm import (bpe, chat, decontaminate, manifest, neardup, pii, quality, secrets, sentence_dedup, token_counts,
+                           token_files, url_filter)
 from rateweave.llm.common import ascii_lower, table
 
 QUERIES = {}
@@ -106,3 +106,10 @@ def op13_merkle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return manifest.audited(docs, F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text")))
+
+
+@query
+def op12_secrets(spark, sf_dir):
+    """Secrets in every document: strict spans and the runs that look drawn at random."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.found(docs, secrets.fit(docs))
