@@ -148,3 +148,22 @@ def _merkle(levels: int = 5, above: int = 3) -> str:
 
 
 ORACLES["op13_merkle"] = _merkle()
+ORACLES["op11_spelling"] = f"""
+    with recursive r as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) raw from documents),
+    d as (select doc_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') w, count(*) c from r where length(raw) >= 5 group by all),
+    h as (select w, c, {_crc32("coalesce(doc_id::varchar, '') || ':' || w")} h from d),
+    x as (select case when h % 97 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end word, c from h),
+    v as materialized (select word, sum(c)::bigint n from x where length(word) >= 5 group by word having sum(c) >= 3),
+    p as (select word, unnest(range(1, length(word) + 1)) i from v),
+    k as materialized (select word, i, left(word, i - 1) || substr(word, i + 1) part from p),
+    l as (select a.word a, b.word b from k a join k b on a.part = b.part and a.i = b.i and a.word <> b.word
+          union select k.word, v.word from k join v on part = v.word
+          union select v.word, k.word from k join v on part = v.word),
+    o as (select a, b, n, count(*) over (partition by a) n_near, row_number() over (partition by a order by n desc, b) o
+          from l join v on b = word),
+    f as materialized (select v.word, case when o.n >= 2 * v.n then b end form, v.n, coalesce(n_near, 0)::bigint n_near,
+                              case when o.n >= 2 * v.n then o.n end form_n
+                       from v left join o on a = word and o = 1),
+    t(word, root, form) as (select word, word, form from f
+                            union all select t.word, f.word, f.form from t join f on t.form = f.word)
+    select word, f.form, t.root, n, n_near, form_n from f join t using (word) where t.form is null"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rateweave.llm import (bpe, chat, decontaminate, manifest, neardup, pii, quality, secrets, sentence_dedup, token_counts,
-                           token_files, url_filter)
+from rateweave.llm import (bpe, chat, decontaminate, manifest, neardup, pii, quality, secrets, sentence_dedup, spelling,
+                           token_counts, token_files, url_filter)
 from rateweave.llm.common import ascii_lower, table
 
 QUERIES = {}
@@ -113,3 +113,9 @@ def op12_secrets(spark, sf_dir):
     """Secrets in every document: strict spans and the runs that look drawn at random."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.found(docs, secrets.fit(docs))
+
+
+@query
+def op11_spelling(spark, sf_dir):
+    """Every word of the corpus with its near words' number and the form that its variants lead to."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

@@ -1,0 +1,119 @@
+"""Spelling variants against a plain version that compares each word with all its one-edit variants."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from rateweave.llm import spelling
+
+
+def plain_counts(rows, every=97, length=5, least=3):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % every == 0:
+                word = word[:h % len(word)] + word[h % len(word) + 1:]
+            counts[word] += 1
+    return {w: n for w, n in counts.items() if len(w) >= length and n >= least}
+
+
+def plain_variants(counts, dominance=2):
+    letters = sorted({c for w in counts for c in w})
+    near = {}
+    for w in counts:
+        found = {w[:i] + w[i + 1:] for i in range(len(w))}
+        found |= {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in letters}
+        found |= {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        near[w] = {x for x in found if x in counts and x != w}
+    forms = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        forms[w] = best if best is not None and counts[best] >= dominance * n else None
+
+    def root(w):
+        return w if forms[w] is None else root(forms[w])
+
+    return sorted((w, forms[w], root(w), n, len(near[w]), counts.get(forms[w])) for w, n in counts.items())
+
+
+def rows(df):
+    return sorted(map(tuple, df.select("word", "form", "root", "n", "n_near", "form_n").collect()))
+
+
+def test_random_words(spark):
+    r = random.Random(3)
+    # few letters make dense tries and many ties; some words are long
+    counts = {}
+    for _ in range(1_500):
+        counts["".join(r.choice("abcé") for _ in range(r.choice([2, 3, 4, 5, 6, 7, 9])))] = r.choice([1, 2, 3, 4, 9, 20, 50])
+    for _ in range(60):
+        word = "".join(r.choice("abcd") for _ in range(r.choice([15, 16, 17, 31, 33, 64, 100])))
+        at = r.randrange(len(word))
+        counts |= {word: r.randint(1, 9), word[:at] + word[at + 1:]: r.randint(1, 90), word[:at] + "zz" + word[at + 1:]: 4}
+    got = rows(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long").repartition(5)))
+    assert got == plain_variants(counts)
+    assert any(f is not None and root != f for _, f, root, *_ in got)
+
+
+def test_one_edit_at_every_place(spark):
+    base = "abcdefghijklmnopqrstuvwxyz"
+    for word in (base[:5], base[:8], base):
+        counts = {word: 100}
+        for i in range(len(word)):
+            counts |= {word[:i] + word[i + 1:]: 1, word[:i] + "é" + word[i + 1:]: 2, word[:i] + "é" + word[i:]: 3}
+        counts[word + "é"] = 5
+        got = rows(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long")))
+        assert got == plain_variants(counts)
+        assert all(form == word for w, form, *_ in got if w != word)
+
+
+def test_very_long_words(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abc") for _ in range(30_000))
+    counts = {long: 50, long[:9] + long[10:]: 3, long[:-7] + long[-6:]: 4, long[:15_000] + "x" + long[15_001:]: 5,
+              "a" * 20_000: 6, "a" * 20_001: 60, "a" * 19_999: 1, "b" * 20_000: 2}
+    got = {w: (form, n_near) for w, form, _, _, n_near, _ in rows(spelling.variants(
+        spark.createDataFrame(list(counts.items()), "word string, n long")))}
+    assert got == {long: (None, 3), long[:9] + long[10:]: (long, 1), long[:-7] + long[-6:]: (long, 1),
+                   long[:15_000] + "x" + long[15_001:]: (long, 1), "a" * 20_000: ("a" * 20_001, 2), "a" * 20_001: (None, 1),
+                   "a" * 19_999: ("a" * 20_000, 1), "b" * 20_000: (None, 0)}
+
+
+def test_documents(documents):
+    r = random.Random(6)
+    words = ["receive", "recieve", "Receive", "receives", "Straße", "strasse", "Ünder", "under", "the", "naïve", "naive", "word"]
+    given = [(i, " ".join(r.choice(words) + r.choice(["", ",", "!", "'s"]) for _ in range(200))) for i in range(120)]
+    given += [(None, "receive naive " * 3), (None, "receive naive " * 3), (7, None), (8, ""), (9, "nobody nobody×nobody÷nobody"),
+              (10, "x" * 100_000 + " " + "längeres " * 30_000)]
+    got = rows(spelling.spelling_variants(documents(given, extra=True).repartition(4)))
+    assert got == plain_variants(plain_counts(given))
+    assert rows(spelling.spelling_variants(documents([]))) == []
+
+
+def test_a_word_in_most_documents_and_several_flushes(documents, monkeypatch):
+    monkeypatch.setattr(spelling, "HELD", 3)
+    given = [(i, f"common common commom other{'abcdefghij'[i % 10]} third") for i in range(500)]
+    assert rows(spelling.spelling_variants(documents(given))) == plain_variants(plain_counts(given))
+
+
+def test_refused(spark, documents):
+    with pytest.raises(ValueError):
+        spelling.variants(spark.createDataFrame([("ab", 1)], "word string, n long"), dominance=1)
+    with pytest.raises(ValueError):
+        spelling.spelling_variants(documents([(1, "a")]), length=1)
+
+
+def test_hashes_do_not_depend_on_the_block():
+    alone, among = spelling.Parts(["hello"], 0), spelling.Parts(["x", "hello", "helloo"], 0)
+    one, two, three = np.array([0]), np.array([1]), np.array([2])
+    for depth in range(6):
+        d = np.array([depth])
+        assert alone.node(one, d) == among.node(two, d) == among.node(three, d)
+    assert among.label(two, np.array([2]), np.array([1])) == among.label(two, np.array([3]), np.array([1]))
+    assert alone.node(one, np.array([5])) != spelling.Parts(["hello"], 1).node(one, np.array([5]))
