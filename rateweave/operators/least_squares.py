@@ -2,16 +2,22 @@
 
 Ratings are first brought to one row per (user, item) pair, carrying how many ratings it stands for,
 their sum and their sum of squares. That is all a least-squares step needs, and it makes repeated pairs
-cheap. A step joins the pairs to the fixed side and sums the normal equations per solved key. The pairs are
-kept in two copies, each arranged by one key, so that a step moves the fixed side's vectors and the sums, not
-the pairs. Hot keys of the fixed side are split in the join; hot keys of the solved side never gather, because
-only partial sums of the equations travel to a key's task.
+cheap. There are two layouts of the pairs, made when they are first asked for, and neither moves a pair in a step.
+
+Narrow models sum their equations in plain columns. The pairs are kept arranged by the fixed key, a step joins the
+fixed side's vectors to them where they are, and partial sums travel to the solved key's task.
+
+Wide models would have large partial sums. Their pairs are kept in blocks of solved keys, and a routing table says which
+blocks hold a fixed key, so that a step sends a vector once to each of these blocks and every block sums and solves its
+own keys. Hot keys of the solved side are split over several blocks, whose sums are added up; a hot key of the fixed
+side is one vector a block like any other.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +26,65 @@ from rateweave.functions.vectors import vector_sum
 from rateweave.operators.skew import ROWS_PER_SPLIT, hot_keys, repeat_per_split, with_split
 from rateweave.session import cut_lineage, pin
 
-# Up to this width the sums are plain aggregate columns; beyond it they are vectors built in Arrow batches.
+# Up to this width the sums are plain aggregate columns; beyond it they are built and solved in blocks.
 WIDEST_COLUMN_SUMS = 6
+KEYS = ("user_id", "item_id")
+# Up to so many blocks each one is named so that it has a partition of its own; more of them even out.
+NAMED_BLOCKS = 4096
+
+
+class _Made(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, key: str):
+        self[key] = made = self._make(key)
+        return made
 
 
 @dataclass(frozen=True)
 class Pairs:
-    """Rating pairs laid out once for all sweeps: a copy arranged by either key, and the keys' splits."""
+    """Rating pairs laid out once for all sweeps.
 
-    by: dict[str, DataFrame]
+    ``by[key]`` is a copy arranged by a key. ``blocks[key]`` is ``(pairs, routes)``: the pairs in blocks of the solved
+    ``key``, and ``(other key, block)``, one row for every block that a key of the other side is sent to.
+    """
+
+    rows: DataFrame
     hot: dict[str, DataFrame | None]
+    partitions: int
+    by: dict[str, DataFrame] = field(init=False)
+    blocks: dict[str, tuple[DataFrame, DataFrame]] = field(init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "by", _Made(self._arranged))
+        object.__setattr__(self, "blocks", _Made(self._in_blocks))
+
+    def keys(self, key: str) -> DataFrame:
+        return self.rows.select(key).distinct()
+
+    def _arranged(self, key: str) -> DataFrame:
+        rows = self.rows
+        for k, other in (KEYS, KEYS[::-1]):
+            rows = _numbered(rows, k, other, self.hot[k])
+        return pin(rows, [key] if self.hot[key] is None else [key, f"{key}_split"], self.partitions)
+
+    def _in_blocks(self, key: str) -> tuple[DataFrame, DataFrame]:
+        other, hot = KEYS[key == KEYS[0]], self.hot[key]
+        rows = _numbered(self.rows, key, other, hot)
+        shared = F.lit(False)
+        if hot is not None:
+            rows = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+            shared = F.coalesce("_hot", F.lit(False))
+        number = F.pmod(F.xxhash64(key, f"{key}_split"), F.lit(self.partitions)).cast("int")
+        block = number if self.partitions > NAMED_BLOCKS else F.element_at(
+            F.array(*map(F.lit, _names(self.rows.sparkSession, self.partitions))), number + 1)
+        placed = pin(rows.select(block.cast("bigint").alias("block"), key, other, "n", "total", "squares", shared.alias("shared")),
+                     ["block"], self.partitions, ["block", key])
+        return placed, pin(placed.select(other, "block").distinct(), [other], self.partitions)
 
     def meet(self, key: str, side: DataFrame) -> DataFrame:
         """Join the pairs to ``side``, one row per ``key``; the pairs stay where they are."""
@@ -40,15 +95,31 @@ class Pairs:
         return self.by[key].join(repeat_per_split(side, key, hot, split), [key, split])
 
 
+def _numbered(rows: DataFrame, key: str, other: str, hot: DataFrame | None) -> DataFrame:
+    split = f"{key}_split"
+    return rows.withColumn(split, F.lit(0)) if hot is None else with_split(rows, key, hot, [other], split)
+
+
+def _names(spark, n: int) -> list[int]:
+    """For each of ``n`` partitions the least number that hash partitioning sends there."""
+    found: dict[int, int] = {}
+    tried = 0
+    while len(found) < n:
+        part = F.pmod(F.hash("id"), F.lit(n))
+        for r in spark.range(tried, tried + 16 * n, 1, 1).select(part.alias("p"), "id").collect():
+            found.setdefault(r.p, r.id)
+        tried += 16 * n
+    return [found[p] for p in range(n)]
+
+
 def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: float | None = None) -> Pairs:
-    """Reduce ratings to pairs and arrange them.
+    """Reduce ratings to pairs and find their hot keys.
 
     A pair has ``n``, the weight of its outer product, ``total``, the weight of its vector on the right-hand
     side, and ``squares``, which is only summed. For explicit ratings these are count, sum and sum of squares.
     With ``alpha`` ratings are implicit feedback: confidence beyond one, confidence of a liked item, and the
-    number of likes.
+    number of likes. A block holds some ``rows_per_split`` pairs and at most as many vectors.
     """
-    keys = ("user_id", "item_id")
     rating = F.col("rating").cast("double")
     if alpha is None:
         sums = F.count(F.lit(1)).cast("double"), F.sum(rating), F.sum(rating * rating)
@@ -57,52 +128,86 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: flo
         sums = F.sum(alpha * F.abs(rating)), F.sum(liked * (1.0 + alpha * rating)), F.sum(liked)
     pairs = cut_lineage(
         ratings.filter(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("rating").isNotNull())
-               .groupBy(*keys)
+               .groupBy(*KEYS)
                .agg(*[c.alias(name) for c, name in zip(sums, ("n", "total", "squares"))]))
     n_pairs = pairs.count()
-    hot = {key: hot_keys(pairs, key, rows_per_split) if n_pairs > rows_per_split else None for key in keys}
-    rows = pairs
-    for key, other in (keys, keys[::-1]):
-        split = f"{key}_split"
-        rows = rows.withColumn(split, F.lit(0)) if hot[key] is None else with_split(rows, key, hot[key], [other], split)
+    hot = {key: hot_keys(pairs, key, rows_per_split) if n_pairs > rows_per_split else None for key in KEYS}
     slots = ratings.sparkSession.sparkContext.defaultParallelism
-    partitions = max(slots, math.ceil(n_pairs / rows_per_split))
-    by = {key: pin(rows, [key] if hot[key] is None else [key, f"{key}_split"], partitions) for key in keys}
-    return Pairs(by, hot)
+    return Pairs(pairs, hot, max(slots, math.ceil(n_pairs / rows_per_split)))
 
 
 def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge: list[float],
-               widest: int = WIDEST_COLUMN_SUMS, base: list[list[float]] | None = None) -> DataFrame:
+               widest: int = WIDEST_COLUMN_SUMS, base: list[list[float]] | None = None,
+               by_count: bool = False) -> DataFrame:
     """Solve ``key`` against ``fixed(fixed_key, design, offset)``: ``(key, solution, n, squared_error)``.
 
     ``solution`` minimises the sum over the key's ratings of ``(rating - offset - solution . design)²`` plus
-    ``ridge . solution²``. ``squared_error`` is that sum without the ridge, taken from the same equations,
-    so that watching convergence costs no further join.
+    ``ridge . solution²``, with ``by_count`` plus that once for every rating of the key. ``squared_error`` is the sum
+    without the ridge, taken from the same equations, so that watching convergence costs no further join.
 
     For implicit feedback ``base`` is the outer-product sum over all fixed vectors, which every key's equations
     start from; the ridge then counts once per liked item and ``squared_error`` means nothing.
     """
     size = len(ridge)
-    met = pairs.meet(fixed_key, fixed.select(fixed_key, "design", "offset"))
-    met = met.select(key, f"{key}_split", "design", "n",
+    times = "likes" if base is not None else "ratings" if by_count else "once"
+    side = fixed.select(fixed_key, "design", "offset")
+    if size > widest:
+        return _solved_in_blocks(pairs, key, side, fixed_key, ridge, base, times)
+    met = pairs.meet(fixed_key, side)
+    met = met.select(key, "design", "n",
                      (F.col("total") - F.col("n") * F.col("offset")).alias("target"),
                      (F.col("squares") - 2.0 * F.col("offset") * F.col("total")
                       + F.col("n") * F.col("offset") * F.col("offset")).alias("power"))
-    if size > widest:
-        sums = _batch_sums(met, key, size)
-        if pairs.hot[key] is not None:
-            # a hot key's splits are added up; other keys have one row already
-            sums = sums.groupBy(key).agg(F.sum("n").alias("n"), vector_sum("sums").alias("sums"))
-    else:
-        sums = _column_sums(met, key, size)
+    sums = _column_sums(met, key, size)
     if size == 1 and base is None:
         gram, target = F.col("sums")[0], F.col("sums")[1]
-        solved = sums.withColumn("x", target / (gram + F.lit(float(ridge[0]))))
+        scale = F.col("n") if by_count else F.lit(1.0)
+        solved = sums.withColumn("x", target / (gram + scale * F.lit(float(ridge[0]))))
         error = F.col("sums")[2] - 2.0 * F.col("x") * target + F.col("x") * F.col("x") * gram
         return solved.select(key, F.array("x").alias("solution"), "n", error.alias("squared_error"))
-    key_type = met.schema[key].dataType.simpleString()
-    return sums.mapInArrow(_solve_kernel(key, ridge, base),
-                           f"{key} {key_type}, solution array<double>, n double, squared_error double")
+    return _solved(sums, key, ridge, base, times)
+
+
+def _solved(sums: DataFrame, key: str, ridge: list[float], base: list[list[float]] | None, times: str) -> DataFrame:
+    return sums.mapInArrow(_solve_kernel(key, ridge, base, times),
+                           f"{key} {_type(sums, key)}, solution array<double>, n double, squared_error double")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _solved_in_blocks(pairs: Pairs, key: str, side: DataFrame, fixed_key: str, ridge: list[float],
+                      base: list[list[float]] | None, times: str) -> DataFrame:
+    placed, routes = pairs.blocks[key]
+    sent = routes.join(side, fixed_key).select(F.col("block").alias("to"), F.col(fixed_key).alias("fixed"), "design", "offset")
+    out = placed.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(
+        _block_kernel(key, fixed_key, _type(placed, key), ridge, base, times),
+        f"{key} {_type(placed, key)}, solution array<double>, n double, squared_error double, sums array<double>")
+    columns = [key, "solution", "n", "squared_error"]
+    if pairs.hot[key] is None:
+        return out.select(columns)
+    # a hot key's blocks have sums only, which are added up; the others are done
+    out = cut_lineage(out)
+    added = out.filter("sums is not null").groupBy(key).agg(F.sum("n").alias("n"), vector_sum("sums").alias("sums"))
+    return out.filter("sums is null").select(columns).unionAll(_solved(added, key, ridge, base, times))
+
+
+def gram_matrix(vectors: DataFrame, size: int) -> list[list[float]]:
+    """The sum of the outer products of ``vectors(features)``: one matrix a task, added up before it reaches the driver."""
+    def kernel(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((size, size))
+        for batch in batches:
+            part = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            total += part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["outer"])
+
+    partial = vectors.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(kernel, "outer array<double>")
+    flat = partial.agg(vector_sum("outer")).first()[0]
+    return [list(flat[i * size:(i + 1) * size]) for i in range(size)]
 
 
 def _triangle(size: int) -> list[tuple[int, int]]:
@@ -118,87 +223,114 @@ def _column_sums(met: DataFrame, key: str, size: int) -> DataFrame:
     return aggregated.select(key, "n", F.array(*[F.col(f"_{i}") for i in range(len(sums))]).alias("sums"))
 
 
-def _batch_sums(met: DataFrame, key: str, size: int) -> DataFrame:
-    # Rows of one key and split are brought next to each other, so that each yields one row of full sums.
-    split = f"{key}_split"
-    near = met.repartition(key, split).sortWithinPartitions(key, split)
-    key_type = met.schema[key].dataType.simpleString()
-    return near.mapInArrow(_gram_kernel(key, split, size), f"{key} {key_type}, n double, sums array<double>")
-
-
 # The kernels are nested functions so that they are shipped by value: workers need numpy and pyarrow only.
 
 
-def _gram_kernel(key: str, split: str, size: int, long_run: int = 48, cells: int = 2_000_000):
-    """Sums per run of equal (key, split): Gram matrix above the diagonal, target, power."""
+def _block_kernel(key: str, fixed_key: str, key_type: str, ridge: list[float], base: list[list[float]] | None, times: str,
+                  cells: int = 2_000_000):
+    """Solutions of a block's keys from its pairs and the vectors sent to it; sums only for keys that other blocks share."""
+    size = len(ridge)
+    ridges = _ridge_rule(ridge, base, times)
 
-    def kernel(batches):
+    def kernel(pairs, sent):
         import numpy as np
         import pyarrow as pa
 
         left, right = np.triu_indices(size)
         width = len(left) + size + 1
 
-        def run_sums(y, n, target, power, starts, ends):
-            out = np.empty((len(starts), width))
-            lengths = ends - starts
-            for run in np.flatnonzero(lengths >= long_run):
-                lo, hi = starts[run], ends[run]
-                part = y[lo:hi]
-                out[run, :len(left)] = (part.T @ (part * n[lo:hi, None]))[left, right]
-                out[run, len(left):-1] = target[lo:hi] @ part
-                out[run, -1] = power[lo:hi].sum()
-            # short runs together: products row by row, then added up per run, in chunks of bounded size
-            short = np.flatnonzero(lengths < long_run)
-            per_chunk = max(1, cells // (width * long_run))
-            for at in range(0, len(short), per_chunk):
-                runs = short[at:at + per_chunk]
-                length = lengths[runs]
-                first = np.cumsum(length) - length
-                rows = np.arange(length.sum()) + np.repeat(starts[runs] - first, length)
-                part = y[rows]
-                products = np.column_stack([part[:, left] * part[:, right] * n[rows, None],
-                                            part * target[rows, None], power[rows]])
-                out[runs] = np.add.reduceat(products, first)
-            return out
-
-        def record(keys, n, sums):
-            offsets = pa.array(np.arange(0, len(keys) * width + 1, width, dtype=np.int32))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))],
-                names=[key, "n", "sums"])
-
-        # the last run of a batch may go on in the next one
-        open_run = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys, splits, n, target, power = (batch.column(c).to_numpy(zero_copy_only=False)
-                                              for c in (key, split, "n", "target", "power"))
-            y = batch.column("design").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            change = (keys[1:] != keys[:-1]) | (splits[1:] != splits[:-1])
-            starts = np.flatnonzero(np.r_[True, change])
-            ends = np.r_[starts[1:], len(keys)]
-            sums = run_sums(y, n, target, power, starts, ends)
-            counts = np.add.reduceat(n, starts)
-            if open_run is not None:
-                if open_run[0] == (keys[0], splits[0]):
-                    counts[0] += open_run[1]
-                    sums[0] += open_run[2]
-                else:
-                    yield record(np.array([open_run[0][0]], keys.dtype), np.array([open_run[1]]), open_run[2])
-            last = starts[-1]
-            open_run = ((keys[last], splits[last]), counts[-1], sums[-1].copy())
-            if len(starts) > 1:
-                yield record(keys[starts[:-1]], counts[:-1], sums[:-1])
-        if open_run is not None:
-            yield record(np.array([open_run[0][0]]), np.array([open_run[1]]), open_run[2])
+        def numbers(table, column):
+            return table.column(column).to_numpy()
+
+        def result(keys, x, n, error, sums, shared):
+            def lists(rows, values, null):
+                ends = np.cumsum(np.where(null, 0, values.shape[1]))
+                return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values[rows].ravel()),
+                                                mask=pa.array(null))
+
+            solution = lists(~shared, x, shared)
+            packed = np.empty((len(keys), 0)) if sums is None else sums
+            return pa.Table.from_arrays(
+                [pa.array(keys), solution, pa.array(n), pa.array(error),
+                 pa.nulls(len(keys), pa.list_(pa.float64())) if sums is None else lists(shared, packed, ~shared)],
+                names=[key, "solution", "n", "squared_error", "sums"])
+
+        nothing = result(np.empty(0, {"int": np.int32, "bigint": np.int64}.get(key_type, np.int64)), np.empty((0, size)),
+                         np.empty(0), np.empty(0), None, np.empty(0, bool))
+        if not pairs.num_rows or not sent.num_rows:
+            return nothing
+        ids = numbers(sent, "fixed")
+        order = np.argsort(ids)
+        vectors = sent.column("design").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        at = np.searchsorted(ids, numbers(pairs, fixed_key), sorter=order)
+        row = order[np.minimum(at, len(ids) - 1)]
+        keys = numbers(pairs, key)
+        use = np.flatnonzero(ids[row] == numbers(pairs, fixed_key))  # a pair without a vector counts nowhere
+        if not len(use):
+            return nothing
+        use = use[np.argsort(keys[use], kind="stable")]
+        keys, row, n, shared = keys[use], row[use], numbers(pairs, "n")[use], numbers(pairs, "shared")[use]
+        total, squares, offset = numbers(pairs, "total")[use], numbers(pairs, "squares")[use], numbers(sent, "offset")[row]
+        target = total - n * offset
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        lengths = np.diff(np.r_[starts, len(keys)])
+        counts = np.add.reduceat(n, starts)
+        powers = np.add.reduceat(squares - 2.0 * offset * total + n * offset * offset, starts)
+        shared = shared[starts]
+        x, error = np.zeros((len(starts), size)), np.zeros(len(starts))
+        sums = np.zeros((len(starts), width)) if shared.any() else None
+
+        def equations(runs, length):
+            """Gram matrices and right-hand sides of runs of about one length, padded to ``length``."""
+            inside = np.arange(length) < lengths[runs, None]
+            place = starts[runs, None] + np.where(inside, np.arange(length), 0)
+            part = vectors[row[place]]
+            gram = np.matmul(part.transpose(0, 2, 1), part * np.where(inside, n[place], 0.0)[:, :, None])
+            return gram, np.matmul(np.where(inside, target[place], 0.0)[:, None, :], part)[:, 0]
+
+        def long_equations(run):
+            gram, rhs, piece = np.zeros((1, size, size)), np.zeros((1, size)), max(1, cells // size)
+            for lo in range(starts[run], starts[run] + lengths[run], piece):
+                hi = min(lo + piece, starts[run] + lengths[run])
+                part = vectors[row[lo:hi]]
+                gram[0] += part.T @ (part * n[lo:hi, None])
+                rhs[0] += target[lo:hi] @ part
+            return gram, rhs
+
+        by_length, at = np.argsort(lengths, kind="stable"), 0
+        while at < len(by_length):
+            end = min(len(by_length), at + max(1, cells // (size * max(size, int(lengths[by_length[at]])))))
+            while end > at + 1 and (end - at) * int(lengths[by_length[end - 1]]) * size > 2 * cells:
+                end = at + (end - at + 1) // 2
+            runs, length = by_length[at:end], int(lengths[by_length[end - 1]])
+            gram, rhs = long_equations(runs[0]) if len(runs) == 1 and length * size > cells else equations(runs, length)
+            system = gram + ridges(counts[runs], powers[runs])
+            x[runs] = np.linalg.solve(system, rhs[:, :, None])[:, :, 0]
+            error[runs] = (powers[runs] - 2.0 * (x[runs] * rhs).sum(axis=1)
+                           + np.einsum("ki,kij,kj->k", x[runs], gram, x[runs]))
+            if sums is not None:
+                sums[runs] = np.column_stack([gram[:, left, right], rhs, powers[runs]])
+            at = end
+        return result(keys[starts], x, counts, error, sums, shared)
 
     return kernel
 
 
-def _solve_kernel(key: str, ridge: list[float], base: list[list[float]] | None, chunk: int = 1024):
+def _ridge_rule(ridge: list[float], base: list[list[float]] | None, times: str):
+    def added(n, power):
+        """What is added to the Gram matrices of keys with ``n`` ratings and, for implicit feedback, ``power`` likes."""
+        import numpy as np
+
+        scale = {"once": np.ones(len(n)), "ratings": n, "likes": power}[times]
+        diagonal = scale[:, None, None] * np.diag(ridge)
+        return diagonal if base is None else diagonal + np.array(base)
+
+    return added
+
+
+def _solve_kernel(key: str, ridge: list[float], base: list[list[float]] | None, times: str, chunk: int = 1024):
     size = len(ridge)
+    ridges = _ridge_rule(ridge, base, times)
 
     def kernel(batches):
         import numpy as np
@@ -216,10 +348,8 @@ def _solve_kernel(key: str, ridge: list[float], base: list[list[float]] | None,
                 gram[:, left, right] = part[:, :len(left)]
                 gram[:, right, left] = part[:, :len(left)]
                 target = part[:, len(left):-1]
-                if base is None:
-                    system = gram + np.diag(ridge)
-                else:
-                    system = gram + np.array(base) + part[:, -1, None, None] * np.diag(ridge)
+                counts = batch.column("n").to_numpy(zero_copy_only=False)[at:at + chunk]
+                system = gram + ridges(counts, part[:, -1])
                 solved = np.linalg.solve(system, target[:, :, None])[:, :, 0]
                 x[at:at + chunk] = solved
                 error[at:at + chunk] = (part[:, -1] - 2.0 * (solved * target).sum(axis=1)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rateweave.functions.vectors import dot, hash_vector, vector_sum
-from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, lay_out, solve_side
+from rateweave.functions.vectors import dot, hash_vector
+from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, Pairs, gram_matrix, lay_out, solve_side
 from rateweave.operators.scoring import predict_pairs
 from rateweave.operators.skew import split_join
 from rateweave.session import cut_lineage
+from rateweave.sources.sweeps import SweepFolder, checksum
 
 # The reference model's settings, including the defaults it leaves unset.
 RANK = 24
@@ -32,37 +34,86 @@ class FactorModel:
     errors: DataFrame | None
 
 
+def als_factors(ratings: DataFrame, implicit: bool = True, **how) -> FactorModel:
+    """The model by alternating least squares of either kind of feedback."""
+    return (implicit_factors if implicit else explicit_factors)(ratings, **how)
+
+
 def implicit_factors(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
                      regularization: float = REGULARIZATION, alpha: float = IMPLICIT_ALPHA, seed: int = SEED,
-                     item_start: DataFrame | None = None, widest: int = WIDEST_COLUMN_SUMS) -> FactorModel:
+                     item_start: DataFrame | None = None, widest: int = WIDEST_COLUMN_SUMS,
+                     folder: str | None = None) -> FactorModel:
     """User and item factors of implicit feedback by alternating least squares.
 
     The equations are those of MLlib's ALS: the ridge counts once per like, unrated pairs count with confidence one.
     MLlib keeps all ratings of one user or item in one block, which a popular item outgrows; here hot keys are split,
     so this is the one solver for every size. Users are solved first, from ``item_start(item_id, features)`` or from
-    hashed numbers around zero.
+    hashed numbers around zero. With ``folder`` every whole sweep is stored there, and a run that is started again with
+    the same ratings and settings goes on after the last one.
     """
     pairs = lay_out(ratings, alpha=alpha)
-    if item_start is None:
-        start = F.transform(hash_vector("item_id", rank, 1.0, seed), lambda x: x - 0.5)
-        item_start = pairs.by["item_id"].select("item_id").distinct().select("item_id", start.alias("features"))
-    items = item_start
+    settings = {"kind": "implicit", "rank": rank, "regularization": regularization, "alpha": alpha, "seed": seed}
+
+    def solved(key, fixed, fixed_key):
+        base = gram_matrix(fixed, rank)
+        return _solve_plain(pairs, key, fixed, fixed_key, rank, regularization, widest, base=base)
+
+    return _alternate(pairs, solved, rank, iterations, seed, item_start, folder, settings)
+
+
+def explicit_factors(ratings: DataFrame, rank: int = RANK, iterations: int = ITERATIONS,
+                     regularization: float = REGULARIZATION, seed: int = SEED, item_start: DataFrame | None = None,
+                     widest: int = WIDEST_COLUMN_SUMS, folder: str | None = None) -> FactorModel:
+    """User and item factors of ratings by alternating least squares; the ridge counts once for every rating of a key.
+
+    The equations are those of MLlib's ALS without implicit feedback; the rest is as in ``implicit_factors``.
+    """
+    pairs = lay_out(ratings)
+    settings = {"kind": "explicit", "rank": rank, "regularization": regularization, "seed": seed}
 
     def solved(key, fixed, fixed_key):
-        # size by size numbers, whatever the data size
-        outer = F.flatten(F.transform("features", lambda x: F.transform("features", lambda y: x * y)))
-        flat = fixed.select(outer.alias("o")).agg(vector_sum("o")).first()[0]
-        base = [list(flat[i * rank:(i + 1) * rank]) for i in range(rank)]
-        design = fixed.select(fixed_key, F.col("features").alias("design"), F.lit(0.0).alias("offset"))
-        out = solve_side(pairs, key, design, fixed_key, [regularization] * rank, widest, base)
-        return cut_lineage(out.select(key, F.col("solution").alias("features")))
-
-    for _ in range(iterations):
-        users = solved("user_id", items, "item_id")
-        items = solved("item_id", users, "user_id")
+        return _solve_plain(pairs, key, fixed, fixed_key, rank, regularization, widest, by_count=True)
+
+    return _alternate(pairs, solved, rank, iterations, seed, item_start, folder, settings)
+
+
+def _alternate(pairs: Pairs, solved: Callable, rank: int, iterations: int, seed: int, item_start: DataFrame | None,
+               folder: str | None, settings: dict) -> FactorModel:
+    if iterations < 1:
+        raise ValueError("at least one iteration is needed")
+    if item_start is None:
+        start = F.transform(hash_vector("item_id", rank, 1.0, seed), lambda x: x - 0.5)
+        item_start = pairs.keys("item_id").select("item_id", start.alias("features"))
+    users, items, done, sweeps = None, item_start, 0, None
+    if folder is not None:
+        sweeps = SweepFolder(pairs.rows.sparkSession, folder,
+                             {**settings, "pairs": checksum(pairs.rows), "start": checksum(item_start)})
+        done, users, items = sweeps.last(iterations) or (0, users, items)
+    for sweep in range(done + 1, iterations + 1):
+        users = cut_lineage(solved("user_id", items, "item_id").select("user_id", "features"))
+        items = cut_lineage(solved("item_id", users, "user_id").select("item_id", "features"))
+        if sweeps is not None:
+            sweeps.store(sweep, users, items)
     return FactorModel(users, items, None)
 
 
+def fold_in(ratings: DataFrame, items: DataFrame, regularization: float = REGULARIZATION, alpha: float | None = IMPLICIT_ALPHA,
+            widest: int = WIDEST_COLUMN_SUMS) -> DataFrame:
+    """``(user_id, features)`` of users that ``items(item_id, features)`` were not trained on, from their ``ratings``.
+
+    One regularised solve per user over the fixed item factors, the same as a half-sweep of training would do: with
+    ``alpha`` for implicit feedback, whose base matrix over all items is summed once, without it for ratings. Ratings of
+    items without factors count nowhere; a user without any other rating has no row. No model is trained.
+    """
+    width = items.select(F.size("features").alias("n")).head()
+    if width is None:
+        raise ValueError("there are no item factors")
+    known = ratings.join(items.select("item_id"), "item_id", "left_semi")
+    pairs = lay_out(known, alpha=alpha)
+    how = {"by_count": True} if alpha is None else {"base": gram_matrix(items, width.n)}
+    return _solve_plain(pairs, "user_id", items, "item_id", width.n, regularization, widest, **how).select("user_id", "features")
+
+
 def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_start: DataFrame | None = None,
                  threshold: float = 0.5, seed: int = SEED, widest: int = WIDEST_COLUMN_SUMS) -> FactorModel:
     """Alternating ridge solves over the ratings above ``threshold``; the ridge is not scaled by counts.
@@ -73,7 +124,7 @@ def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_
         raise ValueError("at least one sweep is needed")
     pairs = lay_out(ratings.filter(F.col("rating") > threshold))
     if item_start is None:
-        item_start = pairs.by["item_id"].select("item_id").distinct().withColumn(
+        item_start = pairs.keys("item_id").withColumn(
             "features", hash_vector("item_id", rank, 5.0, seed))
     items = item_start
     users, errors = None, []
@@ -87,9 +138,9 @@ def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_
                        reduce(DataFrame.unionAll, errors))
 
 
-def _solve_plain(pairs, key, fixed, fixed_key, rank, ridge, widest):
-    design = fixed.select(fixed_key, F.col("features").alias("design"), F.lit(0.0).alias("offset"))
-    return (solve_side(pairs, key, design, fixed_key, [ridge] * rank, widest)
+def _solve_plain(pairs, key, fixed, fixed_key, rank, ridge, widest, **how):
+    design = fixed.select(fixed_key, F.col("features").cast("array<double>").alias("design"), F.lit(0.0).alias("offset"))
+    return (solve_side(pairs, key, design, fixed_key, [ridge] * rank, widest, **how)
             .withColumnRenamed("solution", "features"))
 
 
@@ -106,7 +157,7 @@ def biased_factorization(ratings: DataFrame, n_factors: int, sweeps: int, bias_r
     pairs = lay_out(ratings)
     start = F.transform(hash_vector("item_id", n_factors, 1.0, seed), lambda x: x - 0.5) if n_factors else \
         F.array().cast("array<double>")
-    items = pairs.by["item_id"].select("item_id").distinct().select("item_id", start.alias("features"), F.lit(0.0).alias("bias"))
+    items = pairs.keys("item_id").select("item_id", start.alias("features"), F.lit(0.0).alias("bias"))
     ridge = [factor_ridge] * n_factors + [bias_ridge]
     users, errors = None, []
     for sweep in range(1, sweeps + 1):

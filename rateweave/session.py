@@ -51,8 +51,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pin(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
-    """Write ``df`` partitioned by ``keys`` and sorted by them, so that later joins on them move only the other side.
+def pin(df: DataFrame, keys: list[str], partitions: int, order: list[str] | None = None) -> DataFrame:
+    """Write ``df`` partitioned by ``keys`` and sorted by them (or ``order``), so that later joins on them move only the other side.
 
     Spark remembers a checkpoint's partitioning only for a plan that was fixed beforehand, hence the switch.
     """
@@ -60,6 +60,6 @@ def pin(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(partitions, *keys).sortWithinPartitions(*keys))
+        return cut_lineage(df.repartition(partitions, *keys).sortWithinPartitions(*(order or keys)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
