@@ -145,19 +145,21 @@ def _solve_plain(pairs, key, fixed, fixed_key, rank, ridge, widest, **how):
 
 
 def biased_factorization(ratings: DataFrame, n_factors: int, sweeps: int, bias_ridge: float,
-                         factor_ridge: float = 0.1, seed: int = SEED,
+                         factor_ridge: float = 0.1, seed: int = SEED, item_start: DataFrame | None = None,
                          widest: int = WIDEST_COLUMN_SUMS) -> FactorModel:
     """Fit ``rating = p_u . q_i + b_u + b_i`` by alternating ridge solves; 0 factors give the pure bias model.
 
-    Each side's vector and bias are solved together. Item biases start at zero, item vectors at hashed
-    numbers around zero.
+    Each side's vector and bias are solved together. Item biases start at zero, item vectors at
+    ``item_start(item_id, features)`` or at hashed numbers around zero.
     """
     if sweeps < 1:
         raise ValueError("at least one sweep is needed")
     pairs = lay_out(ratings)
     start = F.transform(hash_vector("item_id", n_factors, 1.0, seed), lambda x: x - 0.5) if n_factors else \
         F.array().cast("array<double>")
-    items = pairs.keys("item_id").select("item_id", start.alias("features"), F.lit(0.0).alias("bias"))
+    if item_start is None:
+        item_start = pairs.keys("item_id").select("item_id", start.alias("features"))
+    items = item_start.select("item_id", F.col("features").cast("array<double>").alias("features"), F.lit(0.0).alias("bias"))
     ridge = [factor_ridge] * n_factors + [bias_ridge]
     users, errors = None, []
     for sweep in range(1, sweeps + 1):

@@ -92,6 +92,47 @@ def _implicit_sweeps(sweeps: int) -> list[str]:
     return parts
 
 
+def _explicit_sweeps(sweeps: int) -> list[str]:
+    """Ratings at rank 2 with ridge 0.1 for every rating of a key."""
+    parts = ["r as materialized (select user_id, item_id, rating::double rating from ratings)",
+             "v0 as materialized (select distinct item_id, cast(1.0 + (item_id % 10) / 10.0 as double) f,"
+             " cast(1.0 + (item_id % 7) / 7.0 as double) g from r)"]
+
+    def side(name, key, fixed, fixed_key):
+        return (f"{name} as materialized (select {key}, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) f,"
+                f" (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) g from (select {key}, sum(f * f) + 0.1::double * count(*) a11,"
+                f" sum(f * g) a12, sum(g * g) + 0.1::double * count(*) a22, sum(rating * f) b1, sum(rating * g) b2"
+                f" from r join {fixed} using ({fixed_key}) group by {key}))")
+
+    for s in range(1, sweeps + 1):
+        parts += [side(f"u{s}", "user_id", f"v{s - 1}", "item_id"), side(f"v{s}", "item_id", f"u{s}", "user_id")]
+    return parts
+
+
+def _biased_sweeps(sweeps: int) -> list[str]:
+    """One factor ``f`` with ridge 2 and a bias ``b`` with ridge 0.1."""
+    parts = ["r as materialized (select user_id, item_id, rating::double rating from ratings)",
+             "v0 as materialized (select distinct item_id, cast(1.0 + (item_id % 10) / 10.0 as double) f, 0::double b from r)"]
+
+    def side(name, key, fixed, fixed_key):
+        return (f"{name} as materialized (select {key}, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) f,"
+                f" (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) b from (select {key}, sum(f * f) + 2::double a11,"
+                f" sum(f) a12, count(*) + 0.1::double a22, sum((rating - b) * f) b1, sum(rating - b) b2"
+                f" from r join {fixed} using ({fixed_key}) group by {key}))")
+
+    for s in range(1, sweeps + 1):
+        parts += [side(f"u{s}", "user_id", f"v{s - 1}", "item_id"), side(f"v{s}", "item_id", f"u{s}", "user_id")]
+    return parts
+
+
+#: The pending users' factors over the items of ``v2``: five points for a pick, confidence 1 + 0.01 * 5, ridge 0.1 a pick.
+FOLDED = """
+folded as (select user_id, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) f, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) g
+           from (select user_id, ff + 0.05::double * sum(f * f) + 0.1::double * count(*) a11, fg + 0.05::double * sum(f * g) a12,
+                        gg + 0.05::double * sum(g * g) + 0.1::double * count(*) a22, 1.05::double * sum(f) b1, 1.05::double * sum(g) b2
+                 from picks join v2 using (item_id), (select sum(f * f) ff, sum(f * g) fg, sum(g * g) gg from v2)
+                 group by user_id, ff, fg, gg))"""
+
 RANK2_ROWS = " union all ".join(
     f"select '{side}' side, {side}_id id, cast({pos} as int) pos, round({c}, 6) as value from {name}"
     for side, name in (("user", "u2"), ("item", "v2")) for pos, c in ((0, "f"), (1, "g")))
@@ -273,6 +314,19 @@ ORACLES = {
     "als_rank2_wide": _q("ratings", *_rank2_sweeps(2), RANK2_ROWS),
     "implicit_als_rank2": _q("ratings", *_implicit_sweeps(2), RANK2_ROWS),
     "implicit_als_rank2_wide": _q("ratings", *_implicit_sweeps(2), RANK2_ROWS),
+    "explicit_als_rank2": _q("ratings", *_explicit_sweeps(2), RANK2_ROWS),
+    "explicit_als_rank2_wide": _q("ratings", *_explicit_sweeps(2), RANK2_ROWS),
+    "folded_in_users": _q("ratings users", PICKS, *_implicit_sweeps(2), FOLDED, """
+        select user_id, cast(0 as int) pos, round(f, 6) as value from folded
+        union all select user_id, 1, round(g, 6) from folded"""),
+    "folded_in_top48": _q("ratings users", PICKS, *_implicit_sweeps(2), FOLDED, """
+        s as (select u.user_id, v.item_id, u.f * v.f + u.g * v.g score from folded u, v2 v
+              where not exists (select 1 from picks p where p.user_id = u.user_id and p.item_id = v.item_id))""", """
+        select user_id, item_id, round(score, 6) score,
+               cast(row_number() over (partition by user_id order by s.score desc, item_id) as int) rank from s qualify rank <= 48"""),
+    "biased_one_factor": _q("ratings", *_biased_sweeps(2), """
+        select 'user' side, user_id id, round(f, 6) factor, round(b, 6) bias from u2
+        union all select 'item', item_id, round(f, 6), round(b, 6) from v2"""),
     "implicit_top48": _q("ratings users", PICKS, *_implicit_sweeps(2), """
         s as (select u.user_id, v.item_id, u.f * v.f + u.g * v.g score
               from (select * from u2 where user_id in (select id from pending)) u, v2 v

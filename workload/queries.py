@@ -413,6 +413,33 @@ def implicit_als_rank2_wide(spark, sf_dir):
     return _factor_rows(_implicit2(spark, sf_dir, widest=0))
 
 
+@query
+def explicit_als_rank2(spark, sf_dir):
+    ratings = Tables(spark, sf_dir).ratings
+    return _factor_rows(factorize.als_factors(ratings, implicit=False, rank=2, iterations=2, item_start=_start(ratings, 2)))
+
+
+@query
+def explicit_als_rank2_wide(spark, sf_dir):
+    ratings = Tables(spark, sf_dir).ratings
+    return _factor_rows(factorize.explicit_factors(ratings, 2, 2, item_start=_start(ratings, 2), widest=0))
+
+
+@query
+def folded_in_users(spark, sf_dir):
+    """Factors of the pending users from their picks, over items trained on the ratings alone."""
+    t = Tables(spark, sf_dir)
+    picks = catalog.pick_ratings(catalog.picks_of(catalog.pending_users(t.users)))
+    users = factorize.fold_in(picks, _implicit2(spark, sf_dir).items)
+    return rounded(users.select("user_id", F.posexplode("features").alias("pos", "value")))
+
+
+@query
+def folded_in_top48(spark, sf_dir):
+    pending = catalog.pending_users(Tables(spark, sf_dir).users)
+    return rounded(recommend.folded_in_scores(pending, _implicit2(spark, sf_dir).items))
+
+
 @query
 def implicit_top48(spark, sf_dir):
     pending = catalog.pending_users(Tables(spark, sf_dir).users)
@@ -467,6 +494,16 @@ def item_bias_best_worst(spark, sf_dir):
     return factorize.rank_items_by_bias(model, t.ratings, t.items)
 
 
+@query
+def biased_one_factor(spark, sf_dir):
+    """Vector and bias of every user and item in the biased model with one factor."""
+    ratings = Tables(spark, sf_dir).ratings
+    model = factorize.biased_factorization(ratings, 1, sweeps=2, bias_ridge=0.1, factor_ridge=2.0, item_start=_start(ratings, 1))
+    sides = [frame.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.col("features")[0].alias("factor"), "bias")
+             for side, frame in (("user", model.users), ("item", model.items))]
+    return rounded(sides[0].unionAll(sides[1]))
+
+
 @query
 def biased_factors_best_worst(spark, sf_dir):
     t = Tables(spark, sf_dir)
