@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.functions.vectors import vector_sum
-from rateweave.operators.skew import ROWS_PER_SPLIT, hot_keys, repeat_per_split, with_split
+from rateweave.operators.skew import ROWS_PER_SPLIT, hot_keys_by, repeat_per_split, with_split
 from rateweave.session import cut_lineage, pin
 
 # Up to this width the sums are plain aggregate columns; beyond it they are built and solved in blocks.
@@ -131,7 +131,7 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: flo
                .groupBy(*KEYS)
                .agg(*[c.alias(name) for c, name in zip(sums, ("n", "total", "squares"))]))
     n_pairs = pairs.count()
-    hot = {key: hot_keys(pairs, key, rows_per_split) if n_pairs > rows_per_split else None for key in KEYS}
+    hot = hot_keys_by(pairs, list(KEYS), rows_per_split) if n_pairs > rows_per_split else dict.fromkeys(KEYS)
     slots = ratings.sparkSession.sparkContext.defaultParallelism
     return Pairs(pairs, hot, max(slots, math.ceil(n_pairs / rows_per_split)))
 

@@ -23,12 +23,28 @@ def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> D
 
     The list is written once: both sides of a join have to see the same splits.
     """
-    given = df.filter(F.col(key).isNotNull())
-    threshold = max(rows_per_split, given.count() // MOST_HOT_KEYS)
-    hot = cut_lineage(
-        given.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
-             .select(key, F.ceil(F.col("_n") / threshold).cast("int").alias("n_splits")))
-    return hot if hot.take(1) else None
+    return hot_keys_by(df, [key], rows_per_split)[key]
+
+
+def hot_keys_by(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> dict[str, DataFrame | None]:
+    """The ``hot_keys`` of several columns from one pass over ``df``, which reads these columns only.
+
+    Keys with more than ``rows_per_split`` rows are written; where they are more than ``MOST_HOT_KEYS``, the threshold
+    rises to the count of the last of them.
+    """
+    sets = df.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+        *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(sets.filter(F.col("_n") > rows_per_split))
+    found: dict[str, DataFrame | None] = {}
+    for i, key in enumerate(keys):
+        of_key = large.filter((F.col(f"_g{i}") == 0) & F.col(key).isNotNull())
+        n = of_key.count()
+        threshold = rows_per_split
+        if n > MOST_HOT_KEYS:
+            threshold = of_key.orderBy(F.desc("_n")).limit(MOST_HOT_KEYS + 1).agg(F.min("_n")).first()[0]
+        hot = of_key.filter(F.col("_n") > threshold).select(key, F.ceil(F.col("_n") / threshold).cast("int").alias("n_splits"))
+        found[key] = hot if n else None
+    return found
 
 
 def with_split(df: DataFrame, key: str, hot: DataFrame, spread_by: list[str], name: str = "split") -> DataFrame:
@@ -48,11 +64,14 @@ def repeat_per_split(df: DataFrame, key: str, hot: DataFrame, name: str = "split
 
 
 def split_join(big: DataFrame, unique: DataFrame, key: str, spread_by: list[str], how: str = "inner",
-               rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """Join ``big`` to a table with one row per ``key`` without sending a hot key to one task."""
-    hot = hot_keys(big, key, rows_per_split)
-    if hot is None:
+               rows_per_split: int = ROWS_PER_SPLIT, hot: dict[str, DataFrame | None] | None = None) -> DataFrame:
+    """Join ``big`` to a table with one row per ``key`` without sending a hot key to one task.
+
+    ``hot`` holds the hot keys where they are known already, from ``big`` or from rows that it was made of.
+    """
+    of_key = hot[key] if hot is not None else hot_keys(big, key, rows_per_split)
+    if of_key is None:
         return big.join(unique, key, how)
-    left = with_split(big, key, hot, spread_by, "_split")
-    right = repeat_per_split(unique, key, hot, "_split")
+    left = with_split(big, key, of_key, spread_by, "_split")
+    right = repeat_per_split(unique, key, of_key, "_split")
     return left.join(right, [key, "_split"], how).drop("_split")

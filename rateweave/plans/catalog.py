@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rateweave.functions.text import has_prefix, parse_ids
 from rateweave.operators.ranking import global_row_number
-from rateweave.operators.skew import split_join
+from rateweave.operators.skew import hot_keys_by, split_join
 
 # The last user of the seed ratings, and the rating given to a picked item.
 SEED_LAST_USER = 610
@@ -115,7 +115,9 @@ def with_dense_ids(ratings: DataFrame, user_index: DataFrame, item_index: DataFr
     """Ratings with ``user_idx`` and ``item_idx`` in place of the ids."""
     users = user_index.select("user_id", F.col("idx").alias("user_idx"))
     items = item_index.select("item_id", F.col("idx").alias("item_idx"))
-    indexed = split_join(split_join(ratings, users, "user_id", ["item_id"]), items, "item_id", ["user_idx"])
+    hot = hot_keys_by(ratings, ["user_id", "item_id"])
+    with_user = split_join(ratings, users, "user_id", ["item_id"], hot=hot)
+    indexed = split_join(with_user, items, "item_id", ["user_idx"], hot=hot)
     return indexed.drop("user_id", "item_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rateweave.functions.vectors import dot, hash_vector
 from rateweave.operators.least_squares import WIDEST_COLUMN_SUMS, Pairs, gram_matrix, lay_out, solve_side
 from rateweave.operators.scoring import predict_pairs
-from rateweave.operators.skew import split_join
+from rateweave.operators.skew import hot_keys_by, split_join
 from rateweave.session import cut_lineage
 from rateweave.sources.sweeps import SweepFolder, checksum
 
@@ -185,10 +185,11 @@ def _error(items: DataFrame, sweep: int) -> DataFrame:
 
 def predict_biased(pairs: DataFrame, model: FactorModel) -> DataFrame:
     """Add ``prediction``; pairs whose user or item the model has not seen drop out."""
+    hot = hot_keys_by(pairs, ["user_id", "item_id"])
     with_user = split_join(pairs, model.users.select("user_id", F.col("features").alias("_p"),
-                                                     F.col("bias").alias("_bu")), "user_id", ["item_id"])
+                                                     F.col("bias").alias("_bu")), "user_id", ["item_id"], hot=hot)
     with_both = split_join(with_user, model.items.select("item_id", F.col("features").alias("_q"),
-                                                         F.col("bias").alias("_bi")), "item_id", ["user_id"])
+                                                         F.col("bias").alias("_bi")), "item_id", ["user_id"], hot=hot)
     prediction = dot("_p", "_q") + F.col("_bu") + F.col("_bi")
     return with_both.withColumn("prediction", prediction).drop("_p", "_q", "_bu", "_bi")
 

@@ -65,7 +65,8 @@ def processed_users(spark: SparkSession, ledger: str) -> DataFrame:
 
 
 def mark_processed(users: DataFrame, ledger: str, run_id: str) -> None:
-    write_run(users.select(F.col("id").cast("int").alias("user_id")).distinct(), ledger, run_id)
+    """Written in order of the ids, so that a later look-up of other ids skips the files by their statistics."""
+    write_run(users.select(F.col("id").cast("int").alias("user_id")).distinct().orderBy("user_id"), ledger, run_id)
 
 
 def not_yet_processed(users: DataFrame, ledger: DataFrame, run_id: str) -> DataFrame:

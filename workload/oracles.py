@@ -224,6 +224,13 @@ ORACLES = {
         i as (select item_id, min(row(rated_at, user_id)) f from ratings group by 1)""", """
         select 'user' kind, user_id id, row_number() over (order by f, user_id) - 1 idx from u
         union all select 'item', item_id, row_number() over (order by f, item_id) - 1 from i"""),
+    "growing_ids": _q("ratings", "\n,".join(f"""
+        {k}1 as (select {k}_id id, min(row(rated_at, {o}_id)) f from ratings where rated_at < date '1992-06-01' group by 1),
+        {k}2 as (select {k}_id id, min(row(rated_at, {o}_id)) f from ratings where {k}_id not in (select id from {k}1) group by 1)"""
+        for k, o in (("user", "item"), ("item", "user"))), " union all ".join(f"""
+        select '{k}' kind, id, row_number() over (order by f, id) - 1 idx, 1::bigint batch from {k}1
+        union all select '{k}', id, (select count(*) from {k}1) + row_number() over (order by f, id) - 1, 2 from {k}2"""
+        for k in ("user", "item"))),
     "dense_ratings": _q("ratings", """
         u as (select user_id, row_number() over (order by min(row(rated_at, item_id)), user_id) - 1 user_idx
               from ratings group by 1),

@@ -14,7 +14,7 @@ from rateweave.operators.ranking import relative_sort
 from rateweave.operators.scoring import predict_pairs, profile_vectors
 from rateweave.plans import catalog, enrich, explore, factorize, recommend
 from rateweave.session import checkpoint_dir
-from rateweave.sources import readers, writers
+from rateweave.sources import dictionary, readers, writers
 from rateweave.streaming.pending import run_pending
 from workload.views import VIEWS, table, view
 
@@ -173,6 +173,19 @@ def dense_ids(spark, sf_dir):
             .unionAll(items.select(F.lit("item"), "item_id", "idx")))
 
 
+@query
+def growing_ids(spark, sf_dir):
+    """Users and items numbered in two batches: the older ratings, then all of them."""
+    ratings = Tables(spark, sf_dir).ratings
+    older = ratings.filter(F.col("rated_at") < F.lit("1992-06-01").cast("date"))
+    folder, found = _folder(spark, "dictionary"), []
+    for kind, key, other in (("user", "user_id", "item_id"), ("item", "item_id", "user_id")):
+        for batch, part in ((1, older), (2, ratings)):
+            numbered = dictionary.grow_dictionary(part, f"{folder}/{kind}", batch, key, ["rated_at", other])
+        found.append(numbered.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "idx", "batch"))
+    return found[0].unionAll(found[1])
+
+
 @query
 def dense_ratings(spark, sf_dir):
     ratings = Tables(spark, sf_dir).ratings
