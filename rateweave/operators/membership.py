@@ -20,18 +20,29 @@ def _place(key: Column, words: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int"), reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def may_contain(keys: DataFrame, key: str, column: Column, most_words: int = MOST_WORDS) -> Column:
-    """A condition that holds for every value of ``column`` found in ``keys``, for few others, and not for null.
+def key_bits(keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> tuple[Column, int]:
+    """The filter of ``keys`` as a scalar subquery, an array of 64-bit words, and the number of its words.
 
-    The filter is one array of 64-bit words, the ``bit_or`` of the keys' bits word by word; its size is bounded, whatever
-    the number of keys. It is a scalar subquery: Spark computes it once, before the scan that tests it. ``column`` has the
-    type of the keys.
+    A word is the ``bit_or`` of its keys' bits; the array's size is bounded, whatever the number of keys.
     """
     words = max(1, min(most_words, keys.count() // KEYS_PER_WORD))
     word, bits = _place(F.col(key), words)
     masks = keys.filter(F.col(key).isNotNull()).groupBy(word.cast("bigint").alias("id")).agg(F.bit_or(bits).alias("mask"))
     every = keys.sparkSession.range(words).join(masks, "id", "left")
     entry = F.struct("id", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
-    array = every.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda w: w["mask"]).alias("words")).scalar()
-    word, bits = _place(column, words)
-    return column.isNotNull() & (F.get(array, word).bitwiseAND(bits) == bits)
+    array = F.transform(F.array_sort(F.collect_list(entry)), lambda w: w["mask"])
+    return every.agg(array.alias("words")).scalar(), words
+
+
+def maybe(array: Column, words: int, value: Column) -> Column:
+    """Does the filter know ``value``? It does for all its keys and for few other values."""
+    word, bits = _place(value, words)
+    return F.get(array, word).bitwiseAND(bits) == bits
+
+
+def may_contain(keys: DataFrame, key: str, column: Column, most_words: int = MOST_WORDS) -> Column:
+    """A condition that holds for every value of ``column`` found in ``keys``, for few others, and not for null.
+
+    Spark computes the filter once, before the scan that tests it. ``column`` has the type of the keys.
+    """
+    return column.isNotNull() & maybe(*key_bits(keys, key, most_words), column)
