@@ -1,9 +1,9 @@
 """Benchmark decontamination: windows of benchmark words are looked up in every window of the documents.
 
-DataFrame functions only. The benchmark's windows are hashed over lower-cased words, which finds a superset of the
-wanted matches; every hit is then verified word by word with only A-Z folded. The window table is broadcast when it
-is shown to be small and joined by its hash otherwise. Documents are never shuffled: their windows stream past the
-broadcast table, and only hits travel.
+DataFrame functions only. The benchmark's windows, lower-cased, are hashed, and the set of hashes is broadcast as a bounded
+array of bits. The windows of a document are made one by one as texts of their own words, without the document's, and
+tested where they are made; only those that the set knows leave the task, and a join with the benchmark's windows on the
+whole window verifies them. Documents are never shuffled, nor copied for a window.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.llm.common import ascii_lower, saved, text_or_empty
+from rateweave.operators.membership import KEYS_PER_WORD, key_bits, maybe
 
 WINDOW = 10
-#: A window table of at most so many rows is broadcast (hash, position and text: some 100 bytes a row).
-MOST_BROADCAST = 500_000
+#: Windows that the broadcast set of hashes is made for, at 16 bits a window (16 MB at most). With more windows it lets
+#: more other windows pass to the verifying join, which has the last word at every size.
+MOST_BROADCAST = 8_000_000
 SEPARATORS = "[\\x00-/:-@\\[-`{-\\x7F]+"
 WORD_CHARS = "[^\\x00-/:-@\\[-`{-\\x7F]"
 
@@ -31,66 +33,55 @@ def content_words(text: Column) -> Column:
     return F.transform(F.array(F.split(text, SEPARATORS)), inner)[0]
 
 
-def window_hashes(words: Column, length: int) -> Column:
-    """A hash of every run of ``length`` words, lower-cased; empty if there are fewer words."""
-    def runs(hashes):
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (length - 1)), lambda i: F.xxhash64(F.slice(hashes, i, length)))
+def windows(words: Column, length) -> Column:
+    """Every run of ``length`` words, joined by blanks; empty if there are fewer words."""
+    def runs(bound):
+        last = F.size(bound) - length + 1
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(bound, i, length), " "))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    return F.when(F.size(words) < length, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.array(hashes), runs)[0])
-
-
-def _run(words: Column, position: Column, length) -> Column:
-    return ascii_lower(F.array_join(F.slice(words, position + 1, length), " "))
+    # a text is cut once, before the lambda that reads its words
+    return F.transform(F.array(words), lambda bound: F.when(F.size(bound) >= length, runs(bound)).otherwise(
+        F.array().cast("array<string>")))[0]
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(length, h, run, item)``, distinct: every window of every item; an item of fewer words is one window."""
-    words = items.filter(F.col(key).isNotNull()).select(F.col(key).alias("item"), content_words(text_or_empty(text)).alias("words")).filter(
-        F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
-    at = words.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))))
-    run = F.slice("words", F.col("at") + 1, F.col("length"))
-    hashed = F.xxhash64(F.transform(run, lambda w: F.xxhash64(F.lower(w))))
-    return at.select("length", hashed.alias("h"), ascii_lower(F.array_join(run, " ")).alias("run"), "item").distinct()
+    """``(length, item, run)``, distinct: every window of every item; an item of fewer words is one window."""
+    words = items.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("item"), content_words(ascii_lower(text_or_empty(text))).alias("words")).filter(F.size("words") > 0)
+    cut = words.withColumn("length", F.least(F.size("words"), F.lit(window)))
+    return cut.select("length", "item", F.explode(windows(F.col("words"), F.col("length"))).alias("run")).distinct()
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
          item_text: str = "text", window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """``(key, text_hash, n_words, n_hit, hit_words, items)`` for documents with a verified window.
+    """``(key, text_hash, n_hit, hit_words, items)`` for documents with a verified window.
 
     ``hit_words`` are the positions of words inside any occurrence, ``items`` the distinct ids of the items that occur.
     """
     table = saved(benchmark_windows(items, item_key, item_text, window), "windows")
     lengths = sorted(r[0] for r in table.select("length").distinct().collect())  # at most ``window`` numbers
     # several items may share a window: look up each window once, and its items after verification
-    runs = table.select("length", "h", F.col("run").alias("wanted")).distinct()
-    small = runs.count() <= most_broadcast
+    runs = table.select("length", "run").distinct()
     content = text_or_empty(text)
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(content).alias("text_hash"), content_words(content).alias("words"))
-    found = None
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(content).alias("text_hash"), content_words(ascii_lower(content)).alias("words"))
+    found = texts.filter("false").select("key", "text_hash", F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit("").alias("run"))
     for length in lengths:
-        wanted = runs.filter(F.col("length") == length).drop("length")
-        seen = texts.select("key", "text_hash", "words", F.posexplode(window_hashes(F.col("words"), length)).alias("at", "h"))
-        met = seen.join(F.broadcast(wanted) if small else wanted, "h").filter(
-            _run(F.col("words"), F.col("at"), length) == F.col("wanted"))
-        met = met.select("key", "text_hash", F.size("words").alias("n_words"), F.col("at").cast("int").alias("at"), "wanted",
-                         F.lit(length).alias("length"))
-        found = met if found is None else found.union(met)
-    if found is None:  # an empty benchmark
-        found = texts.filter("false").select("key", "text_hash", F.size("words").alias("n_words"), F.lit(0).alias("at"),
-                                             F.lit("").alias("wanted"), F.lit(0).alias("length"))
+        bits, n = key_bits(runs.filter(F.col("length") == length), "run", most_broadcast // KEYS_PER_WORD)
+        seen = texts.select("key", "text_hash", F.lit(length), F.posexplode(windows(F.col("words"), length)).alias("at", "run"))
+        found = found.union(seen.filter(maybe(bits, n, F.col("run"))))
+    # equal runs of one length are the verified hits
+    found = found.join(runs, ["length", "run"]).withColumnRenamed("run", "wanted")
     # repeated rows find the same places again
     found = saved(found.distinct(), "hits")
     spots = found.withColumn("word", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)))
     words = spots.groupBy("key", "text_hash").agg(
-        F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("word")).alias("hit_words"))
+        F.array_sort(F.collect_set("word")).alias("hit_words"))
     owners = table.select(F.col("run").alias("wanted"), "item")
-    named = found.select("key", "text_hash", "wanted").distinct().join(F.broadcast(owners) if small else owners, "wanted")
+    named = found.select("key", "text_hash", "wanted").distinct().join(owners, "wanted")
     items_of = named.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     same = [F.col("key").eqNullSafe(F.col("key_2")), F.col("text_hash") == F.col("hash_2")]
     both = words.join(items_of.withColumnsRenamed({"key": "key_2", "text_hash": "hash_2"}), same)
-    return both.select("key", "text_hash", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "hit_words", "items")
+    return both.select("key", "text_hash", F.size("hit_words").cast("long").alias("n_hit"), "hit_words", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -113,6 +104,23 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_places(pieces: Column, places: Column) -> Column:
+    """The pieces joined, but for those at ``places`` (ascending, from 0), in time linear in both."""
+    def kept(bound):
+        ends = bound["ends"]
+        # what lies between two places that go
+        between = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.slice(
+            bound["pieces"], F.get(ends, i - 1) + 2, F.get(ends, i) - F.get(ends, i - 1) - 1))
+        return F.array_join(F.flatten(between), "")
+
+    def ended(bound):
+        return F.struct(bound["pieces"].alias("pieces"), F.concat(
+            F.array(F.lit(-1)), bound["places"], F.array(F.size(bound["pieces"]))).alias("ends"))
+
+    bound = F.transform(F.array(F.struct(pieces.alias("pieces"), places.alias("places"))), ended)
+    return F.transform(bound, kept)[0]
+
+
 def cleaned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", most_hit: float = 0.3,
             **how) -> DataFrame:
     """``docs`` without benchmark passages, in the same columns.
@@ -122,16 +130,14 @@ def cleaned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     :func:`contamination`.
     """
     found = hits(docs, items, key, text, **how).select(
-        F.col("key").alias("_dc_key"), F.col("text_hash").alias("_dc_hash"), "n_words", "n_hit", "hit_words")
-    found = found.select("_dc_key", "_dc_hash", (F.col("n_hit") > most_hit * F.col("n_words")).alias("_dc_gone"),
-                         F.col("hit_words").alias("_dc_words"))
+        F.col("key").alias("_dc_key"), F.col("text_hash").alias("_dc_hash"), F.col("hit_words").alias("_dc_words"))
     content = text_or_empty(text)
     met = docs.join(found, [F.col(key).eqNullSafe(F.col("_dc_key")), F.xxhash64(content) == F.col("_dc_hash")], "left")
-    met = met.filter(~F.coalesce("_dc_gone", F.lit(False)))
+    most = most_hit * F.size(content_words(content))
+    met = met.filter(F.when(F.col("_dc_words").isNull(), F.lit(True)).otherwise(F.size("_dc_words") <= most))
     # every word with what stands before it, then what stands after the last word
     pieces = F.regexp_extract_all(content, F.lit(f"{SEPARATORS[:-1]}*{WORD_CHARS}+|{SEPARATORS}"), F.lit(0))
-    rest = F.filter(pieces, lambda x, i: ~F.array_contains("_dc_words", i))
-    new = {text: F.when(F.col("_dc_words").isNotNull(), F.array_join(rest, "")).otherwise(F.col(text))}
+    new = {text: F.when(F.col("_dc_words").isNotNull(), without_places(pieces, F.col("_dc_words"))).otherwise(F.col(text))}
     out = met.withColumns(new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_dc_words").isNotNull(), F.length(text)).otherwise(

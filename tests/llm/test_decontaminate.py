@@ -70,3 +70,24 @@ def test_passages_go_and_clean_text_stays(spark, documents):
     docs = documents([(1, clean), (2, passage), (3, f"{long}; {passage}. {long}\n"), (4, None)], extra=True)
     got = {r.doc_id: r.text for r in decontaminate.cleaned(docs, items).collect()}
     assert got == {1: clean, 3: f"{long}. {long}\n", 4: None}
+
+
+def test_pieces_without_places(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(list("abcdef"), p) for p in ([], [0], [5], [0, 1, 2, 3, 4, 5], [1, 3, 4])] + [([], [])]
+    df = spark.createDataFrame(rows, "pieces array<string>, places array<int>")
+    got = [r[0] for r in df.select(decontaminate.without_places(F.col("pieces"), F.col("places"))).collect()]
+    assert got == ["".join(x for i, x in enumerate(pieces) if i not in places) for pieces, places in rows]
+
+
+def test_a_very_long_text_with_many_passages(spark, documents):
+    items = spark.createDataFrame([(1, " ".join(VOCABULARY[:12])), (2, "short one")], "item_id long, text string")
+    words = []
+    for i in range(2_000):
+        words += [f"z{i}"] * 40 + (VOCABULARY[:12] if i % 4 == 0 else ["short", "one"] if i % 4 == 1 else [])
+    docs = documents([(1, " ".join(words)), (2, " ".join(VOCABULARY[:11]))])
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[2].n_hit) == (500 * 12 + 500 * 2, 2, 11)
+    left = {r.doc_id: r.text for r in decontaminate.cleaned(docs, items).collect()}
+    assert left == {1: " ".join(w for w in words if w.startswith("z"))}
