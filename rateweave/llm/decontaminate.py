@@ -1,9 +1,10 @@
 """Benchmark decontamination: windows of benchmark words are looked up in every window of the documents.
 
-DataFrame functions only. The benchmark's windows, lower-cased, are hashed, and the set of hashes is broadcast as a bounded
-array of bits. The windows of a document are made one by one as texts of their own words, without the document's, and
-tested where they are made; only those that the set knows leave the task, and a join with the benchmark's windows on the
-whole window verifies them. Documents are never shuffled, nor copied for a window.
+DataFrame functions only. The benchmark's windows are hashed over lower-cased words, which finds a superset of the wanted
+matches, and the set of hashes is broadcast as a bounded array of bits. A document's windows are hashed by doubling, and
+only their places and hashes leave its row, without its words; the few that the set and then the table of hashes know are
+taken back to their documents and verified word by word with only A-Z folded. For that step documents without a hit stay
+where they are: a second set of bits, of the hit texts, is tested in their scan.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.llm.common import ascii_lower, saved, text_or_empty
-from rateweave.operators.membership import KEYS_PER_WORD, key_bits, maybe
+from rateweave.operators.membership import KEYS_PER_WORD, key_bits, may_contain, maybe
 
 WINDOW = 10
 #: Windows that the broadcast set of hashes is made for, at 16 bits a window (16 MB at most). With more windows it lets
@@ -33,23 +34,49 @@ def content_words(text: Column) -> Column:
     return F.transform(F.array(F.split(text, SEPARATORS)), inner)[0]
 
 
-def windows(words: Column, length) -> Column:
-    """Every run of ``length`` words, joined by blanks; empty if there are fewer words."""
-    def runs(bound):
-        last = F.size(bound) - length + 1
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(bound, i, length), " "))
+def _pairs(a: Column, b: Column, k: int) -> Column:
+    """A hash of ``a[i]`` and ``b[i + k]`` for every place that both have."""
+    n = F.greatest(F.size(b) - k, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(k + 1), n), lambda x, y: F.xxhash64(x, y))
 
-    # a text is cut once, before the lambda that reads its words
-    return F.transform(F.array(words), lambda bound: F.when(F.size(bound) >= length, runs(bound)).otherwise(
-        F.array().cast("array<string>")))[0]
+
+def window_hashes(words: Column, length: int) -> Column:
+    """A hash of every run of ``length`` words; empty if there are fewer words.
+
+    Hashes of 1, 2, 4, ... words are made from two of half the length, and those that ``length`` is the sum of are put
+    together, so the work for a window grows with the logarithm of its length.
+    """
+    def grown(power: Column, size: int, held: Column | None, n: int) -> Column:
+        if length & size:
+            held = power if held is None else _pairs(held, power, n)
+            n += size
+        if n == length:
+            return held
+        bound = [_pairs(power, power, size).alias("power")] + ([] if held is None else [held.alias("held")])
+        # bound, so that what is read twice is made once
+        return F.transform(F.array(F.struct(*bound)), lambda s: grown(
+            s["power"], 2 * size, None if held is None else s["held"], n))[0]
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.array(single), lambda s: grown(s, 1, None, 0))[0]
+
+
+def _run(words: Column, at: Column, length) -> Column:
+    return ascii_lower(F.array_join(F.slice(words, at + 1, length), " "))
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(length, item, run)``, distinct: every window of every item; an item of fewer words is one window."""
-    words = items.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("item"), content_words(ascii_lower(text_or_empty(text))).alias("words")).filter(F.size("words") > 0)
-    cut = words.withColumn("length", F.least(F.size("words"), F.lit(window)))
-    return cut.select("length", "item", F.explode(windows(F.col("words"), F.col("length"))).alias("run")).distinct()
+    """``(length, h, run, item)``, distinct: every window of every item; an item of fewer words is one window."""
+    content = text_or_empty(text)
+    cut = items.filter(F.col(key).isNotNull()).select(F.col(key).alias("item"), content_words(content).alias("words"),
+                                                      content_words(F.lower(content)).alias("low")).filter(F.size("words") > 0)
+    found = None
+    for length in range(1, window + 1):
+        of_length = cut.filter((F.size("words") >= length) if length == window else (F.size("words") == length))
+        at = of_length.select("item", "words", F.posexplode(window_hashes(F.col("low"), length)).alias("at", "h"))
+        some = at.select(F.lit(length).alias("length"), "h", _run(F.col("words"), F.col("at"), length).alias("run"), "item")
+        found = some if found is None else found.union(some)
+    return found.distinct()
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -60,17 +87,28 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     """
     table = saved(benchmark_windows(items, item_key, item_text, window), "windows")
     lengths = sorted(r[0] for r in table.select("length").distinct().collect())  # at most ``window`` numbers
-    # several items may share a window: look up each window once, and its items after verification
-    runs = table.select("length", "run").distinct()
     content = text_or_empty(text)
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(content).alias("text_hash"), content_words(ascii_lower(content)).alias("words"))
-    found = texts.filter("false").select("key", "text_hash", F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit("").alias("run"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(content).alias("text_hash"), content.alias("content"))
+    low = content_words(F.lower("content"))
+    near = rows.filter("false").select("key", "text_hash", F.lit(0).alias("length"), F.lit(0).alias("at"))
     for length in lengths:
-        bits, n = key_bits(runs.filter(F.col("length") == length), "run", most_broadcast // KEYS_PER_WORD)
-        seen = texts.select("key", "text_hash", F.lit(length), F.posexplode(windows(F.col("words"), length)).alias("at", "run"))
-        found = found.union(seen.filter(maybe(bits, n, F.col("run"))))
-    # equal runs of one length are the verified hits
-    found = found.join(runs, ["length", "run"]).withColumnRenamed("run", "wanted")
+        hashes = table.filter(F.col("length") == length).select("h").distinct()
+        bits, n = key_bits(hashes, "h", most_broadcast // KEYS_PER_WORD)
+        seen = rows.select("key", "text_hash", F.posexplode(window_hashes(low, length)).alias("at", "h"))
+        known = seen.filter(maybe(bits, n, F.col("h"))).join(hashes, "h")
+        near = near.union(known.select("key", "text_hash", F.lit(length), "at"))
+    # repeated rows have the same places
+    near = saved(near.distinct(), "near")
+    places = near.groupBy(F.col("key").alias("key_2"), F.col("text_hash").alias("hash_2")).agg(
+        F.collect_list(F.struct("length", "at")).alias("places"))
+    some = rows.filter(may_contain(near.select("text_hash").distinct(), "text_hash", F.col("text_hash"), most_broadcast // KEYS_PER_WORD))
+    met = some.join(places, [F.col("key").eqNullSafe(F.col("key_2")), F.col("text_hash") == F.col("hash_2")])
+    bound = F.struct(content_words(F.col("content")).alias("words"), F.col("places").alias("places"))
+    texts = F.transform(F.array(bound), lambda b: F.transform(b["places"], lambda p: F.struct(
+        p["length"].alias("length"), p["at"].alias("at"), _run(b["words"], p["at"], p["length"]).alias("run"))))[0]
+    # equal runs of one length are the verified hits; several items may share one
+    runs = table.select("length", "run").distinct()
+    found = met.select("key", "text_hash", F.inline(texts)).join(runs, ["length", "run"]).withColumnRenamed("run", "wanted")
     # repeated rows find the same places again
     found = saved(found.distinct(), "hits")
     spots = found.withColumn("word", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)))
