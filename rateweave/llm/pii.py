@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.llm.bpe import arrow_type
+from rateweave.llm.common import text_sample
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -235,16 +236,25 @@ class Trees:
                 best = (gained, f, k)
         return best[1], best[2]
 
+    def plain(self) -> tuple:
+        """The trees as numbers and arrays."""
+        return self.start, self.depth, np.array(self.feature), np.array(self.cut), np.array(self.leaf)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        score, rows = np.full(len(x), self.start), np.arange(len(x))
-        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), int)
-            for level in range(self.depth):
-                first = 2**level - 1
-                f = np.array(feature[first:2 * first + 1])[node]
-                node = 2 * node + (x[rows, f] > np.array(cut[first:2 * first + 1])[node])
-            score += leaf[node]
-        return 1 / (1 + np.exp(-score))
+        return _probability(self.plain(), x)
+
+
+def _probability(trees: tuple, x: np.ndarray) -> np.ndarray:
+    start, depth, features_of, cuts, leaves = trees
+    score, rows = np.full(len(x), start), np.arange(len(x))
+    for feature, cut, leaf in zip(features_of, cuts, leaves):
+        node = np.zeros(len(x), int)
+        for level in range(depth):
+            first = 2**level - 1
+            f = feature[first:2 * first + 1][node]
+            node = 2 * node + (x[rows, f] > cut[first:2 * first + 1][node])
+        score += leaf[node]
+    return 1 / (1 + np.exp(-score))
 
 
 # --- planted examples ---
@@ -323,6 +333,10 @@ class Model:
     thresholds: tuple[float, ...]  # by kind; above 1: never add
     held_out_precision: float
 
+    def plain(self) -> tuple:
+        """What workers need, as numbers and arrays: they may lack this package."""
+        return self.trees.plain(), self.thresholds
+
 
 def fit(docs: DataFrame, text: str = "text", contexts: int = 500, examples: int = 6_000, precision: float = 0.98,
         seed: int = 7) -> Model:
@@ -333,10 +347,7 @@ def fit(docs: DataFrame, text: str = "text", contexts: int = 500, examples: int
     ``examples`` planted spans are scored. A kind's threshold is the least with at least ``precision`` on a third of the
     examples that the trees have not seen; a kind that cannot reach it is never added.
     """
-    c = F.col(text).cast("string")
-    middle = (F.length(c) / 2).cast("int")
-    rows = docs.filter(F.length(c) > 0).select(F.xxhash64(c).alias("h"), F.substr(c, F.greatest(middle - 120, F.lit(1)), F.lit(240)).alias("s"))
-    snippets = sorted({r.s for r in rows.orderBy("h", "s").limit(contexts).collect()}) or [" "]
+    snippets = sorted(text_sample(docs, text, contexts, 240)) or [" "]
     r = np.random.default_rng(seed)
     xs, ys, kinds = [], [], []
     for _ in range(examples):
@@ -405,15 +416,16 @@ def _best(scored: list[tuple[tuple[int, int, int], float]]) -> list[tuple[int, i
     return out[::-1]
 
 
-def _selected(texts: list[str], model: Model) -> list[tuple[list, list]]:
+def _selected(texts: list[str], model: tuple) -> list[tuple[list, list]]:
     """For every text the strict spans and the added ones."""
     base = [base_spans(t) for t in texts]
     rows, owner, scores, waiting = [], [], [], []
-    least = np.array(model.thresholds)
+    trees, thresholds = model
+    least = np.array(thresholds)
 
     def score():
         if waiting:
-            p = model.trees.probability(np.array([features(texts[i], *s) for i, s in waiting], float))
+            p = _probability(trees, np.array([features(texts[i], *s) for i, s in waiting], float))
             for k in np.flatnonzero(p >= least[[s[1] for _, s in waiting]]).tolist():
                 owner.append(waiting[k][0])
                 rows.append(waiting[k][1])
@@ -449,7 +461,7 @@ def found(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     not influence each other, so repeated rows and null keys come out as they went in; an empty table gives an empty
     table; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     kind = docs.schema[key].dataType.simpleString()
 
     def listed(spans):
@@ -473,7 +485,7 @@ def found(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def redacted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, in the same columns; nulls stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     place = docs.columns.index(text)
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -1,0 +1,42 @@
+"""Workers need the libraries of a function, not this package."""
+
+import os
+import subprocess
+import sys
+
+REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+CODE = """
+import sys
+sys.path.insert(0, sys.argv[1])  # for the driver only: workers do not get it
+from rateweave.session import build_session
+spark = build_session("workers", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2",
+                                                "spark.checkpoint.dir": sys.argv[2], "spark.sql.warehouse.dir": sys.argv[2] + "/w"})
+
+def lacking(batches):
+    import importlib.util
+    import pyarrow as pa
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("rateweave") is None])], names=["lacking"])
+
+assert spark.range(1).mapInArrow(lacking, "lacking boolean").first().lacking
+from pyspark.sql import functions as F
+from rateweave.llm import pii, secrets, spelling
+from rateweave.plans import factorize
+docs = spark.createDataFrame([(i, "write to a@b.cd or (212) 555-1234, receve receive receive " * 3) for i in range(6)], "doc_id long, text string")
+model = pii.fit(docs, examples=600)
+assert pii.found(docs, model).first().n_email == 3 and "a@b.cd" not in pii.redacted(docs, model).first().text
+assert secrets.found(docs, secrets.fit(docs, examples=2000)).count() == 6
+assert spelling.spelling_variants(docs).filter("form = 'receive'").count() == 1
+ratings = spark.range(40).select((F.col("id") % 5).cast("int").alias("user_id"), (F.col("id") % 8).cast("int").alias("item_id"),
+                                 F.lit(3.0).cast("float").alias("rating"))
+assert factorize.implicit_factors(ratings, 8, 1).users.count() == 5
+print("whole")
+"""
+
+
+def test_workers_without_the_package(tmp_path):
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", CODE, REPOSITORY, str(tmp_path)], cwd=tmp_path, env=environment,
+                         capture_output=True, text=True, timeout=280)
+    assert out.returncode == 0 and "whole" in out.stdout, out.stderr[-3000:]
