@@ -8,19 +8,22 @@ of the last turn; the cheapest path through it is found by dynamic programming,
 Matrices make long conversations divisible: a block of at most ``BLOCK`` turns becomes a 4 x 4 matrix of costs between
 states, matrices of a conversation are multiplied in groups, level by level, and the best states at the blocks' borders
 are handed down again. So turns of one conversation are spread over tasks and no task holds more than a block's texts.
+Blocks are cut by a turn's place in its conversation, so they are the same however the rows lie.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from rateweave.llm.bpe import arrow_type
 from rateweave.llm.common import saved
+from rateweave.llm.manifest import placed
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -117,11 +120,21 @@ def repaired(turns: list[tuple[int, str]], enter: int, leave: int, closes: bool,
     return pieces, cost, (merges, relabels, inserts)
 
 
+def escaped(text: str) -> str:
+    """``text`` without turn marks: every ``<|`` in it gets a backslash in between, one more if there are some already."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def rendered(pieces, opens: bool) -> str:
-    """Chat markup: every turn between markers, joined texts on a new line. A block may end inside a turn: a turn is
+    """Chat markup: every turn between markers, joined texts on a new line, texts ``escaped``. A block may end inside a turn: a turn is
     closed by what follows it, so the blocks' texts make up the conversation's."""
     out = []
     for role, text, joined in pieces:
+        text = escaped(text)
         out.append("\n" + text if joined else ("" if opens and not out else "<|end|>\n") + f"<|{NAMES[role]}|>\n{text}")
     return "".join(out)
 
@@ -130,7 +143,7 @@ def _matrix(flat) -> np.ndarray:
     return np.array(flat, np.int64).reshape(4, 4)
 
 
-def _borders(blocks: DataFrame, costs: Costs) -> DataFrame:
+def _borders(blocks: DataFrame, costs: Costs, kind: str) -> DataFrame:
     """``(conv, idx, enter, leave, last)`` for ``blocks(conv, idx, matrix)``: states at the borders on the best path.
 
     ``idx`` grows along a conversation. Groups of consecutive numbers become one matrix each until a conversation has a
@@ -151,7 +164,7 @@ def _borders(blocks: DataFrame, costs: Costs) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))],
                                                  names=["conv", "idx", "matrix"])
 
-        above = _borders(lists.mapInArrow(multiply, "conv bigint, idx bigint, matrix array<bigint>"), costs)
+        above = _borders(lists.mapInArrow(multiply, f"conv {kind}, idx bigint, matrix array<bigint>"), costs, kind)
         above = above.withColumnRenamed("idx", "up")
         bounded = lists.join(above, [lists.conv.eqNullSafe(above.conv), lists.up == above.up]).select(
             lists.conv, "parts", "enter", "leave", "last")
@@ -170,11 +183,11 @@ def _borders(blocks: DataFrame, costs: Costs) -> DataFrame:
                     rows.append((r["conv"], p["idx"], enter, state, r["last"] and n == len(parts) - 1))
                     enter = state
             columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            kinds = (arrow_type(kind), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              names=["conv", "idx", "enter", "leave", "last"])
 
-    return bounded.mapInArrow(descend, "conv bigint, idx bigint, enter int, leave int, last boolean")
+    return bounded.mapInArrow(descend, f"conv {kind}, idx bigint, enter int, leave int, last boolean")
 
 
 def _role_number(name) -> int:
@@ -186,57 +199,62 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
               costs: Costs = DEFAULT, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
     """``(key, segment, n_turns, n_merged, n_relabelled, n_inserted, cost, text)``: conversations in repaired, rendered form.
 
-    A conversation of at most ``block`` turns that lies in one range partition is one row; others are several, whose
-    texts follow each other by ``segment`` and whose numbers add up. The sum of ``cost`` is the least possible.
+    A conversation of at most ``block`` turns is one row. A longer one is cut after every ``block`` turns into rows whose
+    texts follow each other by ``segment`` (from 0) and whose numbers add up, so a conversation of any length is returned
+    whole and rows do not depend on how the table is partitioned. The sum of ``cost`` is the least possible.
 
     Turns are ordered by ``turn`` (nulls first), then role, then text, so ties are decided; repeated rows are turns of
-    their own, which merge. A null text is an empty one; a role other than the three, or null, may become any. Rows
-    without a conversation id form one conversation of their own. An empty table gives an empty table; other columns are
-    ignored. Rows are spread by conversation and turn, so a conversation that holds a third of all rows is spread as well.
+    their own, which merge. A null text is an empty one; a role other than the three, or null, may become any. A text that
+    holds turn marks is ``escaped``, which can be undone, so no text can open or close a turn. A very long text is one
+    value of its turn. Rows without a conversation id form one conversation of their own. Ids are bigint, int or string. An
+    empty table gives an empty table; other columns are ignored. Only conversations longer than a block are ordered over
+    several tasks, and they are spread by conversation and turn, so one that holds a third of all rows is spread as well.
     """
-    spark = turns.sparkSession
-    slots = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = turns.select(F.col(key).cast("bigint").alias("conv"), F.col(turn).cast("bigint").alias("turn"),
+    kind = turns.schema[key].dataType.simpleString()
+    id_type = arrow_type(kind)
+    rows = turns.select(F.col(key).alias("conv"), F.col(turn).cast("bigint").alias("turn"),
                         F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    order = ["conv", "turn", "role", "h"]
-    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(slots, *order).sortWithinPartitions(*order, "text")
+    order = ["turn", "role", "h", "text"]
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sized = rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n_turns")).filter(F.col("n_turns") > block)
+    long = saved(sized.select(F.col("conv").alias("long_conv")), "chat-long")
+    parts = rows.withColumn("idx", F.lit(0).cast("bigint"))
+    if not long.isEmpty():
+        same = F.col("conv").eqNullSafe(F.col("long_conv"))
+        of_long = rows.join(long, same, "left_semi").withColumns(
+            {"tree": F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("")), "row": F.monotonically_increasing_id()})
+        cut_long = placed(of_long, "tree", [*order, "row"]).withColumn("idx", F.expr(f"place div {block}"))
+        parts = parts.join(long, same, "left_anti").unionByName(cut_long.select(*parts.columns))
+    near = parts.repartition("conv", "idx") if partitions is None else parts.repartition(partitions, "conv", "idx")
+    near = near.sortWithinPartitions("conv", "idx", *order)
 
     def cut(batches):
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
         matrices = {r: turn_matrix(r, costs) for r in range(4)}
-        conv, roles, texts, started = None, [], [], False
+        block_of, roles, texts = None, [], []
 
         def closed():
             m = matrices[roles[0]]
             for r in roles[1:]:
                 m = product(m, matrices[r])
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-            values = (conv, part, number, roles, texts, m.ravel().tolist())
+            kinds = (id_type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
+            values = (*block_of, roles, texts, m.ravel().tolist())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
-                                              names=["conv", "part", "number", "roles", "texts", "matrix"])
+                                              names=["conv", "idx", "roles", "texts", "matrix"])
 
         for batch in batches:
-            for c, name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if started and (c != conv or len(roles) >= block):
-                    yield closed()
-                    number, roles, texts = number + 1, [], []
-                conv, started = c, True
+            for c, i, name, value in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if block_of != (c, i):
+                    if roles:
+                        yield closed()
+                    block_of, roles, texts = (c, i), [], []
                 roles.append(_role_number(name))
                 texts.append(value.as_py())
-        if started:
+        if roles:
             yield closed()
 
-    cut_rows = saved(ordered.select("conv", "role", "text").mapInArrow(
-        cut, "conv bigint, part int, number bigint, roles array<int>, texts array<string>, matrix array<bigint>"), "chat-blocks")
-    # one row per range partition
-    sizes = cut_rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    blocks = cut_rows.join(offsets, "part").withColumn("idx", F.col("offset") + F.col("number"))
-    blocks = saved(blocks.select("conv", "idx", "roles", "texts", "matrix"), "chat-numbered")
-    borders = _borders(blocks.select("conv", "idx", "matrix"), costs).drop("conv")  # ``idx`` is unique by itself
+    blocks = saved(near.select("conv", "idx", "role", "text").mapInArrow(
+        cut, f"conv {kind}, idx bigint, roles array<int>, texts array<string>, matrix array<bigint>"), "chat-blocks")
+    borders = _borders(blocks.select("conv", "idx", "matrix"), costs, kind).withColumnsRenamed({"conv": "conv_2", "idx": "idx_2"})
 
     def render(batches):
         for batch in batches:
@@ -246,11 +264,12 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
                 opens = r["enter"] == START
                 out.append((r["conv"], r["idx"], len(r["roles"]), *counts, cost,
                             rendered(pieces, opens) + ("<|end|>\n" if r["last"] else "")))
-            kinds = (*[pa.int64()] * 7, pa.string())
+            kinds = (id_type, *[pa.int64()] * 6, pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else
                                              [pa.array([], k) for k in kinds],
                                              names=[key, "segment", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "text"])
 
     numbers = ", ".join(f"{c} bigint" for c in ("segment", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost"))
-    return blocks.drop("matrix").join(borders, "idx").select("conv", "idx", "roles", "texts", "enter", "leave", "last").mapInArrow(
-        render, f"`{key}` bigint, {numbers}, text string")
+    met = blocks.drop("matrix").join(borders, [F.col("conv").eqNullSafe(F.col("conv_2")), F.col("idx") == F.col("idx_2")])
+    return met.select("conv", "idx", "roles", "texts", "enter", "leave", "last").mapInArrow(
+        render, f"`{key}` {kind}, {numbers}, text string")
