@@ -126,6 +126,37 @@ def test_top_k_scores_does_not_depend_on_the_grid(spark, monkeypatch):
     assert scoring.top_k_scores(u, i.limit(0), 7, e).count() == 0
 
 
+def test_a_scan_ends_where_no_score_can_enter_a_list(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    users = {u: rng.normal(size=4).tolist() for u in range(40)}
+    # a few long vectors among many short ones; some norms are equal
+    items = {i: (rng.normal(size=4) * (10 if i % 50 == 7 else 0.1)).round(2).tolist() for i in range(6000)}
+    exclude = {(u, i) for u in users for i in range(7, 6000, 50) if (u + i) % 3 == 0} | {(0, i) for i in range(5990)}
+    u, i, e = frames(spark, users, items, exclude)
+    got = rows(scoring.top_k_scores(u, i, 5, e), "user_id", "item_id", "rank")
+    with monkeypatch.context() as patched:
+        patched.setattr(scoring, "BLOCK_BYTES", 10 * 4 * 8)
+        assert rows(scoring.top_k_scores(u, i, 5, e), "user_id", "item_id", "rank") == got
+    out = set(exclude)
+    matrix = {i: np.float32(v).astype(float) for i, v in items.items()}
+    for user in (0, 1, 17, 39):
+        want = sorted(((-sum(float(a) * float(b) for a, b in zip(users[user], v)), i) for i, v in matrix.items() if (user, i) not in out))[:5]
+        assert [i for u_, i, _ in sorted(got, key=lambda r: r[2]) if u_ == user] == [i for _, i in want]
+
+    assert sum(n for (n,) in rows(scoring.scan_effort(u, i, 5), "n_items")) == len(items)
+    # without the user who has excluded all the long ones, a few slices are enough for all
+    effort = scoring.scan_effort(u.filter("user_id > 0"), i, 5, e).agg(
+        F.sum("items_scored").alias("items"), F.sum("pairs_scored").alias("pairs")).first()
+    # slices double, so some items are scored beyond the last that could enter, but for few users
+    assert effort.items < 0.6 * len(items) and effort.pairs < len(items) * 39 / 5
+
+
+def test_users_without_length_see_every_item(spark):
+    u, i, e = frames(spark, {1: [0.0, 0.0], 2: [1.0, 0.0]}, {n: [float(1000 - n), 0.0] for n in range(1000)}, {(1, 0)})
+    assert rows(scoring.top_k_scores(u, i, 2, e), "user_id", "item_id", "score", "rank") == [
+        (1, 1, 0.0, 1), (1, 2, 0.0, 2), (2, 0, 1000.0, 1), (2, 1, 999.0, 2)]
+
+
 def test_profile_vectors_and_pairs(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0])], "item_id int, features array<float>")
     picks = spark.createDataFrame([(7, 1, 5.0), (7, 2, 5.0), (7, 3, 5.0), (8, 3, 5.0), (9, 2, 1.0)],
