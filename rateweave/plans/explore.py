@@ -56,7 +56,12 @@ def _mean(total: str = "total", n: str = "n") -> Column:
 
 def item_stats(ratings: DataFrame, items: DataFrame) -> DataFrame:
     """Count and mean of ratings per item with its title."""
-    return (item_sums(ratings).join(items.select("item_id", "title"), "item_id")
+    return with_means(item_sums(ratings), items)
+
+
+def with_means(sums: DataFrame, items: DataFrame) -> DataFrame:
+    """Titles and means for ``sums(item_id, n, total)``, as from ``item_sums`` or stored ratings."""
+    return (sums.join(items.select("item_id", "title"), "item_id")
             .select("item_id", "title", F.col("n").alias("n_ratings"), _mean().alias("mean_rating")))
 
 

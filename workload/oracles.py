@@ -156,6 +156,15 @@ ORACLES = {
     "item_rating_stats": _q("ratings items", """
         select item_id, title, count(rating) n_ratings, round(avg(cast(rating as double)), 6) mean_rating
         from ratings join items using (item_id) group by item_id, title"""),
+    "stored_item_stats": _q("ratings items", """
+        select item_id, title, count(rating) n_ratings, round(avg(cast(rating as double)), 6) mean_rating
+        from ratings join items using (item_id) group by item_id, title"""),
+    "stored_generous_reviews": _q("ratings", """
+        select item_id, count(*) n_reviews from ratings
+        where user_id in (select user_id from ratings group by user_id having avg(cast(rating as double)) >= 3) group by item_id"""),
+    "stored_pairs": _q("ratings", """
+        select user_id, item_id, count(rating) n, sum(cast(rating as double)) total
+        from ratings where rating is not null group by user_id, item_id"""),
     "items_mean_at_least": _q("ratings items", """
         select item_id, title, count(rating) n_ratings, round(avg(cast(rating as double)), 6) mean_rating
         from ratings join items using (item_id) group by item_id, title having avg(cast(rating as double)) >= 2.5"""),

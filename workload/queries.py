@@ -12,9 +12,9 @@ from rateweave.functions.lists import explode_lists
 from rateweave.functions.text import split_list, title_case
 from rateweave.operators.ranking import relative_sort
 from rateweave.operators.scoring import predict_pairs, profile_vectors
-from rateweave.plans import catalog, enrich, explore, factorize, recommend
+from rateweave.plans import catalog, enrich, explore, factorize, gradient, recommend
 from rateweave.session import checkpoint_dir
-from rateweave.sources import dictionary, readers, writers
+from rateweave.sources import dictionary, readers, stored, writers
 from rateweave.streaming.pending import run_pending
 from workload.views import VIEWS, table, view
 
@@ -127,6 +127,30 @@ def release_year_reviews(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+def _stored(spark, sf_dir):
+    return stored.store_ratings(Tables(spark, sf_dir).ratings, f"ratings_{uuid.uuid4().hex}", _folder(spark, "ratings"))
+
+
+@query
+def stored_item_stats(spark, sf_dir):
+    """Count and mean by item, from ratings in buckets."""
+    return rounded(explore.with_means(_stored(spark, sf_dir).sums("item_id"), Tables(spark, sf_dir).items))
+
+
+@query
+def stored_generous_reviews(spark, sf_dir):
+    """Reviews of every item by users with a mean of at least three; neither sums nor join move a rating."""
+    ratings = _stored(spark, sf_dir)
+    generous = ratings.sums("user_id").filter(F.col("total") / F.col("n") >= 3.0).select("user_id")
+    return ratings.join(generous, "user_id", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+@query
+def stored_pairs(spark, sf_dir):
+    """Every rated pair once, with its number and sum of ratings."""
+    return _stored(spark, sf_dir).pairs("user_id")
+
+
 @query
 def genre_reviews(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -524,6 +548,14 @@ def biased_factors_best_worst(spark, sf_dir):
     return factorize.rank_items_by_bias(model, t.ratings, t.items)
 
 
+@query
+def gradient_validation(spark, sf_dir):
+    """Held-out error of the biased model with eight factors by stochastic gradient."""
+    marked = factorize.holdout(Tables(spark, sf_dir).ratings)
+    model = gradient.stochastic_factors(marked.filter("is_train"), 2, 8, [(2, 0.1, 2e-4), (1, 1e-2, 2e-6)], 128)
+    return rounded(factorize.squared_error(factorize.predict_biased(marked.filter("not is_train"), model)))
+
+
 @query
 def implicit_als_top48(spark, sf_dir):
     t = Tables(spark, sf_dir)
