@@ -18,10 +18,35 @@ from rateweave.llm.common import worker_cache
 
 #: Remembered chunks and pre-tokens of a worker; it starts anew beyond that.
 REMEMBERED = 600_000
+#: Entries of one generation of a ``Remembered``.
+GENERATION = 400_000
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Remembered(dict):
+    """Answers of ``ask``, looked up and filled in one step.
+
+    When a generation is full, a new one begins; what is asked again moves over from the one before, so frequent keys stay
+    and the older half of the others goes.
+    """
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+        self.before: dict = {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        self[key] = found = self.ask(key) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > GENERATION:
+            self.before = dict(self)
+            self.clear()
+
+
 class LibraryIds:
     """Ids of one tokenizer file (JSON), as bytes of 32-bit integers."""
 
@@ -38,6 +63,7 @@ class LibraryIds:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
         self.special = [t["content"] for t in described["added_tokens"]]
         self.chunks = re.compile(r" (?=\S)").split
+        self.uncut_space = re.compile(r" (?!\S)").search
         self.pieces = compiled(PATTERN).findall
         self.tokenize = self.library.model.tokenize
         # how the byte level writes bytes: visible ones as they are, others from 256 on
@@ -48,6 +74,9 @@ class LibraryIds:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
+        # the same for whole texts, where a worker meets every chunk of its share
+        self.heads = Remembered(self._chunk)
+        self.words = Remembered(lambda c: self._ask(" " + c) if c.isalpha() else self._chunk(" " + c))
 
     def whole(self, text: str) -> bytes | None:
         """Ids of a text that can't be cut, None if it can."""
@@ -86,12 +115,18 @@ class LibraryIds:
         return b"".join([packed[t.id] for t in self.tokenize(written.translate(self.written))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = [self.whole(t) for t in texts]
-        cut = [None if ids is not None else self.chunks(t) for t, ids in zip(texts, out)]
-        rest = [c for c in cut if c is not None]
-        self.learn({c[0] for c in rest}, set().union(*(c[1:] for c in rest)))
-        return [ids if c is None else self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:]))
-                for c, ids in zip(cut, out)]
+        heads, word, out = self.heads, self.words.__getitem__, []
+        for text in texts:
+            ids = self.whole(text)
+            if ids is None:
+                chunks = self.chunks(text) if self.uncut_space(text) else text.split(" ")
+                ids = heads[chunks[0]] + b"".join(map(word, chunks[1:]))
+            out.append(ids)
+        heads.turn()
+        self.words.turn()
+        if len(self.piece) > REMEMBERED:
+            self.piece.clear()
+        return out
 
 
 def library_ids(data: bytes) -> LibraryIds:

@@ -1,8 +1,9 @@
 """Token-id files compressed with Re-Pair grammars.
 
 Documents are put in order of their ids, encoded, ended with an end id and packed into shards. In a shard the most
-frequent pairs of neighbouring ids are replaced by nonterminals, again and again, until a round saves too little. A shard
-is a row of a Parquet table:
+frequent pairs of neighbouring ids are replaced by nonterminals, again and again, until no pair is there ``LEAST_COUNT``
+times or a round saves less than ``LEAST_SAVED`` of the sequence; in a run of one id every other place is a pair. A shard is
+a row of a Parquet table:
 
     part, shard      place in the order: range partition, shard within it
     first, n_ids     ids before the shard within its part; ids in it
@@ -57,11 +58,12 @@ def _round(seq: np.ndarray, turn: int, base: int, known: int) -> tuple[np.ndarra
     count = np.bincount(slot, minlength=1 << 20)
     often = np.flatnonzero(count >= LEAST_COUNT)
     a, b = left[speaker[often]].astype(np.int64), right[speaker[often]].astype(np.int64)
-    # no symbol may end one chosen pair and begin another, so occurrences never overlap
+    # no symbol may end one chosen pair and begin another, so occurrences of different pairs never overlap
     rule_of, rules, lefts, rights = np.full(1 << 20, -1, np.int32), [], set(), set()
-    for k in np.lexsort((b, a, -count[often])).tolist():
+    saved = np.where(a == b, count[often] // 2, count[often])  # in a run every other place can be replaced
+    for k in np.lexsort((b, a, -saved)).tolist():
         x, y = int(a[k]), int(b[k])
-        if x != y and x not in rights and y not in lefts:
+        if saved[k] >= LEAST_COUNT and x not in rights and y not in lefts and (x != y or x not in lefts and x not in rights):
             lefts.add(x)
             rights.add(y)
             rule_of[often[k]] = len(rules)
@@ -70,6 +72,10 @@ def _round(seq: np.ndarray, turn: int, base: int, known: int) -> tuple[np.ndarra
                 break
     rule = rule_of[slot]
     spots, rule = place[rule >= 0], rule[rule >= 0]
+    # places of a pair of one symbol with itself are neighbours within a run: take the first, the third, ...
+    begins = np.flatnonzero(np.diff(spots, prepend=-2) != 1)
+    within = np.arange(len(spots)) - np.repeat(begins, np.diff(begins, append=len(spots)))
+    spots, rule = spots[within % 2 == 0], rule[within % 2 == 0]
     seq = seq.copy()
     seq[spots] = (base + known + rule).astype(np.uint32)
     keep = np.ones(len(seq), bool)

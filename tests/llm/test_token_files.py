@@ -57,3 +57,41 @@ def test_random_access(spark, documents):
 
 def test_empty_table(documents):
     assert token_files.round_trip(documents([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [[7], [1, 2], [1, 2, 3, 4], [3, 3, 9]])
+def test_repetition_takes_a_logarithmic_number_of_symbols(pattern):
+    ids = np.tile(pattern, 1_000_000 // len(pattern))
+    symbols, rules, sizes = token_files.compress(ids, 5_000)
+    assert len(symbols) < 100 and len(rules) < 60
+    assert token_files.expand(symbols, rules, sizes, 5_000).tolist() == ids.tolist()
+
+
+def test_runs_of_odd_lengths():
+    rng = np.random.default_rng(4)
+    ids = np.repeat(rng.integers(0, 6, 3_000), rng.integers(1, 12, 3_000))
+    symbols, rules, sizes = token_files.compress(ids, 50)
+    assert token_files.expand(symbols, rules, sizes, 50).tolist() == ids.tolist()
+    assert any(a == b for a, b in rules.tolist()) and len(symbols) < len(ids) / 3
+
+
+def test_remembered_answers_outlive_a_generation(monkeypatch):
+    from rateweave.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "GENERATION", 10)
+    asked = []
+    kept = pretokens.Remembered(lambda c: asked.append(c) or c.upper())
+    for n in range(100):
+        assert kept["often"] == "OFTEN" and kept[f"w{n}"] == f"W{n}"
+        kept.turn()
+    assert asked.count("often") == 1 and len(kept) + len(kept.before) <= 24
+
+
+def test_cuts_of_texts_with_odd_spaces():
+    from rateweave.llm.pretokens import LibraryIds
+
+    data = open(PATH, "rb").read()
+    ours, library = LibraryIds(data), Tokenizer.from_str(data.decode())
+    texts = ["", " ", "a", " a", "a ", "a  b", "  a b", "a b  ", "a \t b", "a \n", "a b c", "a  b", "a 　b", "x " * 50, "'s 's  's"]
+    for text, ids in zip(texts, ours.encode(texts)):
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
