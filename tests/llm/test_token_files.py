@@ -92,6 +92,6 @@ def test_cuts_of_texts_with_odd_spaces():
 
     data = open(PATH, "rb").read()
     ours, library = LibraryIds(data), Tokenizer.from_str(data.decode())
-    texts = ["", " ", "a", " a", "a ", "a  b", "  a b", "a b  ", "a \t b", "a \n", "a b c", "a  b", "a 　b", "x " * 50, "'s 's  's"]
+    texts = ["", " ", "One two, three. (four) five! six? .. , it's; 7, a7. ä, 语。 语, x:", "a", " a", "a ", "a  b", "  a b", "a b  ", "a \t b", "a \n", "a b c", "a  b", "a 　b", "x " * 50, "'s 's  's"]
     for text, ids in zip(texts, ours.encode(texts)):
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
