@@ -144,14 +144,16 @@ def measured(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT_RUL
 
 
 def clean(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT_RULES) -> DataFrame:
-    """The kept documents with their failing lines removed, in the columns of ``docs``."""
-    out = measured(docs, text, rules)
+    """The kept documents with their failing lines removed, in the columns of ``docs``, one called ``quality`` included."""
+    columns = {c: "_given_quality" if c.lower() == "quality" else c for c in docs.columns}
+    text = next(c for c in columns if c.lower() == text.lower())
+    out = measured(docs.withColumnsRenamed({c: to for c, to in columns.items() if c != to}), columns[text], rules)
     changed = F.col("quality.n_removed_lines") > 0
-    new = {text: F.when(changed, F.col("quality.clean_text")).otherwise(F.col(text))}
+    new = {text: F.when(changed, F.col("quality.clean_text")).otherwise(F.col(columns[text]))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("quality.clean_text")).otherwise(
             F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    row = F.struct(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    row = F.struct(*[new.get(c, F.col(to)).alias(c) for c, to in columns.items()])
     # A filter on the verdict would be pushed below all that it is computed from and repeat that for every word; rows are
     # dropped by a generator instead, which stays where it is.
     return out.select(F.inline(F.when(F.col("quality.kept"), F.array(row)).otherwise(F.slice(F.array(row), 1, 0))))

@@ -1,0 +1,59 @@
+"""Quality rules: base counts against plain Python, cleaning, odd tables."""
+
+import re
+
+import pytest
+
+from rateweave.llm import quality
+
+GOOD = "The river rose in the night and by morning the lower road was gone, so the carts went over the hill instead of it."
+OTHER = "Nobody had seen water that high since the year when both mills burned down and the bridge was built again from stone."
+MENU = "Home | About | Contact | Login"
+
+
+def plain(text):
+    """``(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)`` as the contract says."""
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    hit = {i + d for i, w in enumerate(windows) if windows.count(w) > 1 for d in range(8)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit),
+            len(words) < 20 or 100 * len(hit) > 30 * len(words))
+
+
+TEXTS = [None, "", " \t\n\r\n ", GOOD, GOOD + "\n" + GOOD, "\n".join([GOOD, MENU, "", GOOD.upper()]), (GOOD + "\r\n") * 2,
+         "# * $ % & | < > " * 5, "a b c d e f g h " * 4, "wörter \u2028 und \u00a0 zeichen \x0b " * 9, "x" * 5000, GOOD[:60]]
+
+
+def test_base_counts_equal_a_plain_version(documents):
+    got = quality.measured(documents(list(enumerate(TEXTS)))).collect()
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert {r.doc_id: tuple(r.quality[f] for f in fields) for r in got} == {i: plain(t) for i, t in enumerate(TEXTS)}
+    assert not any(r.quality.kept for r in got if r.quality.base_failed)
+
+
+def test_failing_lines_go_and_clean_texts_keep_their_characters(documents):
+    # no eight words come twice; a text with such repeats is rejected
+    long = " ".join(f"the {n}th cart had {n * 7} sacks." for n in range(20_000))
+    docs = [(1, GOOD), (2, f"{GOOD}\n{MENU}\n\n{OTHER}"), (3, None), (4, ""), (5, "\n".join([MENU] * 9)),
+            (1, GOOD), (None, GOOD), (6, long)]
+    got = sorted(map(tuple, quality.clean(documents(docs)).collect()), key=str)
+    assert got == sorted([(1, GOOD), (2, f"{GOOD}\n\n{OTHER}"), (1, GOOD), (None, GOOD), (6, long)], key=str)
+
+
+@pytest.mark.parametrize("name", ["quality", "Quality"])
+def test_columns_of_the_caller_stay(documents, name):
+    docs = documents([(1, GOOD), (2, "short")], extra=True).withColumnRenamed("quality", name)
+    got = quality.clean(docs)
+    assert got.schema == docs.schema
+    assert [tuple(r) for r in got.collect()] == [(1, GOOD, "x", 1, "y")]
+
+
+def test_a_text_column_called_quality(documents):
+    docs = documents([(1, f"{GOOD}\n{MENU}"), (2, "short")]).withColumnRenamed("text", "quality")
+    assert [tuple(r) for r in quality.clean(docs, "quality").collect()] == [(1, GOOD)]
+
+
+def test_empty_table(documents):
+    assert quality.clean(documents([])).count() == 0
