@@ -136,8 +136,9 @@ def train_stratum(grid: Grid, states: DataFrame, stratum: int, epoch: int, rate:
         F.col("side").alias("phase"), F.col("id").alias("place"), F.col("id").alias("user"), none.alias("item"),
         F.lit(None).cast("double").alias("rating"), "state")
     order = F.xxhash64(F.lit(seed + epoch), "user", "item", "rating")
+    # empty arrays, not nulls: Spark's Arrow writer goes over all nulls in a row of them again for each one
     rows = rows.unionAll(grid.rows.filter(F.col("stratum") == stratum).select(
-        "cell", F.lit(2), order, "user", "item", "rating", F.lit(None).cast("array<double>")))
+        "cell", F.lit(2), order, "user", "item", "rating", F.array().cast("array<double>")))
     cells = rows.repartitionById(blocks, "cell").sortWithinPartitions("cell", "phase", "place", "user", "item", "rating")
     trained = cut_lineage(cells.mapInArrow(_cell_kernel(rate / batch, batch, momentum, ridge), _ROWS))
     if grid.keys.filter("block is null").isEmpty():
@@ -172,13 +173,14 @@ def _cell_kernel(rate: float, batch: int, momentum: float, ridge: float):
 
         def step(side, rows, gradient):
             keys, place = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(keys), gradient.shape[1]))
-            np.add.at(total, place, gradient)
             state, width = at["states"][side], gradient.shape[1]
+            # added up in the order of the rows; a batch costs by its own rows, however many keys the block has
+            total = np.bincount((place[:, None] * width + np.arange(width)).ravel(), weights=gradient.ravel(),
+                                minlength=len(keys) * width).reshape(-1, width)
             moved = momentum * state[keys, width:] - rate * total
             state[keys, width:] = moved
             state[keys, :width] += moved
-            at["n"][side] += np.bincount(rows, minlength=len(at["n"][side]))
+            at["n"][side][keys] += np.bincount(place, minlength=len(keys))
 
         def learn(users, items, ratings):
             u, i = np.searchsorted(at["ids"][0], users), np.searchsorted(at["ids"][1], items)

@@ -112,3 +112,26 @@ def test_odd_rows(spark):
     assert empty.users.count() == 0 and empty.items.count() == 0
     with pytest.raises(ValueError):
         gradient.stochastic_factors(ratings, 0)
+
+
+def test_rows_reach_the_cells_without_null_arrays(spark, triples, monkeypatch):
+    """Spark's Arrow writer takes time with the square of a run of null arrays."""
+    kernel_of = gradient._cell_kernel
+
+    def watched(*how):
+        kernel = kernel_of(*how)
+
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    assert batch.column("state").null_count == 0
+                    yield batch
+
+            yield from kernel(each())
+
+        return checked
+
+    monkeypatch.setattr(gradient, "_cell_kernel", watched)
+    model = gradient.stochastic_factors(frame(spark, triples), 2, 3, [(1, 0.1, 0.0)], 16)
+    assert model.users.count() == len({u for u, _, _ in triples})
+    assert all(x == x for r in model.users.collect() for x in (*r.features, r.bias))
