@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from rateweave.operators.skew import ROWS_PER_SPLIT, hot_keys_by, repeat_per_split
 
-ROWS_PER_BUCKET = 4_000_000
+#: A task holds the sums of a bucket's pairs.
+ROWS_PER_BUCKET = 1_000_000
 OTHER = {"user_id": "item_id", "item_id": "user_id"}
 
 

@@ -186,3 +186,33 @@ def test_the_right_side_of_an_anti_join_is_reduced_first(spark):
     out = catalog.never_rated(items, ratings)
     assert rows(out) == [(7,), (8,), (9,)]
     assert "HashAggregate" in out._jdf.queryExecution().toString()
+
+
+def test_a_block_has_room_for_the_users_lists(spark, monkeypatch):
+    """Long lists make blocks smaller, and exclusions come to the cells without null arrays."""
+    u = spark.createDataFrame([(i, [1.0 + i % 7, 2.0]) for i in range(200)], "user_id bigint, features array<double>")
+    i = spark.createDataFrame([(j, [1.0 + j % 5, 1.0]) for j in range(60)], "item_id bigint, features array<double>")
+    e = u.select("user_id", (F.col("user_id") % 60).alias("item_id"))
+    whole = rows(scoring.top_k_scores(u, i, 48, e))
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 50 * (8 * 2 + 16 * 48))
+    cells = scoring.scan_effort(u, i, 48, e).collect()
+    assert len({c.cell for c in cells}) >= 4 and max(c.n_users for c in cells) < 100
+    assert rows(scoring.top_k_scores(u, i, 48, e)) == whole
+
+    kernel_of = scoring._cell_kernel
+
+    def watched(*how, **more):
+        kernel = kernel_of(*how, **more)
+
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    assert batch.column("features").null_count == 0
+                    yield batch
+
+            yield from kernel(each())
+
+        return checked
+
+    monkeypatch.setattr(scoring, "_cell_kernel", watched)
+    assert rows(scoring.top_k_scores(u, i, 48, e)) == whole
