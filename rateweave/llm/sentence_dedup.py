@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from rateweave.llm.common import saved
 
 RUN, WORDS, LONGEST = 3, 12, 8
+#: A task hands its spans on when it has so many.
+SPANS_HELD = 20_000
 _CLOSING = r"""["'”’»›)\]}」』）】〉》]*+"""
 #: Stops before a blank, stops of scripts that need none, line ends.
 _CUT = re.compile(rf"[.!?,;:…]{_CLOSING}\s+|[。！？；，、：．｡､।॥؟،؛۔։።፣፤፥།၊။។៕]{_CLOSING}\s*|\n\s*")
@@ -124,24 +126,31 @@ def hashed_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFra
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            places, hashes, counts = [], [], []
-            for text in batch.column(2):
+            owner, places, hashes = [], [], []
+
+            def made():
+                rows = pa.array(owner, pa.int64())
+                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.ascontiguousarray(both[:, 0])),
+                     pa.array(np.ascontiguousarray(both[:, 1])), pa.array(places, pa.int64())],
+                    names=["doc_id", "text_hash", "h1", "h2", "place"])
+
+            for row, text in enumerate(batch.column(2)):
                 own = sentence_words(text.as_py() or "")
                 bare = [" ".join(w).encode() for w in own]
                 found = spans(list(map(len, own)), run, words)
-                counts.append(len(found))
-                places += [a << 32 | b for a, b in found]
-                hashes += [digest(b"\0".join(bare[a:b])) for a, b in found]
-            if not places:
-                continue
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            for at in range(0, len(places), 100_000):
-                own = pa.array(owner[at:at + 100_000])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(np.ascontiguousarray(both[at:at + 100_000, 0])),
-                     pa.array(np.ascontiguousarray(both[at:at + 100_000, 1])), pa.array(places[at:at + 100_000], pa.int64())],
-                    names=["doc_id", "text_hash", "h1", "h2", "place"])
+                # a text has as many spans as it is long, so no more than some are held as Python's objects
+                for at in range(0, len(found), SPANS_HELD):
+                    part = found[at:at + SPANS_HELD]
+                    owner += [row] * len(part)
+                    places += [a << 32 | b for a, b in part]
+                    hashes += [digest(b"\0".join(bare[a:b])) for a, b in part]
+                    if len(places) >= SPANS_HELD:
+                        yield made()
+                        owner, places, hashes = [], [], []
+            if places:
+                yield made()
 
     return docs.mapInArrow(work, "doc_id bigint, text_hash bigint, h1 bigint, h2 bigint, place bigint")
 

@@ -123,3 +123,22 @@ def test_cutting_takes_time_in_proportion(unit):
     parts = sentences(unit * (200_000 // len(unit)))
     assert time.time() - start < 5
     assert all(len(tokens_of(p)) <= sentence_dedup.LONGEST for p in parts) or unit == "。"
+
+
+def test_a_task_hands_on_its_spans_bit_by_bit():
+    """What a task holds doesn't grow with its batches' texts."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, work, schema):
+            return work
+
+    r = random.Random(3)
+    texts = ["".join(sentence(r) for _ in range(9000)) for _ in range(7)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text_hash": list(range(9)), "text": texts})
+    made = list(sentence_dedup.hashed_spans(Frame())(iter([batch])))
+    assert max(b.num_rows for b in made) < 2 * sentence_dedup.SPANS_HELD
+    assert max(b.num_rows for b in made) < sum(b.num_rows for b in made) / 2
+    got = [(r["doc_id"], r["place"]) for b in made for r in b.to_pylist()]
+    assert got == [(i, a << 32 | b) for i, t in enumerate(texts)
+                   for a, b in sentence_dedup.spans(list(map(len, sentence_dedup.sentence_words(t or ""))))]
