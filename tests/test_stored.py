@@ -80,3 +80,12 @@ def test_another_session_opens_them(spark, ratings, kept, tmp_path):
 def test_no_ratings(spark, ratings, tmp_path):
     empty = stored.store_ratings(ratings.limit(0), f"e_{uuid.uuid4().hex}", str(tmp_path / "e"), buckets=2)
     assert empty.sums("user_id").count() == 0 and empty.table("item_id").count() == 0
+
+
+def test_buckets_grow_with_the_ratings(spark, ratings, tmp_path, monkeypatch):
+    """A task sums one bucket's pairs, so a bucket has a bounded number of ratings."""
+    assert stored.ROWS_PER_BUCKET <= 1_000_000
+    monkeypatch.setattr(stored, "ROWS_PER_BUCKET", 100)
+    name = f"g_{uuid.uuid4().hex}"
+    stored.store_ratings(ratings, name, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/manifest").first().buckets == -(-ratings.count() // 100)
