@@ -2,6 +2,9 @@
 
 import pytest
 
+# two tests above import this from "conftest", which is this file in a run of the whole suite
+from tests.conftest import rows  # noqa: F401
+
 
 @pytest.fixture
 def documents(spark):
