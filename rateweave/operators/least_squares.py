@@ -4,8 +4,9 @@ Ratings are first brought to one row per (user, item) pair, carrying how many ra
 their sum and their sum of squares. That is all a least-squares step needs, and it makes repeated pairs
 cheap. There are two layouts of the pairs, made when they are first asked for, and neither moves a pair in a step.
 
-Narrow models sum their equations in plain columns. The pairs are kept arranged by the fixed key, a step joins the
-fixed side's vectors to them where they are, and partial sums travel to the solved key's task.
+Narrow models sum their equations in plain columns. The pairs are kept arranged by the fixed key, in one row for each
+key and split, a step joins the fixed side's vectors to these rows where they are, and partial sums travel to the solved
+key's task. The larger a partition, the more pairs of a solved key meet in it before their sums travel.
 
 Wide models would have large partial sums. Their pairs are kept in blocks of solved keys, and a routing table says which
 blocks hold a fixed key, so that a step sends a vector once to each of these blocks and every block sums and solves its
@@ -31,6 +32,8 @@ WIDEST_COLUMN_SUMS = 6
 KEYS = ("user_id", "item_id")
 # Up to so many blocks each one is named so that it has a partition of its own; more of them even out.
 NAMED_BLOCKS = 4096
+# A partition of pairs arranged by a fixed key is read as a stream, so it holds more pairs than a block.
+BLOCKS_PER_PARTITION = 4
 
 
 class _Made(dict):
@@ -49,7 +52,8 @@ class _Made(dict):
 class Pairs:
     """Rating pairs laid out once for all sweeps.
 
-    ``by[key]`` is a copy arranged by a key. ``blocks[key]`` is ``(pairs, routes)``: the pairs in blocks of the solved
+    ``by[key]`` is a copy arranged by a key, one row for each key (and split, if there are hot ones) with its ``pairs`` as
+    an array of structs ``(other key, n, total, squares)``. ``blocks[key]`` is ``(pairs, routes)``: the pairs in blocks of the solved
     ``key``, and ``(other key, block)``, one row for every block that a key of the other side is sent to.
     """
 
@@ -67,10 +71,14 @@ class Pairs:
         return self.rows.select(key).distinct()
 
     def _arranged(self, key: str) -> DataFrame:
-        rows = self.rows
-        for k, other in (KEYS, KEYS[::-1]):
-            rows = _numbered(rows, k, other, self.hot[k])
-        return pin(rows, [key] if self.hot[key] is None else [key, f"{key}_split"], self.partitions)
+        other, hot = KEYS[key == KEYS[0]], self.hot[key]
+        place = [key] if hot is None else [key, f"{key}_split"]
+        slots = self.rows.sparkSession.sparkContext.defaultParallelism
+        partitions = max(min(slots, self.partitions), math.ceil(self.partitions / BLOCKS_PER_PARTITION))
+        rows = self.rows if hot is None else _numbered(self.rows, key, other, hot)
+        # the aggregate keeps the partitions; a split's pairs are some ``rows_per_split`` at most
+        return pin(rows, place, partitions, then=lambda df: df.groupBy(*place).agg(
+            F.collect_list(F.struct(other, "n", "total", "squares")).alias("pairs")))
 
     def _in_blocks(self, key: str) -> tuple[DataFrame, DataFrame]:
         other, hot = KEYS[key == KEYS[0]], self.hot[key]
@@ -90,9 +98,11 @@ class Pairs:
         """Join the pairs to ``side``, one row per ``key``; the pairs stay where they are."""
         hot = self.hot[key]
         if hot is None:
-            return self.by[key].join(side, key)
-        split = f"{key}_split"
-        return self.by[key].join(repeat_per_split(side, key, hot, split), [key, split])
+            met = self.by[key].join(side, key)
+        else:
+            split = f"{key}_split"
+            met = self.by[key].join(repeat_per_split(side, key, hot, split), [key, split])
+        return met.select(*side.columns, F.inline("pairs"))
 
 
 def _numbered(rows: DataFrame, key: str, other: str, hot: DataFrame | None) -> DataFrame:

@@ -84,7 +84,7 @@ def _alternate(pairs: Pairs, solved: Callable, rank: int, iterations: int, seed:
     if item_start is None:
         start = F.transform(hash_vector("item_id", rank, 1.0, seed), lambda x: x - 0.5)
         item_start = pairs.keys("item_id").select("item_id", start.alias("features"))
-    users, items, done, sweeps = None, item_start, 0, None
+    users, items, done, sweeps = None, cut_lineage(item_start), 0, None  # as in ``weighted_als``
     if folder is not None:
         sweeps = SweepFolder(pairs.rows.sparkSession, folder,
                              {**settings, "pairs": checksum(pairs.rows), "start": checksum(item_start)})
@@ -126,12 +126,11 @@ def weighted_als(ratings: DataFrame, rank: int, sweeps: int, ridge: float, item_
     if item_start is None:
         item_start = pairs.keys("item_id").withColumn(
             "features", hash_vector("item_id", rank, 5.0, seed))
-    items = item_start
+    # a side that is still to be computed may lie in more partitions than the pairs, and Spark would move these to it
+    items = cut_lineage(item_start)
     users, errors = None, []
     for sweep in range(1, sweeps + 1):
-        users = _solve_plain(pairs, "user_id", items, "item_id", rank, ridge, widest)
-        if sweep == sweeps:
-            users = cut_lineage(users)
+        users = cut_lineage(_solve_plain(pairs, "user_id", items, "item_id", rank, ridge, widest).select("user_id", "features"))
         items = cut_lineage(_solve_plain(pairs, "item_id", users, "user_id", rank, ridge, widest))
         errors.append(_error(items, sweep))
     return FactorModel(users.select("user_id", "features"), items.select("item_id", "features"),
@@ -160,12 +159,11 @@ def biased_factorization(ratings: DataFrame, n_factors: int, sweeps: int, bias_r
     if item_start is None:
         item_start = pairs.keys("item_id").select("item_id", start.alias("features"))
     items = item_start.select("item_id", F.col("features").cast("array<double>").alias("features"), F.lit(0.0).alias("bias"))
+    items = cut_lineage(items)  # as in ``weighted_als``
     ridge = [factor_ridge] * n_factors + [bias_ridge]
     users, errors = None, []
     for sweep in range(1, sweeps + 1):
-        users = _solve_biased(pairs, "user_id", items, "item_id", n_factors, ridge, widest)
-        if sweep == sweeps:
-            users = cut_lineage(users)
+        users = cut_lineage(_solve_biased(pairs, "user_id", items, "item_id", n_factors, ridge, widest))
         items = cut_lineage(_solve_biased(pairs, "item_id", users, "user_id", n_factors, ridge, widest))
         errors.append(_error(items, sweep))
     return FactorModel(users.drop("squared_error"), items.drop("squared_error"), reduce(DataFrame.unionAll, errors))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins from real shuffle sizes and splits skewed join
@@ -53,15 +55,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pin(df: DataFrame, keys: list[str], partitions: int, order: list[str] | None = None) -> DataFrame:
+def pin(df: DataFrame, keys: list[str], partitions: int, order: list[str] | None = None,
+        then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Write ``df`` partitioned by ``keys`` and sorted by them (or ``order``), so that later joins on them move only the other side.
 
-    Spark remembers a checkpoint's partitioning only for a plan that was fixed beforehand, hence the switch.
+    ``then`` is done to the partitioned rows before they are sorted; it has to leave them where they are. Spark remembers a
+    checkpoint's partitioning only for a plan that was fixed beforehand, hence the switch.
     """
     spark = df.sparkSession
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(partitions, *keys).sortWithinPartitions(*(order or keys)))
+        placed = df.repartition(partitions, *keys)
+        if then is not None:
+            placed = then(placed)
+        return cut_lineage(placed.sortWithinPartitions(*(order or keys)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

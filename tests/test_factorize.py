@@ -100,6 +100,18 @@ def test_pairs_are_not_moved_by_a_step(spark, shuffle_partitions):
     assert "Exchange" not in left and "Sort " not in left
 
 
+def test_arranged_pairs_are_a_row_for_each_key_and_split(spark):
+    ratings = spark.createDataFrame(uneven(), "user_id int, item_id int, rating float")
+    pairs = least_squares.lay_out(ratings)
+    assert pairs.by["user_id"].count() == ratings.select("user_id").distinct().count()
+    pairs = least_squares.lay_out(ratings, 10)
+    by = pairs.by["item_id"]
+    assert by.count() == by.select("item_id", "item_id_split").distinct().count() > ratings.select("item_id").distinct().count()
+    met = pairs.meet("item_id", pairs.keys("item_id").withColumn("design", F.array(F.lit(1.0))))
+    columns = "user_id", "item_id", "n", "total", "squares"
+    assert sorted(map(tuple, met.select(*columns).collect())) == sorted(map(tuple, pairs.rows.select(*columns).collect()))
+
+
 def test_loss_never_rises(spark):
     ratings = spark.createDataFrame(uneven(seed=5), "user_id int, item_id int, rating float")
     losses = []
@@ -251,3 +263,24 @@ def test_personal_lists_follow_the_clusters(spark):
     out = rows(personal_scores(pending, data, k=6, rank=2, iterations=4), "user_id", "item_id")
     assert len(out) == 12
     assert all((item in range(5, 15)) if user == 101 else (item in range(20, 30)) for user, item in out)
+
+
+def test_pairs_are_not_moved_to_a_side_in_more_partitions(spark, monkeypatch):
+    plans, cut = [], factorize.cut_lineage
+
+    def noted(df):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return cut(df)
+
+    monkeypatch.setattr(factorize, "cut_lineage", noted)
+    start = toy(spark).select("item_id").distinct().select("item_id", F.array(F.lit(1.0)).alias("features"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        factorize.weighted_als(toy(spark), 1, 2, 0.1, item_start=start)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    joined = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joined) == 4 and all(p.count("SortMergeJoin") == 1 for p in joined)  # a step each, of sides that are written
