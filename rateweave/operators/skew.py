@@ -9,13 +9,15 @@ key below the threshold is no larger than a task's share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateweave.session import cut_lineage
 
 MOST_HOT_KEYS = 100_000
 ROWS_PER_SPLIT = 1_000_000
+#: Hash buckets that are counted before keys are; a key has no more rows than its bucket.
+COUNTED_BUCKETS = 1 << 14
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:
@@ -27,12 +29,20 @@ def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> D
 
 
 def hot_keys_by(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> dict[str, DataFrame | None]:
-    """The ``hot_keys`` of several columns from one pass over ``df``, which reads these columns only.
+    """The ``hot_keys`` of several columns; ``df`` is read for these columns only.
 
-    Keys with more than ``rows_per_split`` rows are written; where they are more than ``MOST_HOT_KEYS``, the threshold
-    rises to the count of the last of them.
+    A first pass counts hash buckets of the keys, so that what moves is a bounded number of rows a task instead of one
+    for each key in it. Keys are counted in a second pass, in buckets with more than ``rows_per_split`` rows only, and there
+    is none without such buckets. Keys with more than ``rows_per_split`` rows are written; where they are more than
+    ``MOST_HOT_KEYS``, the threshold rises to the count of the last of them.
     """
-    sets = df.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+    df = df.select(*keys)
+    full = _full_buckets(df, keys, rows_per_split)
+    if not any(full.values()):
+        return dict.fromkeys(keys)
+    within = [F.when(_bucket(k).isin(full[k]), F.col(k)).alias(k) if full[k] else F.lit(None).cast(df.schema[k].dataType).alias(k)
+              for k in keys]
+    sets = df.select(*within).groupingSets([[F.col(k)] for k in keys], *keys).agg(
         *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.count(F.lit(1)).alias("_n"))
     large = cut_lineage(sets.filter(F.col("_n") > rows_per_split))
     found: dict[str, DataFrame | None] = {}
@@ -47,6 +57,20 @@ def hot_keys_by(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_S
     return found
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(COUNTED_BUCKETS))
+
+
+def _full_buckets(df: DataFrame, keys: list[str], rows: int) -> dict[str, list[int]]:
+    """By key, the hash buckets with more than ``rows`` rows; nulls belong to none."""
+    each = F.explode(F.array(*[F.when(F.col(k).isNotNull(), i * COUNTED_BUCKETS + _bucket(k)) for i, k in enumerate(keys)]))
+    counted = df.select(each.alias("_b")).filter(F.col("_b").isNotNull()).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    found: dict[str, list[int]] = {k: [] for k in keys}
+    for r in counted.filter(F.col("_n") > rows).select("_b").collect():
+        found[keys[r[0] // COUNTED_BUCKETS]].append(r[0] % COUNTED_BUCKETS)
+    return found
+
+
 def with_split(df: DataFrame, key: str, hot: DataFrame, spread_by: list[str], name: str = "split") -> DataFrame:
     """Number each row's split: 0 for ordinary keys, a hash of ``spread_by`` for hot ones."""
     split = F.pmod(F.xxhash64(*spread_by), F.col("n_splits"))

@@ -13,6 +13,7 @@ from rateweave.streaming import pending
 from tests.conftest import rows
 from tests.test_streaming import drop
 from tests.test_wide_models import plan
+from workload import queries
 
 
 @pytest.mark.parametrize("kind", ["int", "string"])
@@ -69,6 +70,27 @@ def test_hot_keys_of_two_columns_by_one_pass(spark, monkeypatch):
     assert len(rows(skew.hot_keys_by(df, ["b"], 100)["b"])) <= 3
 
 
+def test_keys_are_counted_in_full_buckets_only(spark, monkeypatch):
+    df = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).cast("int").alias("a"),
+                                   F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id") % 7).cast("int").alias("b"))
+    monkeypatch.setattr(skew, "COUNTED_BUCKETS", 2)  # ordinary keys share a bucket with hot ones
+    found = skew.hot_keys_by(df, ["a", "b"], 210)
+    assert rows(found["a"]) == [(1, 5)]
+    assert rows(found["b"], "b") == sorted((r.b,) for r in df.filter("b is not null").groupBy("b").count().filter("count > 210").collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(skew, "cut_lineage", None)  # without a full bucket no key is counted and nothing written
+    assert skew.hot_keys_by(df, ["a", "b"], 2_000) == {"a": None, "b": None}
+
+
+def test_dense_ratings_join_their_tables_once(spark, tmp_path):
+    spark.createDataFrame([(1, 11), (2, 12)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select * from values (1L, 7L, 15.0D, date'1992-01-02'), (2L, 7L, 31.0D, date'1992-01-01'), (2L, 8L, 5.0D, date'1992-01-03') "
+              "as t(l_orderkey, l_partkey, l_quantity, l_shipdate)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dense = queries.dense_ratings(spark, str(tmp_path))
+    assert rows(dense) == [(0, 0, 4.0), (0, 1, 1.0), (1, 0, 2.0)]
+    assert "FileScan" not in spark._jvm.PythonSQLUtils.explainString(dense._jdf.queryExecution(), "simple")
+
+
 def test_two_hot_columns_change_no_prediction(spark, monkeypatch):
     pairs = spark.range(2_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).cast("int").alias("user_id"),
                                       F.when(F.col("id") % 4 == 0, 2).otherwise(F.col("id") % 40).cast("int").alias("item_id"))

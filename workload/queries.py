@@ -13,7 +13,7 @@ from rateweave.functions.text import split_list, title_case
 from rateweave.operators.ranking import relative_sort
 from rateweave.operators.scoring import predict_pairs, profile_vectors
 from rateweave.plans import catalog, enrich, explore, factorize, gradient, recommend
-from rateweave.session import checkpoint_dir
+from rateweave.session import checkpoint_dir, cut_lineage
 from rateweave.sources import dictionary, readers, stored, writers
 from rateweave.streaming.pending import run_pending
 from workload.views import VIEWS, table, view
@@ -212,7 +212,8 @@ def growing_ids(spark, sf_dir):
 
 @query
 def dense_ratings(spark, sf_dir):
-    ratings = Tables(spark, sf_dir).ratings
+    # both indexes, the hot keys and the result read them
+    ratings = cut_lineage(Tables(spark, sf_dir).ratings)
     indexed = catalog.with_dense_ids(ratings.drop("rated_at"), *_indexes(ratings))
     return indexed.select("user_idx", "item_idx", F.col("rating").cast("double").alias("rating"))
 
