@@ -32,6 +32,8 @@ WIDEST_COLUMN_SUMS = 6
 KEYS = ("user_id", "item_id")
 # Up to so many blocks each one is named so that it has a partition of its own; more of them even out.
 NAMED_BLOCKS = 4096
+# Pairs of a block that equations are built of at once.
+PAIRS_AT_ONCE = 250_000
 # A partition of pairs arranged by a fixed key is read as a stream, so it holds more pairs than a block.
 BLOCKS_PER_PARTITION = 4
 
@@ -237,7 +239,7 @@ def _column_sums(met: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def _block_kernel(key: str, fixed_key: str, key_type: str, ridge: list[float], base: list[list[float]] | None, times: str,
-                  cells: int = 2_000_000):
+                  cells: int = 2_000_000, at_once: int = PAIRS_AT_ONCE):
     """Solutions of a block's keys from its pairs and the vectors sent to it; sums only for keys that other blocks share."""
     size = len(ridge)
     ridges = _ridge_rule(ridge, base, times)
@@ -270,58 +272,87 @@ def _block_kernel(key: str, fixed_key: str, key_type: str, ridge: list[float], b
         if not pairs.num_rows or not sent.num_rows:
             return nothing
         ids = numbers(sent, "fixed")
-        order = np.argsort(ids)
-        vectors = sent.column("design").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        at = np.searchsorted(ids, numbers(pairs, fixed_key), sorter=order)
-        row = order[np.minimum(at, len(ids) - 1)]
+        order = np.argsort(ids).astype(np.int32)
+        ids, offsets = ids[order], numbers(sent, "offset")
+        # vectors stay in the batches that they came in
+        held = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in sent.column("design").chunks if len(c)]
+        begins = np.cumsum([0, *map(len, held)])
+
+        def vectors(rows):
+            if len(held) == 1:
+                return held[0][rows]
+            found, batch = np.empty((len(rows), size)), np.searchsorted(begins, rows, side="right") - 1
+            by_batch = np.argsort(batch.astype(np.int16 if len(held) < 2 ** 15 else np.int32), kind="stable")
+            ends = np.searchsorted(batch[by_batch], np.arange(len(held) + 1))
+            for i, part in enumerate(held):
+                mine = by_batch[ends[i]:ends[i + 1]]
+                found[mine] = part[rows[mine] - begins[i]]
+            return found
+
+        def solved(pairs):
+            """The result for some keys' pairs, sorted by key."""
+            at = np.minimum(np.searchsorted(ids, numbers(pairs, fixed_key)), len(ids) - 1)
+            use = ids[at] == numbers(pairs, fixed_key)  # a pair without a vector counts nowhere
+            if not use.any():
+                return nothing
+            row = order[at[use]]
+            keys, n, shared = (numbers(pairs, c)[use] for c in (key, "n", "shared"))
+            total, squares, offset = numbers(pairs, "total")[use], numbers(pairs, "squares")[use], offsets[row]
+            target = total - n * offset
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            lengths = np.diff(np.r_[starts, len(keys)])
+            counts = np.add.reduceat(n, starts)
+            powers = np.add.reduceat(squares - 2.0 * offset * total + n * offset * offset, starts)
+            shared = shared[starts]
+            x, error = np.zeros((len(starts), size)), np.zeros(len(starts))
+            sums = np.zeros((len(starts), width)) if shared.any() else None
+
+            def equations(runs, length):
+                """Gram matrices and right-hand sides of runs of about one length, padded to ``length``."""
+                inside = np.arange(length) < lengths[runs, None]
+                place = starts[runs, None] + np.where(inside, np.arange(length), 0)
+                part = vectors(row[place].ravel()).reshape(len(runs), length, size)
+                gram = np.matmul(part.transpose(0, 2, 1), part * np.where(inside, n[place], 0.0)[:, :, None])
+                return gram, np.matmul(np.where(inside, target[place], 0.0)[:, None, :], part)[:, 0]
+
+            def long_equations(run):
+                gram, rhs, piece = np.zeros((1, size, size)), np.zeros((1, size)), max(1, cells // size)
+                for lo in range(starts[run], starts[run] + lengths[run], piece):
+                    hi = min(lo + piece, starts[run] + lengths[run])
+                    part = vectors(row[lo:hi])
+                    gram[0] += part.T @ (part * n[lo:hi, None])
+                    rhs[0] += target[lo:hi] @ part
+                return gram, rhs
+
+            by_length, at = np.argsort(lengths, kind="stable"), 0
+            while at < len(by_length):
+                end = min(len(by_length), at + max(1, cells // (size * max(size, int(lengths[by_length[at]])))))
+                while end > at + 1 and (end - at) * int(lengths[by_length[end - 1]]) * size > 2 * cells:
+                    end = at + (end - at + 1) // 2
+                runs, length = by_length[at:end], int(lengths[by_length[end - 1]])
+                gram, rhs = long_equations(runs[0]) if len(runs) == 1 and length * size > cells else equations(runs, length)
+                system = gram + ridges(counts[runs], powers[runs])
+                x[runs] = np.linalg.solve(system, rhs[:, :, None])[:, :, 0]
+                error[runs] = (powers[runs] - 2.0 * (x[runs] * rhs).sum(axis=1)
+                               + np.einsum("ki,kij,kj->k", x[runs], gram, x[runs]))
+                if sums is not None:
+                    sums[runs] = np.column_stack([gram[:, left, right], rhs, powers[runs]])
+                at = end
+            return result(keys[starts], x, counts, error, sums, shared)
+
         keys = numbers(pairs, key)
-        use = np.flatnonzero(ids[row] == numbers(pairs, fixed_key))  # a pair without a vector counts nowhere
-        if not len(use):
-            return nothing
-        use = use[np.argsort(keys[use], kind="stable")]
-        keys, row, n, shared = keys[use], row[use], numbers(pairs, "n")[use], numbers(pairs, "shared")[use]
-        total, squares, offset = numbers(pairs, "total")[use], numbers(pairs, "squares")[use], numbers(sent, "offset")[row]
-        target = total - n * offset
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        lengths = np.diff(np.r_[starts, len(keys)])
-        counts = np.add.reduceat(n, starts)
-        powers = np.add.reduceat(squares - 2.0 * offset * total + n * offset * offset, starts)
-        shared = shared[starts]
-        x, error = np.zeros((len(starts), size)), np.zeros(len(starts))
-        sums = np.zeros((len(starts), width)) if shared.any() else None
-
-        def equations(runs, length):
-            """Gram matrices and right-hand sides of runs of about one length, padded to ``length``."""
-            inside = np.arange(length) < lengths[runs, None]
-            place = starts[runs, None] + np.where(inside, np.arange(length), 0)
-            part = vectors[row[place]]
-            gram = np.matmul(part.transpose(0, 2, 1), part * np.where(inside, n[place], 0.0)[:, :, None])
-            return gram, np.matmul(np.where(inside, target[place], 0.0)[:, None, :], part)[:, 0]
-
-        def long_equations(run):
-            gram, rhs, piece = np.zeros((1, size, size)), np.zeros((1, size)), max(1, cells // size)
-            for lo in range(starts[run], starts[run] + lengths[run], piece):
-                hi = min(lo + piece, starts[run] + lengths[run])
-                part = vectors[row[lo:hi]]
-                gram[0] += part.T @ (part * n[lo:hi, None])
-                rhs[0] += target[lo:hi] @ part
-            return gram, rhs
-
-        by_length, at = np.argsort(lengths, kind="stable"), 0
-        while at < len(by_length):
-            end = min(len(by_length), at + max(1, cells // (size * max(size, int(lengths[by_length[at]])))))
-            while end > at + 1 and (end - at) * int(lengths[by_length[end - 1]]) * size > 2 * cells:
-                end = at + (end - at + 1) // 2
-            runs, length = by_length[at:end], int(lengths[by_length[end - 1]])
-            gram, rhs = long_equations(runs[0]) if len(runs) == 1 and length * size > cells else equations(runs, length)
-            system = gram + ridges(counts[runs], powers[runs])
-            x[runs] = np.linalg.solve(system, rhs[:, :, None])[:, :, 0]
-            error[runs] = (powers[runs] - 2.0 * (x[runs] * rhs).sum(axis=1)
-                           + np.einsum("ki,kij,kj->k", x[runs], gram, x[runs]))
-            if sums is not None:
-                sums[runs] = np.column_stack([gram[:, left, right], rhs, powers[runs]])
-            at = end
-        return result(keys[starts], x, counts, error, sums, shared)
+        if (keys[1:] < keys[:-1]).any():
+            pairs = pairs.take(pa.array(np.argsort(keys, kind="stable")))
+            keys = numbers(pairs, key)
+        # some whole keys at a time, so that what is made of their pairs stays small
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+        done, lo = [], 0
+        while lo < len(keys):
+            i = np.searchsorted(ends, lo + at_once, side="right")
+            hi = int(ends[i - 1]) if i and ends[i - 1] > lo else int(ends[i])
+            done.append(solved(pairs.slice(lo, hi - lo)))
+            lo = hi
+        return pa.concat_tables(done)
 
     return kernel
 

@@ -1,5 +1,7 @@
 """Wide half-sweeps by blocks and routes, explicit mode, fold-in, and training that goes on after a stop."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -115,6 +117,45 @@ def test_a_run_longer_than_the_memory_bound_and_pairs_without_a_vector(spark):
             assert row["solution"] == pytest.approx(np.linalg.solve(gram + 0.3 * w.sum() * np.eye(size), rhs).tolist())
 
 
+def numbers(n, size, seed=3):
+    """A block's pairs, 40 a key and every fifth key shared, and its vectors in batches as they come from Spark."""
+    r = np.random.default_rng(seed)
+    pairs = pa.table({"block": np.zeros(n, np.int64), "user_id": (np.arange(n) // 40).astype(np.int32),
+                      "item_id": r.integers(0, n // 2, n).astype(np.int32), "n": np.ones(n), "total": r.normal(size=n),
+                      "squares": r.random(n), "shared": np.arange(n) // 40 % 5 == 0})
+    ids, batches = r.permutation(n // 2).astype(np.int32), []
+    for lo in range(0, n // 2, 1_000):
+        part = ids[lo:lo + 1_000]
+        design = pa.ListArray.from_arrays(np.arange(0, len(part) * size + 1, size, dtype=np.int32), r.normal(size=len(part) * size))
+        batches.append(pa.record_batch({"to": pa.array(np.zeros(len(part), np.int64)), "fixed": pa.array(part), "design": design,
+                                        "offset": pa.array(r.normal(size=len(part)))}))
+    return pairs, pa.Table.from_batches(batches)
+
+
+def test_a_block_solved_some_keys_at_a_time_gives_the_same_rows():
+    pairs, sent = numbers(8_000, 7)
+    whole, some = ({r["user_id"]: r for r in least_squares._block_kernel("user_id", "item_id", "int", [0.3] * 7, None, "once", **how)(
+        mixed, vectors).to_pylist()} for mixed, vectors, how in (
+            (pairs, sent.combine_chunks(), {}),
+            (pairs.take(pa.array(np.random.default_rng(0).permutation(8_000))), sent, {"at_once": 100})))
+    assert whole.keys() == some.keys() and len(whole) == 200
+    for key, row in whole.items():
+        assert (row["solution"] is None) == (some[key]["solution"] is None) == (key % 5 == 0)
+        assert some[key]["sums" if key % 5 == 0 else "solution"] == pytest.approx(row["sums" if key % 5 == 0 else "solution"])
+        assert some[key]["squared_error"] == pytest.approx(row["squared_error"])
+
+
+def test_a_blocks_memory_beside_its_tables(spark):
+    pairs, sent = numbers(1_000_000, 2)
+    kernel = least_squares._block_kernel("user_id", "item_id", "int", [0.3] * 2, None, "once")
+    tracemalloc.start()
+    try:
+        kernel(pairs, sent)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("widest", [6, 0])
 def test_fold_in_equals_the_half_sweep_of_training(spark, widest):
     data = uneven(seed=9)
