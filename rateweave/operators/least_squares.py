@@ -32,6 +32,10 @@ WIDEST_COLUMN_SUMS = 6
 KEYS = ("user_id", "item_id")
 # Up to so many blocks each one is named so that it has a partition of its own; more of them even out.
 NAMED_BLOCKS = 4096
+# Bytes of pairs and vectors that a block of a wide model holds, with what is held for a pair and beside a vector's numbers; the
+# more pairs, the less often a vector is sent.
+BLOCK_BYTES = 400_000_000
+PAIR_BYTES, VECTOR_BYTES = 56, 44
 # Pairs of a block that equations are built of at once.
 PAIRS_AT_ONCE = 250_000
 # A partition of pairs arranged by a fixed key is read as a stream, so it holds more pairs than a block.
@@ -55,15 +59,18 @@ class Pairs:
     """Rating pairs laid out once for all sweeps.
 
     ``by[key]`` is a copy arranged by a key, one row for each key (and split, if there are hot ones) with its ``pairs`` as
-    an array of structs ``(other key, n, total, squares)``. ``blocks[key]`` is ``(pairs, routes)``: the pairs in blocks of the solved
-    ``key``, and ``(other key, block)``, one row for every block that a key of the other side is sent to.
+    an array of structs ``(other key, n, total, squares)``. ``blocks[key, size]`` is ``(pairs, routes)``: the pairs in blocks of the
+    solved ``key`` for vectors of ``size``, and ``(other key, block)``, one row for every block that a key of the other side is
+    sent to; a block of ``blocks[key]`` has no more pairs than a split.
     """
 
     rows: DataFrame
     hot: dict[str, DataFrame | None]
     partitions: int
+    n_pairs: int
+    rows_per_split: int
     by: dict[str, DataFrame] = field(init=False)
-    blocks: dict[str, tuple[DataFrame, DataFrame]] = field(init=False)
+    blocks: dict[str | tuple[str, int], tuple[DataFrame, DataFrame]] = field(init=False)
 
     def __post_init__(self):
         object.__setattr__(self, "by", _Made(self._arranged))
@@ -82,19 +89,28 @@ class Pairs:
         return pin(rows, place, partitions, then=lambda df: df.groupBy(*place).agg(
             F.collect_list(F.struct(other, "n", "total", "squares")).alias("pairs")))
 
-    def _in_blocks(self, key: str) -> tuple[DataFrame, DataFrame]:
+    def _n_blocks(self, size: int) -> int:
+        """As many as memory asks for and at least one a task; narrow vectors are small beside the pairs, so sending them costs little."""
+        if size <= WIDEST_COLUMN_SUMS:
+            return self.partitions
+        share = BLOCK_BYTES / (ROWS_PER_SPLIT * (PAIR_BYTES + VECTOR_BYTES + 8 * size))
+        slots = self.rows.sparkSession.sparkContext.defaultParallelism
+        return max(slots, math.ceil(self.n_pairs / (self.rows_per_split * max(1.0, share))))
+
+    def _in_blocks(self, at: str | tuple[str, int]) -> tuple[DataFrame, DataFrame]:
+        key, n_blocks = (at, self.partitions) if isinstance(at, str) else (at[0], self._n_blocks(at[1]))
         other, hot = KEYS[key == KEYS[0]], self.hot[key]
         rows = _numbered(self.rows, key, other, hot)
         shared = F.lit(False)
         if hot is not None:
             rows = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
             shared = F.coalesce("_hot", F.lit(False))
-        number = F.pmod(F.xxhash64(key, f"{key}_split"), F.lit(self.partitions)).cast("int")
-        block = number if self.partitions > NAMED_BLOCKS else F.element_at(
-            F.array(*map(F.lit, _names(self.rows.sparkSession, self.partitions))), number + 1)
+        number = F.pmod(F.xxhash64(key, f"{key}_split"), F.lit(n_blocks)).cast("int")
+        block = number if n_blocks > NAMED_BLOCKS else F.element_at(
+            F.array(*map(F.lit, _names(self.rows.sparkSession, n_blocks))), number + 1)
         placed = pin(rows.select(block.cast("bigint").alias("block"), key, other, "n", "total", "squares", shared.alias("shared")),
-                     ["block"], self.partitions, ["block", key])
-        return placed, pin(placed.select(other, "block").distinct(), [other], self.partitions)
+                     ["block"], n_blocks, ["block", key])
+        return placed, pin(placed.select(other, "block").distinct(), [other], n_blocks)
 
     def meet(self, key: str, side: DataFrame) -> DataFrame:
         """Join the pairs to ``side``, one row per ``key``; the pairs stay where they are."""
@@ -130,7 +146,7 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: flo
     A pair has ``n``, the weight of its outer product, ``total``, the weight of its vector on the right-hand
     side, and ``squares``, which is only summed. For explicit ratings these are count, sum and sum of squares.
     With ``alpha`` ratings are implicit feedback: confidence beyond one, confidence of a liked item, and the
-    number of likes. A block holds some ``rows_per_split`` pairs and at most as many vectors.
+    number of likes. A block holds some ``rows_per_split`` pairs, up to three times as many if that needs no more than ``BLOCK_BYTES``.
     """
     rating = F.col("rating").cast("double")
     if alpha is None:
@@ -145,7 +161,7 @@ def lay_out(ratings: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, alpha: flo
     n_pairs = pairs.count()
     hot = hot_keys_by(pairs, list(KEYS), rows_per_split) if n_pairs > rows_per_split else dict.fromkeys(KEYS)
     slots = ratings.sparkSession.sparkContext.defaultParallelism
-    return Pairs(pairs, hot, max(slots, math.ceil(n_pairs / rows_per_split)))
+    return Pairs(pairs, hot, max(slots, math.ceil(n_pairs / rows_per_split)), n_pairs, rows_per_split)
 
 
 def solve_side(pairs: Pairs, key: str, fixed: DataFrame, fixed_key: str, ridge: list[float],
@@ -191,7 +207,7 @@ def _type(df: DataFrame, column: str) -> str:
 
 def _solved_in_blocks(pairs: Pairs, key: str, side: DataFrame, fixed_key: str, ridge: list[float],
                       base: list[list[float]] | None, times: str) -> DataFrame:
-    placed, routes = pairs.blocks[key]
+    placed, routes = pairs.blocks[key, len(ridge)]
     sent = routes.join(side, fixed_key).select(F.col("block").alias("to"), F.col(fixed_key).alias("fixed"), "design", "offset")
     out = placed.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(
         _block_kernel(key, fixed_key, _type(placed, key), ridge, base, times),

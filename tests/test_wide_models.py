@@ -156,6 +156,13 @@ def test_a_blocks_memory_beside_its_tables(spark):
         tracemalloc.stop()
 
 
+def test_blocks_of_less_wide_models_hold_more_pairs(spark):
+    pairs = least_squares.lay_out(frame(spark, uneven()), 10)
+    copies = [pairs.blocks["user_id", size][1].count() for size in (9, 24)]
+    assert copies[0] < copies[1] <= pairs.blocks["user_id"][1].count()
+    assert pairs.blocks["user_id", 9][0].count() == pairs.rows.count()
+
+
 @pytest.mark.parametrize("widest", [6, 0])
 def test_fold_in_equals_the_half_sweep_of_training(spark, widest):
     data = uneven(seed=9)
