@@ -216,3 +216,58 @@ def test_a_block_has_room_for_the_users_lists(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "_cell_kernel", watched)
     assert rows(scoring.top_k_scores(u, i, 48, e)) == whole
+
+
+def test_lists_of_many_users_do_not_travel(spark):
+    """With enough users for every task a cell sees all items, so its lists are whole and ranked."""
+    rng = np.random.default_rng(5)
+    users = {u: rng.integers(-3, 4, 3).astype(float).tolist() for u in range(90)}
+    items = {i: rng.integers(-3, 4, 3).astype(float).tolist() for i in range(150)}
+    exclude = {(u, i) for u in users for i in items if (u + i) % 7 == 0} | {(0, i) for i in items if i > 2}
+    u, i, e = frames(spark, users, items, exclude)
+    many = scoring.top_k_scores(u, i, 4, e, n_users=10_000_000)
+    assert "Window" not in many._jdf.queryExecution().toString()
+    assert sorted(((u, i, s + 0.0, r) for u, i, s, r in many.collect()), key=repr) == brute_force(users, items, exclude, 4, 6)
+    cells = scoring.scan_effort(u, i, 4, e, n_users=10_000_000).collect()
+    assert all(c.n_items == len(items) for c in cells) and sum(c.n_users for c in cells) == len(users)
+
+
+@pytest.mark.parametrize("length", [1.0, 1e-42, 1e-160, 1e40, 1e150])
+def test_lists_are_exact_where_single_precision_is_not(spark, length):
+    """Scores that differ in their last bits only, or that single precision cannot hold, keep their order."""
+    u = spark.createDataFrame([(n, [length * (1.0 + n), 1.0 * length]) for n in range(20)], "user_id int, features array<double>")
+    # of 3,000 items the later ones are better by a part in 2 ** 45
+    i = spark.createDataFrame([(n, [1.0 + n * 2.0 ** -45, 1.0]) for n in range(3000)], "item_id int, features array<double>")
+    got = scoring.top_k_scores(u, i, 3)
+    assert rows(got, "user_id", "rank", "item_id") == sorted(
+        ((n, r, 3000 - r) for n in range(20) for r in (1, 2, 3)), key=repr)
+
+
+def test_equal_scores_behind_a_list_are_not_merged_again():
+    """Copies of an item with larger ids lose every tie, so they cost no merging."""
+    import pyarrow as pa
+
+    k, n_users, n_items = 4, 50, 40_000
+
+    def batch(phase, kind, ids, vectors):
+        n = len(ids)
+        ids, no = pa.array(ids, pa.int64()), pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, phase)), pa.array(np.zeros(n)), ids if phase else no, pa.array(np.full(n, kind)),
+             no if phase else ids, pa.array(vectors), pa.array(np.zeros(n, np.int32))],
+            names=["phase", "norm", "item", "kind", "user", "features", "cell"])
+
+    kernel = scoring._cell_kernel(k)
+    merged = []
+    lexsort = np.lexsort
+
+    def counted(keys, *how, **more):
+        merged.append(keys[0].size)
+        return lexsort(keys, *how, **more)
+
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(np, "lexsort", counted)
+        out = list(kernel(iter([batch(0, 0, range(n_users), [[1.0, 2.0]] * n_users),
+                                batch(1, 2, range(n_items), [[2.0, 1.0]] * n_items)])))
+    assert [r for o in out for r in zip(*(c.to_pylist() for c in o.columns[:2]))] == [(u, i) for u in range(n_users) for i in range(k)]
+    assert sum(merged) < n_users * n_items / 10

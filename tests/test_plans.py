@@ -203,3 +203,19 @@ def test_personal_recommendations_carry_links(spark):
     assert len(recs) == 6
     assert all(r["link"] == f"l{r['item_id']}" and r["image_link"] == f"i{r['item_id']}" for r in recs)
     assert not {(r["user_id"], r["item_id"]) for r in recs} & {(50, 1), (50, 2), (51, 3)}
+
+
+def test_what_is_eligible_is_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    eligible = spark.createDataFrame([(1,), (2,)], "item_id int").mapInArrow(counted, "item_id int")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "item_id int, features array<double>")
+    users = spark.createDataFrame([(7, [1.0])], "user_id int, features array<double>")
+    picks = spark.createDataFrame([(7, 1)], "user_id int, item_id int")
+    assert rows(recommend.score_model(users, vectors, picks, eligible), "user_id", "item_id", "rank") == [(7, 2, 1)]
+    assert seen.value == 2
