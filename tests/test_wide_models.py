@@ -1,5 +1,8 @@
 """Wide half-sweeps by blocks and routes, explicit mode, fold-in, and training that goes on after a stop."""
 
+import os
+import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -221,3 +224,50 @@ def test_training_goes_on_after_the_last_whole_sweep(spark, tmp_path, monkeypatc
         factorize.implicit_factors(data, folder=folder, rank=3, iterations=3)
     with pytest.raises(ValueError):
         factorize.implicit_factors(data.limit(50), folder=folder, **how)
+
+
+@pytest.mark.parametrize("rows_per_split", [10**6, 40])
+def test_rounds_of_blocks_give_the_same_factors(spark, monkeypatch, rows_per_split):
+    data = uneven(seed=6)
+    start, items = started(spark, data, 9)
+    lay_out, made = least_squares.lay_out, []
+    monkeypatch.setattr(least_squares.Pairs, "_n_rounds", lambda self, size, n_blocks: (3, 4))
+    monkeypatch.setattr(factorize, "lay_out", lambda r, alpha: made.append(lay_out(r, rows_per_split, alpha)) or made[-1])
+    model = factorize.implicit_factors(frame(spark, data), 9, 2, 0.1, 0.5, item_start=items)
+    for got, key, want in zip((model.users, model.items), ("user_id", "item_id"), dense_implicit(data, start, 2, 0.1, 0.5)):
+        close(vectors(got, key), want)
+    pairs = made[0]
+    for key, other in (("user_id", "item_id"), ("item_id", "user_id")):
+        assert len(pairs.rounds[key, 9]) == 3
+        placed, routes = pairs.blocks[key, 9]
+        columns = ["user_id", "item_id", "n", "total", "squares"]
+        assert sorted(map(tuple, placed.select(columns).collect())) == sorted(map(tuple, pairs.rows.select(columns).collect()))
+        assert sorted(map(tuple, routes.collect())) == sorted(map(tuple, placed.select(other, "block").distinct().collect()))
+
+
+def test_rounds_send_a_share_of_the_pairs_size(spark):
+    pairs = least_squares.lay_out(frame(spark, uneven()))
+    slots = spark.sparkContext.defaultParallelism
+    assert pairs._n_rounds(24, slots) == (1, slots)
+    rounds, blocks = pairs._n_rounds(24, 100 * slots)
+    assert blocks % slots == 0 and rounds * blocks >= 100 * slots
+    sent = (least_squares.VECTOR_BYTES + 8 * 24) / rounds
+    assert sent < 1.2 * least_squares.SENT_SHARE * least_squares.PAIR_BYTES
+
+
+def shuffles(spark):
+    """Numbers of the shuffles that have files."""
+    tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {int(m[1]) for top in tops for _, _, names in os.walk(top) for n in names if (m := re.match(r"shuffle_(\d+)_", n))}
+
+
+def test_training_leaves_no_shuffle_of_earlier_sweeps(spark):
+    data = frame(spark, uneven(seed=8))
+    before = max(shuffles(spark), default=-1)
+    model = factorize.implicit_factors(data, 9, 6)
+    for _ in range(50):  # they are removed in the background
+        left = {n for n in shuffles(spark) if n > before}
+        if len(left) <= 12:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 12 and model.items.count() > 0
