@@ -1,6 +1,7 @@
 """The biased factor model by stratified stochastic gradient."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -135,3 +136,40 @@ def test_rows_reach_the_cells_without_null_arrays(spark, triples, monkeypatch):
     model = gradient.stochastic_factors(frame(spark, triples), 2, 3, [(1, 0.1, 0.0)], 16)
     assert model.users.count() == len({u for u, _, _ in triples})
     assert all(x == x for r in model.users.collect() for x in (*r.features, r.bias))
+
+
+def test_pieces_hold_a_stratums_ratings_in_order(spark, triples):
+    grid = gradient.lay_out_grid(frame(spark, triples * 3), 2)
+    place = F.xxhash64(F.lit(gradient.SEED), "user", "item", "rating")
+    pieces = gradient._pieces(grid, 1, place).collect()
+    assert len({(p.cell, p.place) for p in pieces}) > 20
+    got = [(p.cell, *rating) for p in sorted(pieces, key=lambda p: (p.cell, p.place, p.number))
+           for rating in zip(p.users, p.items, p.ratings)]
+    rated = grid.rows.filter("stratum = 1").select("cell", place.alias("place"), "user", "item", "rating").collect()
+    assert got == [(r.cell, r.user, r.item, r.rating) for r in sorted(rated)]
+
+
+@pytest.mark.parametrize("n_keys", [6, 5_000])
+def test_batches_trained_at_once_give_the_same_numbers(n_keys):
+    rng = np.random.default_rng(3)
+    n, width = 3_003, 3
+    users, items, ratings = rng.integers(0, n_keys, n), rng.integers(0, n_keys, n), rng.integers(1, 6, n).astype(float)
+
+    def lists(values, kind):
+        return pa.array(values, pa.list_(kind))
+
+    def rows(phase, ids, states, rated):
+        m = len(ids)
+        return pa.record_batch({"cell": pa.array(np.zeros(m, np.int32)), "phase": pa.array(np.full(m, phase, np.int32)),
+                                "id": pa.array(ids), "block": pa.array(np.zeros(m, np.int32)), "state": lists(states, pa.float64()),
+                                **{c: lists(v, t) for c, v, t in zip(("users", "items", "ratings"), rated,
+                                                                      (pa.int64(), pa.int64(), pa.float64()))}})
+
+    batches = [rows(side, (ids := rng.permutation(n_keys)), (0.1 * rng.normal(size=(n_keys, 2 * width))).tolist(), [[[]] * n_keys] * 3)
+               for side in (0, 1)]
+    batches += [rows(2, np.zeros(1, np.int64), [[]], [[x[lo:lo + 77].tolist()] for x in (users, items, ratings)])
+                for lo in range(0, n, 77)]
+    found = [pa.Table.from_batches(list(gradient._cell_kernel(0.001, 8, 0.9, 0.01, *how)(batches)))
+             for how in ((1, 1), (1_000, 8), (1 << 18, 1 << 14))]
+    assert found[0].num_rows == 2 * n_keys and sum(found[0].column("n").to_pylist()) == 2 * n
+    assert found[0] == found[1] == found[2]

@@ -552,7 +552,8 @@ def biased_factors_best_worst(spark, sf_dir):
 @query
 def gradient_validation(spark, sf_dir):
     """Held-out error of the biased model with eight factors by stochastic gradient."""
-    marked = factorize.holdout(Tables(spark, sf_dir).ratings)
+    # training and validation read them several times
+    marked = cut_lineage(factorize.holdout(Tables(spark, sf_dir).ratings.select("user_id", "item_id", "rating")))
     model = gradient.stochastic_factors(marked.filter("is_train"), 2, 8, [(2, 0.1, 2e-4), (1, 1e-2, 2e-6)], 128)
     return rounded(factorize.squared_error(factorize.predict_biased(marked.filter("not is_train"), model)))
 
